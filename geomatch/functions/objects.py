@@ -18,7 +18,7 @@ def dict_entries(mapping: Column) -> Column:
         F.map_entries(mapping),
         lambda e, i: F.struct(e["key"].alias("key"), i.alias("pos"), e["value"].alias("value")),
     )
-    tagged = F.array_sort(
+    tagged = F.sort_array(
         F.transform(keys, lambda k, i: F.struct(k.alias("key"), i.alias("pos")))
     )
     n = F.size(keys)
@@ -40,3 +40,10 @@ def dict_entries(mapping: Column) -> Column:
         ),
     )
     return F.when(F.size(F.array_distinct(keys)) == n, plain).otherwise(merged)
+
+
+def unique_map(mapping: Column) -> Column:
+    """The mapping with each key once, by the rule of :func:`dict_entries`."""
+    return F.map_from_entries(
+        F.transform(dict_entries(mapping), lambda e: F.struct(e["key"], e["value"]))
+    )

@@ -30,7 +30,7 @@ def feature_maps(features: DataFrame) -> DataFrame:
     return (
         latest_features(features)
         .groupBy("building_id")
-        .agg(F.array_sort(F.collect_list(F.struct("feature_name", "value"))).alias("entries"))
+        .agg(F.sort_array(F.collect_list(F.struct("feature_name", "value"))).alias("entries"))
         .select(
             "building_id",
             F.map_from_entries("entries").alias("features"),
@@ -55,7 +55,7 @@ def feature_listing(features: DataFrame) -> DataFrame:
     entries = (
         latest_features(features)
         .groupBy("building_id")
-        .agg(F.array_sort(F.collect_list(F.struct("feature_name", "value", "value_array"))).alias("entries"))
+        .agg(F.sort_array(F.collect_list(F.struct("feature_name", "value", "value_array"))).alias("entries"))
     )
     return entries.select("building_id", F.posexplode("entries").alias("feature_no", "e")).select(
         "building_id",

@@ -22,45 +22,46 @@ def _with_lengths(frame: DataFrame, other: DataFrame, column: str) -> DataFrame:
     return frame.withColumn("_lengths", lengths.scalar())
 
 
-def _substrings(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of ``text`` whose length is in ``lengths``."""
-    fitting = F.filter(lengths, lambda n: (n > 0) & (n <= F.length(text)))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                fitting,
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n)
-                ),
-            )
-        )
-    )
+def _substrings(frame: DataFrame, column: str, alias: str) -> DataFrame:
+    """One row per substring of ``column`` with a length in ``_lengths``, as ``alias``."""
+    kept = [c for c in frame.columns if c not in ("_lengths", column)]
+    size = F.length(column)
+    starts = frame.select(
+        *kept, column, F.explode(F.filter("_lengths", lambda n: (n > 0) & (n <= size))).alias("_n")
+    ).select(*kept, column, "_n", F.explode(F.sequence(F.lit(1), F.length(column) - F.col("_n") + 1)).alias("_i"))
+    return starts.select(*kept, F.substr(column, F.col("_i"), F.col("_n")).alias(alias))
+
+
+def _spread(frame: DataFrame, column: str) -> DataFrame:
+    """Distribute rows evenly before each of them is expanded."""
+    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(n, column)
 
 
 def containment_hits(probes: DataFrame, keys: DataFrame) -> DataFrame:
-    """First key, by ``key_pos``, that contains a probe or is contained in it.
+    """Keys that contain a probe or are contained in it, for the columns of ``probes``.
 
-    ``probes`` has ``probe``; ``keys`` has unique ``key`` and ``key_pos``. Empty texts never match.
-    Returns ``probe, key, key_pos``.
+    ``probes`` has ``probe`` and further columns, which are kept; ``keys`` has ``key`` and
+    ``key_pos``. Empty texts never match. Of the keys that contain a probe only the first is
+    returned, so a row of ``probes`` yields at most one row for those, plus one per key inside it.
     """
-    probes = probes.select("probe").where(F.length("probe") > 0).distinct()
+    probes = probes.where(F.length("probe") > 0)
     keys = keys.select("key", "key_pos").where(F.length("key") > 0)
-    first = (F.min("key_pos").alias("key_pos"), F.min_by("key", "key_pos").alias("key"))
-
-    inside_probe = (
-        _with_lengths(probes, keys, "key")
-        .select("probe", F.explode(_substrings(F.col("probe"), F.col("_lengths"))).alias("key"))
+    kept = [c for c in probes.columns if c != "probe"]
+    inside = (
+        _substrings(_with_lengths(probes, keys, "key"), "probe", "key")
+        .distinct()
         .join(keys, "key")
-        .select("probe", "key", "key_pos")
+        .select(*kept, "key_pos")
     )
+    # Only the smallest position is aggregated: a fixed-width buffer keeps this a hash aggregation.
     pieces = (
-        _with_lengths(keys, probes, "probe")
-        .select("key", "key_pos", F.explode(_substrings(F.col("key"), F.col("_lengths"))).alias("probe"))
+        _substrings(_with_lengths(_spread(keys, "key"), probes, "probe"), "key", "probe")
         .groupBy("probe")
-        .agg(*first)
+        .agg(F.min("key_pos").alias("key_pos"))
     )
-    around_probe = probes.join(pieces, "probe").select("probe", "key", "key_pos")
-    return inside_probe.unionByName(around_probe).groupBy("probe").agg(*first)
+    around = probes.join(pieces, "probe").select(*kept, "key_pos")
+    return inside.unionByName(around)
 
 
 def ranked_lookup(
@@ -71,29 +72,41 @@ def ranked_lookup(
 ) -> DataFrame:
     """Key found for each request: ``request_id, key, tier`` with NULLs when nothing matches.
 
-    ``requests`` has ``request_id``; ``keys`` has unique ``key`` and an orderable ``key_pos``.
+    ``requests`` has ``request_id``; ``keys`` has ``key`` and an orderable ``key_pos`` that occurs
+    once. A key may repeat under several positions; its first one counts.
     ``exact`` are expressions over ``request_id`` tried in order as tiers 0, 1, ...; ``contains`` is
     an array expression whose elements are the containment tiers that follow. Only requests without
     an exact hit reach containment.
     """
     ids = requests.select("request_id").distinct()
-    tries = ids.select("request_id", F.posexplode(F.array(*exact)).alias("tier", "key")) if exact else None
-    hits = (
-        tries.join(keys.select("key"), "key")
-        .groupBy("request_id")
-        .agg(F.min_by("key", "tier").alias("key"), F.min("tier").alias("tier"))
-        if exact
-        else None
-    )
+    found = []
+    open_ids = ids
+    if exact:
+        tries = F.array(*exact)
+        hits = (
+            ids.select("request_id", F.posexplode(tries).alias("tier", "key"))
+            .join(keys.select("key"), "key", "left_semi")
+            .groupBy("request_id")
+            .agg(F.min("tier").alias("tier"))
+            .select("request_id", F.get(tries, F.col("tier")).alias("key"), "tier")
+        )
+        found.append(hits)
+        open_ids = ids.join(hits, "request_id", "left_anti")
     if contains is not None:
-        open_ids = ids.join(hits, "request_id", "left_anti") if exact else ids
         probes = open_ids.select("request_id", F.posexplode(contains).alias("tier", "probe"))
-        partial = (
-            probes.join(containment_hits(probes, keys), "probe")
+        first = (
+            containment_hits(probes, keys)
+            .groupBy("request_id", "tier")
+            .agg(F.min("key_pos").alias("key_pos"))
             .groupBy("request_id")
-            .agg(F.min_by("key", "tier").alias("key"), (F.min("tier") + len(exact)).alias("tier"))
+            .agg(F.min_by("key_pos", "tier").alias("key_pos"), F.min("tier").alias("tier"))
+        )
+        found.append(
+            first.join(keys.select("key", "key_pos"), "key_pos").select(
+                "request_id", "key", (F.col("tier") + len(exact)).alias("tier")
+            )
         )
-        hits = hits.unionByName(partial) if exact else partial
+    hits = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     return ids.join(hits, "request_id", "left")
 
 

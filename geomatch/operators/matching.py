@@ -57,6 +57,11 @@ def flatten_pairs(pairs: DataFrame, buildings: DataFrame) -> DataFrame:
     return pairs.join(overridden, ["building_id", "file_pos"], "left_anti").select(*pairs.columns)
 
 
+def place_key(file_pos: str, bld_pos: str) -> Column:
+    """Place of a building over all files as one fixed-width number."""
+    return F.col(file_pos).cast("decimal(19,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col(bld_pos)
+
+
 def load_totals(buildings: DataFrame) -> DataFrame:
     """Totals of a load: all occurrences, and after the last file has won.
 
@@ -123,13 +128,11 @@ def pairs_of(
 
     Read the rows of a request by ``confidence`` descending, then ``match_pos``.
     """
-    flat = flatten_buildings(buildings)
-    keys = flat.select(
-        F.col("building_id").alias("key"), F.struct("first_file_pos", "first_bld_pos").alias("key_pos")
-    )
-    found = pair_lookup(requests, keys).join(
-        flat.select(F.col("building_id").alias("key"), F.col("n_matches").alias("total_pairs")), "key", "left"
+    keys = buildings.select(F.col("building_id").alias("key"), place_key("file_pos", "bld_pos").alias("key_pos"))
+    totals = flatten_buildings(buildings).select(
+        F.col("building_id").alias("key"), F.col("n_matches").alias("total_pairs")
     )
+    found = pair_lookup(requests, keys).join(totals, "key", "left")
     lists = flatten_pairs(pairs, buildings).withColumnRenamed("building_id", "key")
     rows = _project_pairs(found.join(lists, "key", "left"), F.col("request_id"), threshold)
     known = F.col("match_pos").isNotNull()

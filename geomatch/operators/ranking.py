@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geomatch.storage import stored
+
 # A group with more rows than this is ranked by several tasks.
 HOT_GROUP_ROWS = 5_000_000
 
@@ -43,11 +45,8 @@ def rank_in_group(
 
 
 def _rank_by_slices(df: DataFrame, keys: list[str], order: Sequence[Column], rank: str) -> DataFrame:
-    _ensure_checkpoint_dir(df)
-    # The slice numbers must be the same wherever they are used, so they are fixed by a checkpoint.
-    sliced = (
-        df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()).checkpoint()
-    )
+    # The slice numbers must be the same wherever they are used, so they are written down first.
+    sliced = stored(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*keys, "_slice")
@@ -63,17 +62,3 @@ def _rank_by_slices(df: DataFrame, keys: list[str], order: Sequence[Column], ran
         .drop("_local", "_before", "_slice")
         .select(*df.columns, rank)
     )
-
-
-def _ensure_checkpoint_dir(df: DataFrame) -> None:
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        import tempfile
-
-        # Only single-machine sessions come here: a cluster names its shared folder in the setting.
-        configured = tempfile.mkdtemp(prefix="geomatch-checkpoint-")
-    context.setCheckpointDir(configured)

@@ -31,6 +31,12 @@ def building(key: str) -> Column:
     return F.concat(F.lit("bag_"), padded(key))
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A fixed number of partitions, because building and parsing documents is work per row that
+    Spark cannot see in the size of the data."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 # --- pairs -------------------------------------------------------------------------------------
 
 
@@ -133,8 +139,8 @@ def results_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pairs(spark, sf_dir).withColumn(
         "_range", F.floor(F.col("index_id").cast("bigint") / PARTS_PER_RESULTS_DOCUMENT)
     )
-    grouped = rows.groupBy("file_name", "building_id", "_range").agg(
-        F.array_sort(F.collect_list(F.struct("match_pos", match.alias("m")))).alias("items")
+    grouped = _spread(rows, "building_id", "_range").groupBy("file_name", "building_id", "_range").agg(
+        F.sort_array(F.collect_list(F.struct("match_pos", match.alias("m")))).alias("items")
     )
     nested = F.create_map(
         "file_name",
@@ -265,8 +271,10 @@ def _box_documents(items: DataFrame, source: str, prefix: str) -> DataFrame:
     distinct = items.groupBy("k").agg(
         F.max("size").alias("size"), F.min("kind").alias("kind"), F.min("name").alias("name")
     )
-    blocks = distinct.groupBy(F.floor(F.col("k") / OBJECTS_PER_DOCUMENT).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("k", "size", "kind", "name"))).alias("items")
+    blocks = _spread(
+        distinct.withColumn("block", F.floor(F.col("k") / OBJECTS_PER_DOCUMENT)), "block"
+    ).groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("k", "size", "kind", "name"))).alias("items")
     )
 
     def city_object(item: Column, i: Column) -> Column:

@@ -283,10 +283,10 @@ own AS (
   SELECT k, '[' || string_agg('[' || vx || ',' || vy || ',' || vz || ']', ',' ORDER BY j) || ']' AS vertices
   FROM placed GROUP BY k)
 SELECT 'bag_' || object_id AS request_id, object_id,
-  '{{"type":"CityJSON",' || {_CITYJSON_HEAD} || ',"CityObjects":{{"' || object_id || '":{{"attributes":{{"height":' || s ||
+  '{{"type":"CityJSON",' || {_CITYJSON_HEAD} || ',"CityObjects":{{"' || object_id || '":{{"type":"' || {_KIND} || '","attributes":{{"height":' || s ||
   CASE WHEN s % 3 <> 0 THEN ',"measuredHeight":' || (s % 5) ELSE '' END ||
   CASE WHEN s % 2 = 0 THEN ',"name":"' || p_name || '"' ELSE '' END ||
-  '}},"type":"' || {_KIND} || '","geometry":[' ||
+  '}},"geometry":[' ||
   '{{"boundaries":[[[[0,1,2,3]],[[4,5,6,7]],[[0,1,5,4]],[[1,2,6,5]],[[2,3,7,6]],[[3,0,4,7]]],[[[8,9,10]],[[8,9,11]],[[9,10,11]],[[10,8,11]]]],"type":"Solid"}},' ||
   '{{"boundaries":[[[0,0,1,2,2,3]],[[4,5,6,-1]]],"type":"MultiSurface"}},' ||
   '{{"boundaries":[[[' || (pos * 12 + 4) || ',' || (pos * 12 + 5) || ',' || (pos * 12 + 6) || ',' || (pos * 12 + 7) || ']]],"type":"CompositeSurface"}}]}}}},' ||
@@ -414,7 +414,7 @@ ORACLES: dict[str, str] = {
     "feature_unpivot": f"""SELECT {_pad('vec_id')} AS building_id, 'f' || (n - 1) AS feature_name, embedding[n]::DOUBLE AS value,
           NULL::INT AS n_items, NULL::DOUBLE AS third_item
         FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS n FROM embeddings)
-        UNION ALL SELECT {_pad('vec_id')}, 'shape', NULL, least(len(embedding), 3), embedding[3]::DOUBLE FROM embeddings""",
+        UNION ALL SELECT {_pad('vec_id')}, 'shape', NULL, least(len(embedding), 3)::INT, embedding[3]::DOUBLE FROM embeddings""",
     "feature_pivot": f"SELECT {_pad('vec_id')} AS building_id, "
     + ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(64))
     + " FROM embeddings",

@@ -15,6 +15,7 @@ from geomatch.operators import features as feature_ops
 from geomatch.plans import adapters as A
 from geomatch.sources import catalog, cityjson, results
 from geomatch.sources import features as feature_sources
+from geomatch.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 FEATURE_NAMES = [f"f{i}" for i in range(64)]
@@ -221,18 +222,18 @@ def pair_lookup(spark, sf):
     return lookup.pair_lookup(A.requests(spark, sf), keys)
 
 
+def _result_tables(spark, sf):
+    """Pairs and their buildings as stored tables, as an ingest leaves them."""
+    pairs = stored(A.pairs(spark, sf))
+    return pairs, stored(A.result_buildings(pairs, A.candidates(spark, sf)))
+
+
 def pairs_of_request(spark, sf):
-    pairs = A.pairs(spark, sf)
-    return matching.pairs_of(A.requests(spark, sf), pairs, A.result_buildings(pairs, A.candidates(spark, sf))).drop(
-        "match_pos"
-    )
+    return matching.pairs_of(A.requests(spark, sf), *_result_tables(spark, sf)).drop("match_pos")
 
 
 def matches_of_request(spark, sf):
-    pairs = A.pairs(spark, sf)
-    return matching.matches_of(
-        A.requests(spark, sf), pairs, A.result_buildings(pairs, A.candidates(spark, sf))
-    ).drop("match_pos")
+    return matching.matches_of(A.requests(spark, sf), *_result_tables(spark, sf)).drop("match_pos")
 
 
 def object_lookup(spark, sf):
@@ -358,10 +359,10 @@ def extract_object(spark, sf):
 
 
 def comparison_set(spark, sf):
-    documents = A.both_documents(spark, sf)
+    documents = stored(A.both_documents(spark, sf))
     objects = cityjson.city_objects(documents)
     shapes = cityjson.object_geometries(documents, first_only=True)
-    return comparison.comparison_set(A.pairs(spark, sf), objects, shapes)
+    return comparison.comparison_set(stored(A.pairs(spark, sf)), objects, shapes)
 
 
 def object_type_class(spark, sf):

@@ -16,9 +16,8 @@ from geomatch.functions.ids import digit_run
 from geomatch.functions.objects import dict_entries
 from geomatch.sources.catalog import decode_path, relative_path
 
-_SOLID = "array<array<array<array<int>>>>"
-_SURFACES = "array<array<array<int>>>"
 _SURFACE_TYPES = ("MultiSurface", "CompositeSurface")
+_GEOMETRIES = "type string, geometry array<struct<type: string, boundaries: string>>"
 
 
 def read_documents(
@@ -60,12 +59,23 @@ def _numbers(column: str, path: str) -> Column:
     return F.try_variant_get(column, path, "array<double>")
 
 
-def _scale(axis: int) -> Column:
-    return F.coalesce(F.get("scale", F.lit(axis)), F.lit(1.0))
+def _affine(column: str) -> list[Column]:
+    """``scale_x .. translate_z`` of a document's transform; without one, the identity."""
+    return [
+        F.coalesce(F.get(_numbers(column, f"$.{part}"), F.lit(i)), F.lit(default)).alias(f"{part}_{a}")
+        for part, default in (("scale", 1.0), ("translate", 0.0))
+        for i, a in enumerate("xyz")
+    ]
 
 
-def _translate(axis: int) -> Column:
-    return F.coalesce(F.get("translate", F.lit(axis)), F.lit(0.0))
+def _dequantised(vertex: Column) -> list[Column]:
+    return [
+        (F.get(vertex, F.lit(i)) * F.col(f"scale_{a}") + F.col(f"translate_{a}")).alias(a)
+        for i, a in enumerate("xyz")
+    ]
+
+
+_AFFINE = [f"{part}_{a}" for part in ("scale", "translate") for a in "xyz"]
 
 
 def city_files(documents: DataFrame) -> DataFrame:
@@ -73,7 +83,7 @@ def city_files(documents: DataFrame) -> DataFrame:
     parsed = _parse(
         documents.where(_well_formed()),
         "version string, metadata variant, transform variant, "
-        "vertices array<array<double>>, CityObjects map<string, variant>",
+        "vertices array<array<double>>, CityObjects map<string, string>",
     )
     return parsed.select(
         "source",
@@ -92,20 +102,20 @@ def city_objects(documents: DataFrame) -> DataFrame:
     """Objects in document order: ``source, file_path, obj_pos, object_id, object_type, attributes,
     is_empty, numeric_id`` (the digit run, NULL without one)."""
     objects = (
-        _parse(documents, "CityObjects map<string, variant>")
+        _parse(documents, "CityObjects map<string, string>")
         .select("source", "file_path", F.col("doc.CityObjects").alias("members"))
         .select("source", "file_path", F.explode(dict_entries(F.col("members"))).alias("o"))
+        .select("source", "file_path", "o.*", F.from_json("o.value", "type string, attributes variant").alias("parsed"))
     )
-    members = F.try_variant_get("o.value", "$", "map<string, variant>")
     return objects.select(
         "source",
         "file_path",
-        F.col("o.pos").alias("obj_pos"),
-        F.col("o.key").alias("object_id"),
-        F.try_variant_get("o.value", "$.type", "string").alias("object_type"),
-        F.try_variant_get("o.value", "$.attributes", "variant").alias("attributes"),
-        (F.coalesce(F.size(members), F.lit(0)) <= 0).alias("is_empty"),
-        digit_run(F.col("o.key")).alias("numeric_id"),
+        F.col("pos").alias("obj_pos"),
+        F.col("key").alias("object_id"),
+        F.col("parsed.type").alias("object_type"),
+        F.col("parsed.attributes").alias("attributes"),
+        (F.coalesce(F.size(F.json_object_keys("value")), F.lit(0)) <= 0).alias("is_empty"),
+        digit_run(F.col("key")).alias("numeric_id"),
     )
 
 
@@ -115,21 +125,16 @@ def vertices(documents: DataFrame) -> DataFrame:
     pool = (
         _parse(documents, "transform variant, vertices array<array<double>>")
         .select(
-            "source",
-            "file_path",
-            _numbers("doc.transform", "$.scale").alias("scale"),
-            _numbers("doc.transform", "$.translate").alias("translate"),
-            F.col("doc.vertices").alias("pool"),
+            "source", "file_path", *_affine("doc.transform"), F.col("doc.vertices").alias("pool")
         )
-        .select("source", "file_path", "scale", "translate", F.posexplode("pool").alias("vertex_idx", "v"))
+        .select("source", "file_path", *_AFFINE, F.posexplode("pool").alias("vertex_idx", "v"))
     )
-    raw = [F.get("v", F.lit(axis)) for axis in range(3)]
     return pool.select(
         "source",
         "file_path",
         "vertex_idx",
-        *[c.alias(n) for c, n in zip(raw, ("vx", "vy", "vz"))],
-        *[(c * _scale(i) + _translate(i)).alias(n) for i, (c, n) in enumerate(zip(raw, "xyz"))],
+        *[F.get("v", F.lit(i)).alias(f"v{a}") for i, a in enumerate("xyz")],
+        *_dequantised(F.col("v")),
     )
 
 
@@ -138,6 +143,23 @@ def _flat(nested: Column) -> Column:
     return F.flatten(F.array_compact(nested))
 
 
+def nested_indices(boundaries: Column, depth: int) -> Column:
+    """Boundaries text as nested arrays of vertex indices. Entries that are not integers are NULL."""
+
+    def kind(element: str) -> str:
+        return "array<" * depth + element + ">" * depth
+
+    def whole(part: Column, level: int) -> Column:
+        if level == 0:
+            return part.try_cast("int")
+        return F.transform(part, lambda inner: whole(inner, level - 1))
+
+    # One entry that is not an integer makes the typed parse NULL, and only then the texts are read.
+    return F.coalesce(
+        F.from_json(boundaries, kind("int")), whole(F.from_json(boundaries, kind("string")), depth)
+    )
+
+
 def _rings(geometry: Column) -> Column:
     """All rings of a geometry: ``array<struct<shell, face, ring, idx>>``, dispatched on its type."""
     no_shell = F.lit(None).cast("int")
@@ -152,14 +174,13 @@ def _rings(geometry: Column) -> Column:
 
     solid = _flat(
         F.transform(
-            F.try_variant_get(geometry["boundaries"], "$", _SOLID),
+            nested_indices(geometry["boundaries"], 4),
             lambda shell, s: _flat(F.transform(shell, lambda face, f: face_rings(s, face, f))),
         )
     )
     surfaces = _flat(
         F.transform(
-            F.try_variant_get(geometry["boundaries"], "$", _SURFACES),
-            lambda face, f: face_rings(no_shell, face, f),
+            nested_indices(geometry["boundaries"], 3), lambda face, f: face_rings(no_shell, face, f)
         )
     )
     return F.when(geometry["type"] == "Solid", solid).when(geometry["type"].isin(*_SURFACE_TYPES), surfaces)
@@ -170,11 +191,7 @@ def _points(ring: Column) -> Column:
 
     def point(idx: Column, pos: Column) -> Column:
         v = F.get(F.col("doc.vertices"), idx)
-        return F.struct(
-            pos.alias("vpos"),
-            idx.alias("vertex_idx"),
-            *[(F.get(v, F.lit(i)) * _scale(i) + _translate(i)).alias(n) for i, n in enumerate("xyz")],
-        )
+        return F.struct(pos.alias("vpos"), idx.alias("vertex_idx"), *_dequantised(v))
 
     return F.filter(F.transform(ring, point), lambda p: p["x"].isNotNull())
 
@@ -187,42 +204,44 @@ def object_geometries(
     carries the coordinates. ``first_only`` keeps the first geometry of each object.
     """
     parsed = _parse(
-        documents, "transform variant, vertices array<array<double>>, CityObjects map<string, variant>"
+        documents, "transform variant, vertices array<array<double>>, CityObjects map<string, string>"
     ).select(
         "source",
         "file_path",
         "doc",
-        _numbers("doc.transform", "$.scale").alias("scale"),
-        _numbers("doc.transform", "$.translate").alias("translate"),
+        *_affine("doc.transform"),
         F.col("doc.CityObjects").alias("members"),
     )
 
-    def geometry(g: Column, i: Column) -> Column:
-        return F.struct(
-            i.alias("geom_idx"),
-            g["type"].alias("geom_type"),
-            F.transform(
-                _rings(g),
-                lambda r: F.struct(r["shell"], r["face"], r["ring"], _points(r["idx"]).alias("points")),
-            ).alias("rings"),
-        )
+    def typed(o: Column) -> Column:
+        return F.struct(o["pos"].alias("pos"), o["key"].alias("key"), F.from_json(o["value"], _GEOMETRIES).alias("object"))
 
     def with_geometries(o: Column) -> Column:
-        found = F.try_variant_get(o["value"], "$.geometry", "array<struct<type: string, boundaries: variant>>")
-        wanted = F.filter(
-            F.transform(found, geometry),
-            lambda g: g["geom_type"].isin(*geom_types) & ((g["geom_idx"] == 0) | F.lit(not first_only)),
+        found = o["object"]["geometry"]
+        numbered = F.transform(
+            F.slice(found, F.lit(1), F.lit(1)) if first_only else found,
+            lambda g, i: F.struct(i.alias("geom_idx"), g["type"].alias("type"), g["boundaries"].alias("boundaries")),
+        )
+        gathered = F.transform(
+            F.filter(numbered, lambda g: g["type"].isin(*geom_types)),
+            lambda g: F.struct(
+                g["geom_idx"].alias("geom_idx"),
+                g["type"].alias("geom_type"),
+                F.transform(
+                    _rings(g),
+                    lambda r: F.struct(r["shell"], r["face"], r["ring"], _points(r["idx"]).alias("points")),
+                ).alias("rings"),
+            ),
         )
         return F.struct(
             o["pos"].alias("obj_pos"),
             o["key"].alias("object_id"),
-            F.try_variant_get(o["value"], "$.type", "string").alias("object_type"),
-            wanted.alias("geometries"),
+            o["object"]["type"].alias("object_type"),
+            gathered.alias("geometries"),
         )
 
-    objects = parsed.select(
-        "source", "file_path", F.explode(F.transform(dict_entries(F.col("members")), with_geometries)).alias("o")
-    )
+    entries = F.transform(F.transform(dict_entries(F.col("members")), typed), with_geometries)
+    objects = parsed.select("source", "file_path", F.explode(entries).alias("o"))
     return objects.select(
         "source", "file_path", "o.obj_pos", "o.object_id", "o.object_type", F.explode("o.geometries").alias("g")
     ).select("source", "file_path", "obj_pos", "object_id", "object_type", "g.*")
@@ -241,20 +260,21 @@ def ring_vertices(geometries: DataFrame) -> DataFrame:
 def object_cells(documents: DataFrame) -> DataFrame:
     """Self-contained objects: each row holds the object, the header of its document and exactly the
     vertices it uses. ``used`` are their indices in the document, in ascending order (also those
-    outside the pool, which have no vertex); ``own_vertices`` are stored, quantised coordinates.
+    outside the pool, which have no vertex); ``own_vertices`` are stored, quantised coordinates, and
+    ``value`` is the object's text.
     """
     parsed = _parse(
         documents,
         "version variant, metadata variant, transform variant, "
-        "vertices array<array<double>>, CityObjects map<string, variant>",
+        "vertices array<array<double>>, CityObjects map<string, string>",
     ).select("source", "file_path", "doc", F.col("doc.CityObjects").alias("members"))
 
     def used(value: Column) -> Column:
-        found = F.try_variant_get(value, "$.geometry", "array<struct<type: string, boundaries: variant>>")
+        found = F.from_json(value, _GEOMETRIES)["geometry"]
         indexed = F.filter(found, lambda g: g["type"].isin("Solid", "MultiSurface"))
         rings = _flat(F.transform(indexed, _rings))
         indices = F.filter(_flat(F.transform(rings, lambda r: r["idx"])), lambda i: i >= 0)
-        return F.array_sort(F.array_distinct(indices))
+        return F.sort_array(F.array_distinct(indices))
 
     def with_used(o: Column) -> Column:
         return F.struct(
