@@ -6,20 +6,63 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Splits a double into two parts of 26 bits, whose products with small whole numbers are exact.
+_SPLITTER = float(2**27 + 1)
+# Below this, the scaled value and its neighbours are exact whole numbers.
+_EXACT_BELOW = float(2**52)
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_fixed(value: Column, digits: int) -> Column:
-    """``value`` with a fixed number of decimals, rounded from its exact binary value, ties away
-    from zero.
+    """``value`` with a fixed number of decimals (at most 7), rounded from its exact binary value,
+    ties away from zero.
 
-    ``format_number`` with a pattern rounds the exact value but sends ties to even. A double is an
-    exact tie at ``digits`` decimals only when ``value * 2**(digits + 1)`` is an odd integer, so
-    those are nudged outward first.
+    With ``n`` units below the value, the question is on which side of the midpoint ``(2n + 1) /
+    (2 * 10**digits)`` the value lies. The rounded midpoint answers it unless it equals the value;
+    then the exact product of midpoint and divisor, a double plus its rounding error, decides.
     """
-    scaled = value * F.lit(float(2 ** (digits + 1)))
-    is_tie = (scaled == F.floor(scaled)) & (scaled % 2 != 0)
-    nudged = F.when(is_tie, value + F.signum(value) * F.lit(10.0 ** -(digits + 2))).otherwise(value)
+    if not 0 <= digits <= 7:
+        raise ValueError("digits must be between 0 and 7")
+    unit = float(10**digits)
+    divisor = 2.0 * unit
+
+    def excess(middle: Column, odd: Column) -> Column:
+        """How far the rounded midpoint lies above the exact one, scaled by the divisor."""
+        high = middle * _SPLITTER - (middle * _SPLITTER - middle)
+        product = middle * divisor
+        return (product - odd) + ((high * divisor - product) + (middle - high) * divisor)
+
+    def units(size: Column) -> Column:
+        def rounded(below: Column) -> Column:
+            odd = below * 2.0 + 1.0
+            return _let(
+                odd / divisor,
+                lambda middle: below
+                + F.when((size > middle) | ((size == middle) & (excess(middle, odd) >= 0)), 1.0).otherwise(0.0),
+            )
+
+        return _let(F.floor(size * unit).cast("double"), rounded)
+
+    def pointed(text: Column) -> Column:
+        if digits == 0:
+            return text
+        padded = F.lpad(text, F.greatest(F.length(text), F.lit(digits + 1)), F.lit("0"))
+        return F.regexp_replace(padded, "([0-9]{%d})$" % digits, ".$1")
+
+    exact = _let(
+        F.abs(value),
+        lambda size: F.when(size * unit < _EXACT_BELOW, _let(units(size).cast("bigint").cast("string"), pointed)),
+    )
     pattern = "0." + "0" * digits if digits else "0"
-    text = F.call_function("format_number", nudged, F.lit(pattern))
-    return F.when(F.isnan(value), "NaN").otherwise(text)
+    return (
+        F.when(F.isnan(value), "NaN")
+        .when(exact.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), exact))
+        .otherwise(F.call_function("format_number", value, F.lit(pattern)))
+    )
 
 
 def percent(value: Column, digits: int = 1) -> Column:

@@ -143,15 +143,20 @@ def _flat(nested: Column) -> Column:
     return F.flatten(F.array_compact(nested))
 
 
-def nested_indices(boundaries: Column, depth: int) -> Column:
-    """Boundaries text as nested arrays of vertex indices. Entries that are not integers are NULL."""
+def nested_indices(boundaries: Column, depth: int, decimals: bool = True) -> Column:
+    """Boundaries text as nested arrays of vertex indices; entries that are no whole number are NULL.
+
+    ``decimals`` accepts ``1.0`` as 1: viewing does, extraction does not.
+    """
 
     def kind(element: str) -> str:
         return "array<" * depth + element + ">" * depth
 
     def whole(part: Column, level: int) -> Column:
         if level == 0:
-            return part.try_cast("int")
+            number = part.try_cast("double")
+            is_whole = number == F.floor(number)
+            return F.when(is_whole, number.try_cast("int")) if decimals else part.try_cast("int")
         return F.transform(part, lambda inner: whole(inner, level - 1))
 
     # One entry that is not an integer makes the typed parse NULL, and only then the texts are read.
@@ -160,7 +165,7 @@ def nested_indices(boundaries: Column, depth: int) -> Column:
     )
 
 
-def _rings(geometry: Column) -> Column:
+def _rings(geometry: Column, decimals: bool = True) -> Column:
     """All rings of a geometry: ``array<struct<shell, face, ring, idx>>``, dispatched on its type."""
     no_shell = F.lit(None).cast("int")
 
@@ -174,13 +179,13 @@ def _rings(geometry: Column) -> Column:
 
     solid = _flat(
         F.transform(
-            nested_indices(geometry["boundaries"], 4),
+            nested_indices(geometry["boundaries"], 4, decimals),
             lambda shell, s: _flat(F.transform(shell, lambda face, f: face_rings(s, face, f))),
         )
     )
     surfaces = _flat(
         F.transform(
-            nested_indices(geometry["boundaries"], 3), lambda face, f: face_rings(no_shell, face, f)
+            nested_indices(geometry["boundaries"], 3, decimals), lambda face, f: face_rings(no_shell, face, f)
         )
     )
     return F.when(geometry["type"] == "Solid", solid).when(geometry["type"].isin(*_SURFACE_TYPES), surfaces)
@@ -272,7 +277,7 @@ def object_cells(documents: DataFrame) -> DataFrame:
     def used(value: Column) -> Column:
         found = F.from_json(value, _GEOMETRIES)["geometry"]
         indexed = F.filter(found, lambda g: g["type"].isin("Solid", "MultiSurface"))
-        rings = _flat(F.transform(indexed, _rings))
+        rings = _flat(F.transform(indexed, lambda g: _rings(g, decimals=False)))
         indices = F.filter(_flat(F.transform(rings, lambda r: r["idx"])), lambda i: i >= 0)
         return F.sort_array(F.array_distinct(indices))
 
