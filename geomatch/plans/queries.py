@@ -107,10 +107,14 @@ def best_match(spark, sf):
     return matching.best_match(A.pairs(spark, sf))
 
 
+def _result_tables(spark, sf, by="tile"):
+    """Pairs and their buildings as stored tables, as an ingest leaves them."""
+    pairs = stored(A.pairs(spark, sf, by=by))
+    return pairs, stored(A.result_buildings(pairs, A.candidates(spark, sf) if by == "tile" else None))
+
+
 def _status(spark, sf, by="tile"):
-    pairs = A.pairs(spark, sf, by=by)
-    buildings = A.result_buildings(pairs, A.candidates(spark, sf) if by == "tile" else None)
-    return status.building_status(A.features(spark, sf), pairs, buildings)
+    return status.building_status(A.features(spark, sf), *_result_tables(spark, sf, by))
 
 
 def building_status(spark, sf):
@@ -161,9 +165,8 @@ def _summary(spark, sf):
     positions = listed.select("file_name", "file_pos").distinct()
     records = metrics.metrics_from_pairs(pairs, listed, A.truth(spark, sf), deduplicate=False)
     asked = positions.select(F.concat(F.lit("RawCitiesData/Source A/"), F.col("file_name")).alias("request_id"))
-    return metrics.file_summary(
-        asked, records.join(positions, "file_name"), A.result_buildings(pairs, listed)
-    )
+    summary = stored(records.join(positions, "file_name"))
+    return metrics.file_summary(asked, summary, A.result_buildings(pairs, listed))
 
 
 def file_summary(spark, sf):
@@ -222,12 +225,6 @@ def pair_lookup(spark, sf):
     return lookup.pair_lookup(A.requests(spark, sf), keys)
 
 
-def _result_tables(spark, sf):
-    """Pairs and their buildings as stored tables, as an ingest leaves them."""
-    pairs = stored(A.pairs(spark, sf))
-    return pairs, stored(A.result_buildings(pairs, A.candidates(spark, sf)))
-
-
 def pairs_of_request(spark, sf):
     return matching.pairs_of(A.requests(spark, sf), *_result_tables(spark, sf)).drop("match_pos")
 
@@ -351,7 +348,7 @@ def lonlat_points(spark, sf):
 
 
 def extract_object(spark, sf):
-    documents = A.index_documents(spark, sf)
+    documents = stored(A.index_documents(spark, sf))
     asked = A.bare_objects(spark, sf).where("source = 'B'").select(
         F.concat(F.lit("bag_"), "object_id").alias("request_id"), "file_path"
     )

@@ -59,25 +59,30 @@ def _numbers(column: str, path: str) -> Column:
     return F.try_variant_get(column, path, "array<double>")
 
 
-def _affine(column: str) -> list[Column]:
-    """``scale_x .. translate_z`` of a document's transform; without one, the identity."""
-    return [
-        F.coalesce(F.get(_numbers(column, f"$.{part}"), F.lit(i)), F.lit(default)).alias(f"{part}_{a}")
-        for part, default in (("scale", 1.0), ("translate", 0.0))
-        for i, a in enumerate("xyz")
-    ]
+def _affine(column: str) -> Column:
+    """Scale and translation of a document's transform as one array of six; without a transform, the
+    identity.
+
+    One array, because a column that is used once may be merged into the expression using it, and
+    inside a per-vertex expression it would then be evaluated for every vertex.
+    """
+    parts = (("scale", 1.0), ("translate", 0.0))
+    return F.array(
+        *[
+            F.coalesce(F.get(_numbers(column, f"$.{part}"), F.lit(i)), F.lit(default))
+            for part, default in parts
+            for i in range(3)
+        ]
+    ).alias("affine")
 
 
 def _dequantised(vertex: Column) -> list[Column]:
     return [
-        (F.get(vertex, F.lit(i)) * F.col(f"scale_{a}") + F.col(f"translate_{a}")).alias(a)
+        (F.get(vertex, F.lit(i)) * F.get("affine", F.lit(i)) + F.get("affine", F.lit(i + 3))).alias(a)
         for i, a in enumerate("xyz")
     ]
 
 
-_AFFINE = [f"{part}_{a}" for part in ("scale", "translate") for a in "xyz"]
-
-
 def city_files(documents: DataFrame) -> DataFrame:
     """Headers: ``source, file_path, version, crs, scale, translate, extent, n_objects, n_vertices``."""
     parsed = _parse(
@@ -125,9 +130,9 @@ def vertices(documents: DataFrame) -> DataFrame:
     pool = (
         _parse(documents, "transform variant, vertices array<array<double>>")
         .select(
-            "source", "file_path", *_affine("doc.transform"), F.col("doc.vertices").alias("pool")
+            "source", "file_path", _affine("doc.transform"), F.col("doc.vertices").alias("pool")
         )
-        .select("source", "file_path", *_AFFINE, F.posexplode("pool").alias("vertex_idx", "v"))
+        .select("source", "file_path", "affine", F.posexplode("pool").alias("vertex_idx", "v"))
     )
     return pool.select(
         "source",
@@ -214,7 +219,7 @@ def object_geometries(
         "source",
         "file_path",
         "doc",
-        *_affine("doc.transform"),
+        _affine("doc.transform"),
         F.col("doc.CityObjects").alias("members"),
     )
 
