@@ -51,7 +51,7 @@ def containment_hits(probes: DataFrame, keys: DataFrame) -> DataFrame:
     inside = (
         _substrings(_with_lengths(probes, keys, "key"), "probe", "key")
         .distinct()
-        .join(keys, "key")
+        .join(keys.groupBy("key").agg(F.min("key_pos").alias("key_pos")), "key")
         .select(*kept, "key_pos")
     )
     # Only the smallest position is aggregated: a fixed-width buffer keeps this a hash aggregation.

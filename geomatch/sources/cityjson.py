@@ -17,7 +17,7 @@ from geomatch.functions.objects import dict_entries
 from geomatch.sources.catalog import decode_path, relative_path
 
 _SURFACE_TYPES = ("MultiSurface", "CompositeSurface")
-_GEOMETRIES = "type string, geometry array<struct<type: string, boundaries: string>>"
+_GEOMETRIES = "type string, attributes string, geometry array<struct<type: string, boundaries: string>>"
 
 
 def read_documents(
@@ -206,13 +206,10 @@ def _points(ring: Column) -> Column:
     return F.filter(F.transform(ring, point), lambda p: p["x"].isNotNull())
 
 
-def object_geometries(
-    documents: DataFrame, geom_types: Sequence[str] = ("Solid", "MultiSurface"), first_only: bool = False
+def _object_rows(
+    documents: DataFrame, geom_types: Sequence[str], first_only: bool, described: bool
 ) -> DataFrame:
-    """One row per geometry of an object: ``source, file_path, obj_pos, object_id, object_type,
-    geom_idx, geom_type, rings``; ``rings`` is ``array<struct<shell, face, ring, points>>`` and
-    carries the coordinates. ``first_only`` keeps the first geometry of each object.
-    """
+    """Objects with ``geometries`` gathered; ``described`` adds the columns of :func:`city_objects`."""
     parsed = _parse(
         documents, "transform variant, vertices array<array<double>>, CityObjects map<string, string>"
     ).select(
@@ -224,7 +221,13 @@ def object_geometries(
     )
 
     def typed(o: Column) -> Column:
-        return F.struct(o["pos"].alias("pos"), o["key"].alias("key"), F.from_json(o["value"], _GEOMETRIES).alias("object"))
+        empty = F.coalesce(F.size(F.json_object_keys(o["value"])), F.lit(0)) <= 0
+        return F.struct(
+            o["pos"].alias("pos"),
+            o["key"].alias("key"),
+            F.from_json(o["value"], _GEOMETRIES).alias("object"),
+            *([empty.alias("is_empty")] if described else []),
+        )
 
     def with_geometries(o: Column) -> Column:
         found = o["object"]["geometry"]
@@ -243,18 +246,48 @@ def object_geometries(
                 ).alias("rings"),
             ),
         )
+        more = [o["object"]["attributes"].alias("attributes"), o["is_empty"].alias("is_empty")] if described else []
         return F.struct(
             o["pos"].alias("obj_pos"),
             o["key"].alias("object_id"),
             o["object"]["type"].alias("object_type"),
+            *more,
             gathered.alias("geometries"),
         )
 
     entries = F.transform(F.transform(dict_entries(F.col("members")), typed), with_geometries)
-    objects = parsed.select("source", "file_path", F.explode(entries).alias("o"))
-    return objects.select(
-        "source", "file_path", "o.obj_pos", "o.object_id", "o.object_type", F.explode("o.geometries").alias("g")
-    ).select("source", "file_path", "obj_pos", "object_id", "object_type", "g.*")
+    rows = parsed.select("source", "file_path", F.explode(entries).alias("o")).select("source", "file_path", "o.*")
+    if not described:
+        return rows
+    return rows.withColumns(
+        {"attributes": F.try_parse_json("attributes"), "numeric_id": digit_run(F.col("object_id"))}
+    )
+
+
+def object_table(documents: DataFrame) -> DataFrame:
+    """The columns of :func:`city_objects` and ``geometries`` of every type, from one parse of each
+    document. This is the table to write; :func:`geometries_of` reads geometries from it."""
+    return _object_rows(documents, ("Solid", *_SURFACE_TYPES), False, True)
+
+
+def geometries_of(
+    objects: DataFrame, geom_types: Sequence[str] = ("Solid", "MultiSurface"), first_only: bool = False
+) -> DataFrame:
+    """:func:`object_geometries` from a written :func:`object_table`."""
+    keys = ["source", "file_path", "obj_pos", "object_id", "object_type"]
+    rows = objects.select(*keys, F.explode("geometries").alias("g")).select(*keys, "g.*")
+    rows = rows.where(F.col("geom_type").isin(*geom_types))
+    return rows.where("geom_idx = 0") if first_only else rows
+
+
+def object_geometries(
+    documents: DataFrame, geom_types: Sequence[str] = ("Solid", "MultiSurface"), first_only: bool = False
+) -> DataFrame:
+    """One row per geometry of an object: ``source, file_path, obj_pos, object_id, object_type,
+    geom_idx, geom_type, rings``; ``rings`` is ``array<struct<shell, face, ring, points>>`` and
+    carries the coordinates. ``first_only`` keeps the first geometry of each object.
+    """
+    return geometries_of(_object_rows(documents, geom_types, first_only, False), geom_types, first_only)
 
 
 def ring_vertices(geometries: DataFrame) -> DataFrame:
@@ -306,15 +339,15 @@ def object_cells(documents: DataFrame) -> DataFrame:
 
 
 def write_tables(documents: DataFrame, target: str, mode: str = "errorifexists") -> None:
-    """Write headers, objects, geometries and vertex pools as Parquet below ``target``.
+    """Write headers, objects with their geometries, vertex pools and bad files as Parquet below
+    ``target``.
 
     Whole-text JSON cannot be split, so a file is one task here; later queries read these tables
     with column pruning and row-group skipping instead.
     """
     tables = {
         "city_file": city_files(documents),
-        "city_object": city_objects(documents),
-        "object_geometry": object_geometries(documents, ("Solid", "MultiSurface", "CompositeSurface")),
+        "city_object": object_table(documents),
         "vertex": vertices(documents),
         "bad_file": bad_files(documents),
     }

@@ -31,7 +31,11 @@ def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _document_rank(texts: DataFrame) -> DataFrame:
-    """Rank of each document by path. One row per document enters the window, without its text."""
+    """Rank of each document by path.
+
+    One short row per document enters the window, without its text: no more than the file listing
+    that the driver already holds.
+    """
     paths = texts.select("doc_path").distinct()
     return paths.select(
         "doc_path", (F.row_number().over(Window.orderBy("doc_path")) - 1).cast("bigint").alias("_rank")
