@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``.
+    """This application's folder below the one that the session names in ``spark.checkpoint.dir``.
 
-    A cluster sets it to storage that all executors see. Where it is unset, as in local tests, a
-    temporary folder is chosen once and kept in the session's setting.
+    A cluster sets it to storage that all executors see; without it there is an error, as the machines
+    have no place in common. Only a local session, where the driver is the one machine, gets the warehouse's
+    folder instead. The folder belongs to the application: the driver removes it when it ends.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="geomatch-")
-        spark.sparkContext.setCheckpointDir(folder)
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{top.rstrip('/')}/geomatch-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
     return folder
 
 
@@ -25,6 +31,6 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: it is computed once, survives the loss of
     executors, and its size is known when Spark plans the joins on it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/geomatch-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
