@@ -245,3 +245,39 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, run_rows: int = RUN_R
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = rooted.join(lowest, "root").select("fp", "component_id")
     return prints.join(members, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _tagged(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, fp and the whole row as a struct, so that no column of the row can clash."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            prints = np.fromiter((fingerprint(t, n) for t in batch["text"].to_pylist()), dtype=np.uint64, count=batch.num_rows)
+            return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints.view(np.int64)), batch["row"]], ["doc_id", "fp", "row"])
+
+        return work
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"), F.struct("*").alias("row"))
+    return arrow_map(rows, make, f"doc_id long, fp long, row {rows.schema['row'].dataType.simpleString()}")
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS, run_rows: int = RUN_ROWS, n: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs``, one for each component: that of the smallest doc_id.
+
+    Null ids come last, so a null row stays only where a component has no id. Of rows that repeat both the id and
+    the fingerprint, one stays.
+    """
+    prints = stored(fingerprints(docs, n))
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = connected(links(classes.select("fp"), radius, run_rows))
+    rooted = classes.join(roots, classes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "fp")).alias("x")).select(F.col("x.first_id").alias("kept_id"), F.col("x.fp").alias("kept_fp"))
+    same = (F.col("kept_id").eqNullSafe(F.col("doc_id"))) & (F.col("kept_fp") == F.col("fp"))
+    kept = stored(prints.join(first, same).groupBy("kept_id", "kept_fp").agg(F.count("*").alias("copies")))
+    once, more = kept.filter("copies = 1"), kept.filter("copies > 1")
+    out = _tagged(docs, n).join(once, same).select("row.*")
+    if more.isEmpty():
+        return out
+    few = docs.join(more.select("kept_id"), docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    rest = _tagged(few, n).join(more, same).groupBy("doc_id", "fp").agg(F.first("row").alias("row")).select("row.*")
+    return out.unionByName(rest)
