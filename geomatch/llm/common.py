@@ -5,13 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geomatch.storage import shared_folder
 
+PIECE_CHARS = 1 << 20
 LETTERS = r"[^\W\d_]"
 
 
@@ -29,7 +32,7 @@ def text_bytes(text: Column) -> Column:
     return text.cast("binary")
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType) -> DataFrame:
     """Apply a function to each batch of rows; ``make`` builds it once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,3 +56,43 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
     return pafs.FileSystem.from_uri(uri)
+
+
+def text_pieces(texts: list[str | None], size: int = PIECE_CHARS) -> Iterator[tuple[list[int], list[str]]]:
+    """Whole texts in groups of about ``size`` characters: the row of each piece, and the pieces.
+
+    A longer text is cut at white space, so that no word is cut; a word without end stays whole.
+    """
+    rows: list[int] = []
+    pieces: list[str] = []
+    held = 0
+    for row, text in enumerate(texts):
+        at, text = 0, text or ""
+        while at < len(text):
+            end = at + size
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            rows.append(row)
+            pieces.append(text[at:end] if at or end < len(text) else text)
+            held += len(pieces[-1])
+            at = end
+            if held >= size:
+                yield rows, pieces
+                rows, pieces, held = [], [], 0
+    if rows:
+        yield rows, pieces
+
+
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], np.ndarray]]) -> DataFrame:
+    """The rows whose text a function keeps; rows travel as a struct, so no column can clash."""
+
+    def build():
+        keeps = make()
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            return batch.select(["row"]).filter(pa.array(keeps(batch["text"].to_pylist()), pa.bool_()))
+
+        return work
+
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    return arrow_map(rows, build, T.StructType([rows.schema["row"]])).select("row.*")

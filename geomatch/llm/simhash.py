@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geomatch.llm.common import arrow_map, text_bytes
 from geomatch.storage import stored
@@ -258,7 +259,7 @@ def _tagged(docs: DataFrame, n: int) -> DataFrame:
         return work
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"), F.struct("*").alias("row"))
-    return arrow_map(rows, make, f"doc_id long, fp long, row {rows.schema['row'].dataType.simpleString()}")
+    return arrow_map(rows, make, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), rows.schema["row"]]))
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, run_rows: int = RUN_ROWS, n: int = SHINGLE_WORDS) -> DataFrame:
