@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,3 +96,14 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], n
 
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     return arrow_map(rows, build, T.StructType([rows.schema["row"]])).select("row.*")
+
+
+def hashed_sample(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """At most ``n`` rows of each key, the first by a hash of ``doc_id``; keys of up to ``n`` rows are whole.
+
+    Rows are counted, then thinned by their hash to about twice ``n`` before they are ordered, so the ordering does not grow with the input.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    thin = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("_rows")), keys).filter(place * F.col("_rows") < max(2 * n, 100))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(place, "doc_id"))
+    return thin.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank", "_rows")

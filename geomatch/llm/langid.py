@@ -26,10 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomatch.llm.common import LETTERS, arrow_map, fold, keep_rows, text_pieces
+from geomatch.llm.common import LETTERS, arrow_map, fold, hashed_sample, keep_rows, text_pieces
 
 DEPTH = 3
 SAMPLE_TEXTS = 1500
@@ -148,8 +148,7 @@ def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model | None:
     What comes to the driver is bounded by the sample: one number for each language and four bytes found in it.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").filter("lang is not null and doc_id is not null")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = known.filter(fold(F.col("doc_id"), FOLDS) != 0).withColumn("place", place).filter(F.col("place") <= sample_texts).select("doc_id", "lang")
+    sample = hashed_sample(known.filter(fold(F.col("doc_id"), FOLDS) != 0), ["lang"], sample_texts)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     texts = own.join(F.broadcast(sample), ["doc_id", "lang"], "left_semi").select("lang", "text")
 

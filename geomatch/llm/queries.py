@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geomatch.llm import simhash, toxicity
+from geomatch.llm import langid, packing, simhash, toxicity
 from geomatch.llm.common import read
 
 
@@ -18,7 +18,17 @@ def score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": identify_language,
     "op4_simhash_near_dedup": simhash_near_dedup,
     "op5_toxicity": score_toxicity,
+    "op6_best_fit_packing": pack_sequences,
 }

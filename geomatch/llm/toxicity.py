@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomatch.llm.common import LETTERS, arrow_map, fold, keep_rows, text_pieces
+from geomatch.llm.common import LETTERS, arrow_map, fold, hashed_sample, keep_rows, text_pieces
 
 ORDER = 6
 OWN_FROM = 3
@@ -229,8 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .filter("fold <> 0")
         .withColumn("part", (F.col("fold") == CALIBRATION_FOLD).cast("int"))
     )
-    place = F.row_number().over(Window.partitionBy("toxic", "part").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = labelled.withColumn("place", place).filter(F.col("place") <= sample_rows).select("doc_id", "toxic", "part")
+    sample = hashed_sample(labelled.select("doc_id", "toxic", "part"), ["toxic", "part"], sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     counted = _count(texts.filter("part = 0").select("toxic", "text")).toPandas()
     share = sample.agg(F.avg("toxic")).first()[0] or 0.0
