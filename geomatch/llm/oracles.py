@@ -2,4 +2,32 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+QUALITY = r"""
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
+    FROM documents
+), windows AS (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)
+), repeated AS (
+    SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+    FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY doc_id
+), counted AS (
+    SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+           CAST(len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+           CAST(len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+           CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+           len(lines) AS n_lines, len(text) - len(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper
+    FROM t LEFT JOIN repeated USING (doc_id)
+), judged AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 3 * n_words <= word_chars AND word_chars <= 10 * n_words AND 10 * n_symbols <= n_words
+       AND 2 * n_dup_lines <= n_lines AND 2 * n_upper <= word_chars AS kept
+FROM judged
+"""
+
+ORACLES: dict[str, str] = {"op8_quality_rules": QUALITY}
