@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from geomatch.storage import shared_folder
 
 PIECE_CHARS = 1 << 20
+_BREAK = re.compile(rb"[ \t-\r]")
 LETTERS = r"[^\W\d_]"
 
 
@@ -107,3 +109,17 @@ def hashed_sample(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     thin = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("_rows")), keys).filter(place * F.col("_rows") < max(2 * n, 100))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(place, "doc_id"))
     return thin.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank", "_rows")
+
+
+def word_runs(data: bytes | None, size: int = PIECE_CHARS) -> Iterator[list[bytes]]:
+    """The words of a whole text, A-Z in lower case, in lists of about ``size`` bytes of text each.
+
+    Words are runs of bytes other than space and 0x09 to 0x0D, as ``bytes.split`` has them.
+    """
+    data = data or b""
+    at = 0
+    while at < len(data):
+        found = _BREAK.search(data, at + size) if len(data) - at > size else None
+        end = found.start() if found else len(data)
+        yield data[at:end].lower().split()
+        at = end

@@ -29,14 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geomatch.llm.common import arrow_map, text_bytes
+from geomatch.llm.common import arrow_map, text_bytes, word_runs
 from geomatch.storage import stored
 
 SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 3
 RUN_ROWS = 2048
-CHUNK = 1 << 16
 
 _WIDTHS = (11, 11, 11, 11, 10, 10)
 _BLOCKS = [((1 << w) - 1) << sum(_WIDTHS[:i]) for i, w in enumerate(_WIDTHS)]
@@ -58,16 +57,18 @@ def _votes(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: bytes | None, n: int = SHINGLE_WORDS) -> int:
     """The 64-bit fingerprint of a text; zero if it has no words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    total = max(1, len(words) - n + 1)
-    votes = np.zeros(64, dtype=np.int64)
-    for at in range(0, total, CHUNK):
-        part = words[at : at + CHUNK + n - 1]
-        shingles = zip(*(part[i:] for i in range(n))) if total > 1 or len(words) == n else [part]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(SEED)), dtype=np.uint64)
-        votes += _votes(hashes)
+    votes, total = np.zeros(64, dtype=np.int64), 0
+    before: list[bytes] = []
+    for words in word_runs(text):
+        words = before + words
+        if len(words) >= n:
+            shingles = zip(*(words[i:] for i in range(n)))
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(SEED)), dtype=np.uint64)
+            votes += _votes(hashes)
+            total += len(hashes)
+        before = words[max(0, len(words) - n + 1) :]
+    if not total:
+        return xxhash.xxh64_intdigest(b" ".join(before), SEED) if before else 0
     return int(np.packbits(votes * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
