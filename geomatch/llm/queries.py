@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geomatch.llm import langid, lm, packing, quality, simhash, toxicity
+from geomatch.llm import decontaminate, langid, lm, packing, quality, simhash, toxicity
 from geomatch.llm.common import read
 
 
@@ -34,11 +34,17 @@ def score_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.perplexity_scores(read(spark, sf_dir, "documents"))
 
 
+def find_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only for contaminated documents: one for each item found in them."""
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": identify_language,
     "op4_simhash_near_dedup": simhash_near_dedup,
     "op5_toxicity": score_toxicity,
     "op6_best_fit_packing": pack_sequences,
     "op8_quality_rules": judge_quality,
+    "op9_benchmark_decontamination": find_contamination,
     "op10_lm_scoring": score_language_model,
 }
