@@ -29,5 +29,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND 2 * n_dup_lines <= n_lines AND 2 * n_upper <= word_chars AS kept
 FROM judged
 """
+#: The string itself follows from its turns: 8 code points for each mark, and one more for each "<" that is escaped.
+CHAT = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS own(t, r)
+), marked AS (
+    SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) THEN 0 ELSE 1 END AS opens FROM rows
+), joined AS (
+    SELECT conv_id, count(*) AS n_turns,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+           coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+           sum(length(regexp_replace(text, '<([|0])', '<0\1', 'g')) + CASE opens WHEN 1 THEN length(regexp_replace(role, '<([|0])', '<0\1', 'g')) + 23 ELSE 8 END) AS chars
+    FROM marked GROUP BY conv_id
+)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+       sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
+FROM joined
+"""
 
-ORACLES: dict[str, str] = {"op8_quality_rules": QUALITY}
+ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT, "op8_quality_rules": QUALITY}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geomatch.llm import decontaminate, langid, lm, packing, quality, simhash, toxicity
+from geomatch.llm import chat, decontaminate, langid, lm, packing, quality, simhash, toxicity
 from geomatch.llm.common import read
 
 
@@ -39,8 +39,14 @@ def find_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_control_conversation(spark, read(spark, sf_dir, "conversations"))
+    return chat.digests(chat.format_conversations(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": identify_language,
+    "op3_chat_formatting": format_chats,
     "op4_simhash_near_dedup": simhash_near_dedup,
     "op5_toxicity": score_toxicity,
     "op6_best_fit_packing": pack_sequences,
