@@ -47,5 +47,15 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha25
        sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
 FROM joined
 """
+WARC = """
+WITH p AS (
+    SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""
 
-ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT, "op8_quality_rules": QUALITY}
+ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT, "op7_warc": WARC, "op8_quality_rules": QUALITY}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geomatch.llm import chat, decontaminate, langid, lm, packing, quality, simhash, toxicity
+from geomatch.llm import chat, decontaminate, html, langid, lm, packing, quality, simhash, toxicity, warc
 from geomatch.llm.common import read
 
 
@@ -44,12 +44,22 @@ def format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
+def extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": extract_main_text,
     "op2_language_id": identify_language,
     "op3_chat_formatting": format_chats,
     "op4_simhash_near_dedup": simhash_near_dedup,
     "op5_toxicity": score_toxicity,
     "op6_best_fit_packing": pack_sequences,
+    "op7_warc": archive_pages,
     "op8_quality_rules": judge_quality,
     "op9_benchmark_decontamination": find_contamination,
     "op10_lm_scoring": score_language_model,
