@@ -49,20 +49,26 @@ def shingles_of(hashes: Column, n: int) -> Column:
     return F.when(F.size(hashes) >= n, each).otherwise(F.array().cast("array<long>"))
 
 
+def _shifted(value: Column, bits: Column) -> Column:
+    return F.call_function("shiftrightunsigned", value, bits)
+
+
 def fingerprint(shingles: Column) -> Column:
-    """Bits that more than half of the hashes set; two counters of 32 bits share a long."""
-    out = F.lit(0).cast("long")
+    """Bits that more than half of the hashes set; the counters of bits i and i + 32 share a long."""
+    zero = F.lit(0).cast("long")
+
+    def votes(i: Column) -> Column:
+        return F.aggregate(shingles, zero, lambda sums, h: sums + _shifted(h, i).bitwiseAND(F.lit(_LANES)))
 
-    def votes_of(i: int) -> Column:
-        return F.aggregate(shingles, F.lit(0).cast("long"), lambda sums, h: sums + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_LANES)))
+    def bit(count: Column, at: Column) -> Column:
+        return F.when(count * 2 > F.size(shingles), F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(zero)
 
-    for i in range(32):
-        sums = votes_of(i)
-        low, high = sums.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(sums, 32)
-        for at, votes in ((i, low), (i + 32, high)):
-            bit = (1 << at) - (1 << 64 if at == 63 else 0)
-            out = out.bitwiseOR(F.when(votes * 2 > F.size(shingles), F.lit(bit)).otherwise(F.lit(0).cast("long")))
-    return out
+    def add(bits: Column, x: Column) -> Column:
+        low, high = x.votes.bitwiseAND(F.lit((1 << 32) - 1)), _shifted(x.votes, F.lit(32))
+        return bits.bitwiseOR(bit(low, x.i)).bitwiseOR(bit(high, x.i + 32))
+
+    counted = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(i.alias("i"), votes(i).alias("votes")))
+    return F.aggregate(counted, zero, add)
 
 
 def tagged(shingles: Column) -> Column:
@@ -72,8 +78,12 @@ def tagged(shingles: Column) -> Column:
     return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), plain).otherwise(counted)
 
 
-def _blocks(fp: Column) -> list[Column]:
-    return [F.shiftrightunsigned(fp, BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for b in range(BLOCKS)]
+def _block(fp: Column, b: Column) -> Column:
+    return _shifted(fp, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+
+
+def _numbers(values: list[int]) -> Column:
+    return F.explode(F.array(*map(F.lit, values)))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -136,10 +146,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     items = stored(_items(benchmark))
     placed = stored(windows(docs, items, threshold).withColumn("window", F.xxhash64("width", "shingles")))
     contents = placed.groupBy("width", "window", "shingles").agg(F.count("*").alias("copies")).withColumn("fp", fingerprint(F.col("shingles")))
-    asked = contents.select("width", "window", "shingles", "fp", F.posexplode(F.array(*_blocks(F.col("fp")))).alias("block", "value"))
-    prints = items.withColumn("item_fp", fingerprint(F.col("shingles"))).withColumnRenamed("shingles", "item_shingles")
-    near = [F.struct(F.lit(b).alias("block"), value.bitwiseXOR(F.lit(flip)).alias("value")) for b, value in enumerate(_blocks(F.col("item_fp"))) for flip in (0, *(1 << i for i in range(BLOCK_BITS)))]
-    kept = prints.select("item_id", "width", "item_shingles", "item_fp", F.explode(F.array(*near)).alias("x")).select("item_id", "width", "item_shingles", "item_fp", "x.block", "x.value")
+    asked = contents.withColumn("block", _numbers([*range(BLOCKS)])).withColumn("value", _block(F.col("fp"), F.col("block")))
+    prints = items.select("item_id", "width", F.col("shingles").alias("item_shingles"), fingerprint(F.col("shingles")).alias("item_fp"))
+    flips = [0, *(1 << i for i in range(BLOCK_BITS))]
+    near = prints.withColumn("block", _numbers([*range(BLOCKS)])).withColumn("flip", _numbers(flips))
+    kept = near.withColumn("value", _block(F.col("item_fp"), F.col("block")).bitwiseXOR(F.col("flip").cast("long"))).drop("flip")
     pairs = asked.join(kept, ["width", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     a, b = tagged(F.col("shingles")), tagged(F.col("item_shingles"))
     pairs = pairs.dropDuplicates(["width", "window", "item_id"]).withColumn("similarity", F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
