@@ -116,7 +116,7 @@ def windows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     kinds = [r[0] for r in items.select("n").distinct().collect()]
     if not kinds:
-        return hashed.limit(0).select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("width"), "h")
+        return hashed.filter(F.lit(False)).select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("width"), F.col("h").alias("shingles"))
     found = None
     for n in sorted(kinds):
         part = _anchors(hashed, items, n)
