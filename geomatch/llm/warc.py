@@ -200,14 +200,10 @@ def page_captures(nested: DataFrame) -> DataFrame:
         )
     )
     heads = rows.filter("record_type = 'response'").groupBy(F.col("capture_id").alias("head_id")).agg(F.any_value("page_id").alias("head_page"), F.any_value("digest").alias("head_digest"), F.any_value("bytes").alias("head_bytes"))
-    again = F.col("record_type") == "revisit"
-    return rows.join(heads, rows.refers_id == heads.head_id, "left").select(
-        "page_id",
-        F.when(again, F.col("head_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
-        F.when(again, F.col("head_digest")).otherwise(F.col("digest")).alias("payload_digest"),
-        "record_type",
-        F.when(again, F.col("head_page")).alias("refers_to"),
-    )
+    responses = rows.filter("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    # Only revisits are joined: a response has no reference, and rows without a key would meet in one task.
+    again = rows.filter("record_type = 'revisit'").join(heads, rows.refers_id == heads.head_id, "left")
+    return responses.unionByName(again.select("page_id", F.col("head_bytes").alias("payload_bytes"), F.col("head_digest").alias("payload_digest"), "record_type", F.col("head_page").alias("refers_to")))
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
