@@ -39,6 +39,12 @@ def feature_maps(features: DataFrame) -> DataFrame:
     )
 
 
+def feature_names(features: DataFrame) -> list[str]:
+    """Names of all features, in the order of their first row: the columns a pivot needs."""
+    first = features.groupBy("feature_name").agg(F.min("pos").alias("pos"))
+    return [r.feature_name for r in first.orderBy("pos", "feature_name").select("feature_name").collect()]
+
+
 def feature_pivot(features: DataFrame, names: Sequence[str]) -> DataFrame:
     """Wide table with one column per named feature: one shuffle, combined map-side."""
     return features.groupBy("building_id").agg(

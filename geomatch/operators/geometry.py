@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from geomatch import constants as C
 from geomatch.functions.crs import is_wgs84, to_lonlat
+from geomatch.sources.cityjson import vertex_pool, well_formed
 
 _KEYS = ("source", "file_path", "obj_pos", "object_id", "object_type", "geom_idx", "geom_type")
 
@@ -174,10 +175,11 @@ def file_boxes(documents: DataFrame) -> DataFrame:
 
     The pool is reduced map-side in the task that parsed it; one row per file is shuffled.
     """
-    parsed = documents.select(
+    parsed = documents.where(well_formed()).select(
         "source",
         "file_path",
         F.from_json("document", "metadata variant, transform variant, vertices array<array<double>>").alias("doc"),
+        "document",
     ).select(
         "source",
         "file_path",
@@ -185,7 +187,7 @@ def file_boxes(documents: DataFrame) -> DataFrame:
         F.try_variant_get("doc.metadata", "$.geographicalExtent", "array<double>").alias("extent"),
         F.try_variant_get("doc.transform", "$.scale", "array<double>").alias("scale"),
         F.try_variant_get("doc.transform", "$.translate", "array<double>").alias("translate"),
-        F.col("doc.vertices").alias("pool"),
+        vertex_pool(),
     )
     points = parsed.select(
         "source", "file_path", "crs", "extent", "scale", "translate", F.explode_outer("pool").alias("v")

@@ -94,25 +94,31 @@ def _project_pairs(pairs: DataFrame, request: Column, threshold: float) -> DataF
     )
 
 
+def _last_file(pairs: DataFrame, buildings: DataFrame | None) -> DataFrame:
+    return pairs if buildings is None else flatten_pairs(pairs, buildings)
+
+
 def ranked_pairs(
     pairs: DataFrame,
+    buildings: DataFrame | None = None,
     k: int | None = None,
     threshold: float = C.CONFIDENCE_THRESHOLD,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Pairs of every building by confidence, ties in list order:
     ``building_id, pair_rank, candidate_id, index_id, prediction, true_label, confidence``.
 
+    With ``buildings``, the last file of a building wins; without, the pairs must already be those of one file for each.
     ``k`` keeps the first ``k`` pairs of each building; by default all are kept.
     """
-    rows = _project_pairs(pairs, F.col("building_id"), threshold)
+    rows = _project_pairs(_last_file(pairs, buildings), F.col("building_id"), threshold)
     if k is not None:
         ranked = top_in_group(rows, ["building_id"], _confidence_order(), k, "pair_rank")
     else:
-        limits = {} if hot_rows is None else {"hot_rows": hot_rows}
-        ranked = rank_in_group(rows, ["building_id"], _confidence_order(), "pair_rank", **limits)
+        ranked = rank_in_group(rows, ["building_id"], _confidence_order(), "pair_rank")
     return ranked.select(
-        "building_id", "pair_rank", "candidate_id", "index_id", "prediction", "true_label", "confidence"
+        "building_id",
+        F.col("pair_rank").cast("bigint").alias("pair_rank"),
+        "candidate_id", "index_id", "prediction", "true_label", "confidence",
     )
 
 
@@ -146,10 +152,12 @@ def pairs_of(
     )
 
 
-def predicted_matches(pairs: DataFrame, threshold: float = C.CONFIDENCE_THRESHOLD) -> DataFrame:
+def predicted_matches(
+    pairs: DataFrame, buildings: DataFrame | None = None, threshold: float = C.CONFIDENCE_THRESHOLD
+) -> DataFrame:
     """Pairs predicted as matches: ``building_id, id, match_id, source, confidence, true_label,
     confidence_text, match_pos``, to be read by confidence descending, then ``match_pos``."""
-    return with_prediction(pairs, threshold).where("prediction = 1").select(
+    return with_prediction(_last_file(pairs, buildings), threshold).where("prediction = 1").select(
         "building_id",
         F.col("index_id").alias("id"),
         F.coalesce("index_id", F.lit("")).alias("match_id"),
@@ -189,10 +197,13 @@ def pair_badges(pairs: DataFrame, threshold: float = C.CONFIDENCE_THRESHOLD) ->
     )
 
 
-def comparison_verdicts(pairs: DataFrame, threshold: float = C.CONFIDENCE_THRESHOLD) -> DataFrame:
-    """Verdict sentence of each building's pair list: ``building_id, n_pairs, verdict``."""
+def comparison_verdicts(
+    pairs: DataFrame, buildings: DataFrame | None = None, threshold: float = C.CONFIDENCE_THRESHOLD
+) -> DataFrame:
+    """Verdict sentence of each building's pair list: ``building_id, n_pairs, verdict``. With ``buildings``,
+    the list of its last file."""
     predicted = F.col("prediction") == 1
-    flags = with_prediction(pairs, threshold).groupBy("building_id").agg(
+    flags = with_prediction(_last_file(pairs, buildings), threshold).groupBy("building_id").agg(
         F.count("*").alias("n_pairs"),
         F.max(predicted).alias("any"),
         F.max(predicted & (F.col("true_label") == 1)).alias("hit"),

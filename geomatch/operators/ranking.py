@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from geomatch.storage import stored
 
-# A group with more rows than this is ranked by several tasks.
-HOT_GROUP_ROWS = 5_000_000
-
-
 def top_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str) -> DataFrame:
     """First ``k`` rows of each group. Spark limits each group to ``k`` rows in every map task before
     the shuffle, so group size does not matter."""
@@ -20,31 +16,13 @@ def top_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def rank_in_group(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    rank: str,
-    hot_rows: int = HOT_GROUP_ROWS,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """Add ``rank`` (1-based) by ``order``, a total order inside each group.
+def rank_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str) -> DataFrame:
+    """Add ``rank`` (1-based, bigint) by ``order``, a total order inside each group.
 
-    Group sizes are measured first, from ``sizes`` (``keys`` and ``n``) if the caller has them. When
-    no group is above ``hot_rows``, one window does it. Hot groups are cut into range slices instead:
-    each slice ranks its own rows and adds the row counts of the slices before it.
+    Rows are cut into range slices by group and order, so a group of any size is shared by as many tasks as its rows need: each slice
+    ranks its own rows and adds the row counts of the slices before it.
     """
     keys = list(keys)
-    sizes = sizes if sizes is not None else df.groupBy(*keys).agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    cold = df.join(hot, keys, "left_anti")
-    ranked = cold.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.unionByName(_rank_by_slices(df.join(hot, keys, "left_semi"), keys, order, rank))
-
-
-def _rank_by_slices(df: DataFrame, keys: list[str], order: Sequence[Column], rank: str) -> DataFrame:
     # The slice numbers must be the same wherever they are used, so they are written down first.
     sliced = stored(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,13 +30,14 @@ def _rank_by_slices(df: DataFrame, keys: list[str], order: Sequence[Column], ran
         sliced.groupBy(*keys, "_slice")
         .agg(F.count("*").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .where("_before > 0")
         .drop("_n")
     )
     local = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
+    # Only groups that are cut have offsets: at most one for each slice.
     return (
         sliced.withColumn("_local", local)
-        .join(offsets, [*keys, "_slice"])
-        .withColumn(rank, (F.col("_local") + F.col("_before")).cast("int"))
-        .drop("_local", "_before", "_slice")
+        .join(offsets, [*keys, "_slice"], "left")
+        .withColumn(rank, F.col("_local").cast("bigint") + F.coalesce("_before", F.lit(0)))
         .select(*df.columns, rank)
     )

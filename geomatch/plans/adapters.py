@@ -8,7 +8,7 @@ of distinct keys, whatever the table size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geomatch.constants import CITY_FOLDER, DEFAULT_MODEL
@@ -41,13 +41,11 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First line of each (order, part)."""
-    order = ("l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_partkey")
-        .agg(F.min(F.struct(*order)).alias("f"))
-        .select("l_orderkey", "l_partkey", "f.l_linenumber", "f.l_discount", "f.l_tax", "f.l_returnflag", "f.l_linestatus")
+    """All line items with ``match_pos``, the place of a line in its order; repeated parts stay."""
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("bigint")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_discount", "l_tax", "l_returnflag", "l_linestatus", place.alias("match_pos")
     )
 
 
@@ -100,7 +98,7 @@ def pairs(spark: SparkSession, sf_dir: str, labelled: bool = True, by: str = "ti
         file_pos.alias("file_pos"),
         building("l_orderkey").alias("building_id"),
         F.col("l_orderkey").alias("bld_pos"),
-        (F.col("l_linenumber") * F.lit(10000000000) + F.col("l_partkey")).alias("match_pos"),
+        "match_pos",
         padded("l_partkey").alias("index_id"),
         (F.col("l_discount") * 10).alias("confidence"),
         true_label.alias("true_label"),

@@ -29,10 +29,8 @@ def _run(x: str) -> str:
 
 _LINES = """
 lines AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey,
-      l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) AS rn
-    FROM lineitem) WHERE rn = 1),
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+    l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) AS match_pos FROM lineitem),
 truth_keys AS (
   SELECT * FROM (
     SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN lowest
@@ -44,7 +42,7 @@ _PAIRS = f"""{_LINES},
 raw_pairs AS (
   SELECT l_orderkey AS k, l_partkey AS p, l_linestatus,
     'tile_' || (l_orderkey % 25) || '.json' AS file_name, 'bag_' || {_pad('l_orderkey')} AS building_id,
-    l_linenumber * 10000000000 + l_partkey AS match_pos, {_pad('l_partkey')} AS index_id,
+    match_pos, {_pad('l_partkey')} AS index_id,
     l_discount * 10 AS confidence,
     CASE WHEN l_tax <> 0 THEN CASE WHEN true_key = l_partkey THEN 1 ELSE 0 END END AS true_label,
     CASE WHEN true_key = l_partkey THEN 1 ELSE 0 END AS is_true,
@@ -55,10 +53,13 @@ pairs AS (
   FROM raw_pairs)"""
 
 _RANKED = f"""WITH {_PAIRS}
-SELECT building_id, row_number() OVER (PARTITION BY k ORDER BY confidence DESC, match_pos)::INT AS pair_rank,
+SELECT building_id, row_number() OVER (PARTITION BY k ORDER BY confidence DESC, match_pos)::BIGINT AS pair_rank,
   {_pad('k')} AS candidate_id, index_id, prediction, true_label, confidence
 FROM pairs"""
 
+# Pairs of the last file of each building, where files are named by the line status.
+_LAST = "(SELECT * FROM pairs JOIN (SELECT k, max(l_linestatus) AS l FROM pairs GROUP BY k) AS newest USING (k) WHERE l_linestatus = l) AS pairs"
+
 # Status of building k from its pairs.
 _STATUS_CASE = """CASE WHEN bool_or(prediction = 1 AND true_label = 1) THEN 'true_match'
        WHEN bool_or(prediction = 1 AND true_label = 0) THEN 'false_positive' ELSE 'no_match' END"""
@@ -94,18 +95,21 @@ def _nudged(x: str, digits: int) -> str:
 def _metrics(is_true: str, has_truth: str) -> str:
     """``sums`` per file for a given notion of a true pair and of a candidate with a counterpart."""
     return f"""{_PAIRS},
+single AS (
+  SELECT k, p, max(confidence) AS confidence, min(match_pos) AS match_pos, max(is_true) AS is_true, max(true_label) AS true_label
+  FROM pairs GROUP BY k, p),
 cand AS (
   SELECT o_orderkey AS k, 'tile_' || (o_orderkey % 25) || '.json' AS file_name,
     CASE WHEN o_orderkey IN ({has_truth}) THEN 1 ELSE 0 END AS has_truth FROM orders),
 best AS (
   SELECT k, CASE WHEN confidence > 0.5 AND {is_true} = 1 THEN 1 ELSE 0 END AS tp,
     CASE WHEN confidence > 0.5 AND {is_true} = 0 THEN 1 ELSE 0 END AS fp
-  FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY confidence DESC, match_pos) AS r FROM pairs) WHERE r = 1),
+  FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY confidence DESC, match_pos) AS r FROM single) WHERE r = 1),
 per_cand AS (
   SELECT k, coalesce(max({is_true}), 0) AS blocked,
     count(*) FILTER (WHERE confidence > 0.5 AND {is_true} = 1) AS tp,
     count(*) FILTER (WHERE confidence > 0.5 AND {is_true} = 0) AS fp
-  FROM pairs GROUP BY k),
+  FROM single GROUP BY k),
 sums AS (
   SELECT file_name, count(*) AS candidates_in_file, sum(has_truth)::BIGINT AS potential_matches_in_index,
     coalesce(sum(blocked), 0)::BIGINT AS potential_matches_in_blocking,
@@ -312,6 +316,16 @@ shaped AS (
 
 _ANGLE = "(2 * atan(exp(y / 6378137.0)) - pi() / 2)"
 
+_VERDICT = f"""WITH {_PAIRS} SELECT building_id, count(*) AS n_pairs,
+        CASE WHEN NOT bool_or(prediction = 1) THEN 'No matches were found in the BKAFI pairs'
+             WHEN bool_or(prediction = 1 AND coalesce(true_label = 1, false)) THEN 'True match was found'
+             WHEN bool_or(prediction = 1 AND coalesce(true_label = 0, false)) THEN 'False positive match was found'
+             ELSE 'Match predictions found (true labels unknown)' END AS verdict
+        FROM pairs GROUP BY building_id"""
+
+_PREDICTED = f"""WITH {_PAIRS} SELECT building_id, index_id AS id, 'Source B' AS source, confidence, true_label,
+        {_percent('confidence', 1)} AS confidence_text FROM pairs WHERE prediction = 1"""
+
 ORACLES: dict[str, str] = {
     "numeric_id": f"WITH {_REQUESTS} SELECT request_id, {_numeric('request_id')} AS numeric_id FROM requests",
     "numeric_id_raw": f"WITH {_REQUESTS} SELECT request_id, {_numeric('request_id', True)} AS numeric_id FROM requests",
@@ -352,21 +366,18 @@ ORACLES: dict[str, str] = {
           (SELECT count(*) FROM pairs JOIN last USING (k) WHERE l_linestatus = l) AS flat_pairs,
           (SELECT count(*) FROM last) AS distinct_candidates""",
     "ranked_pairs": _RANKED,
+    "ranked_pairs_last_file": _RANKED.replace("FROM pairs", "FROM " + _LAST),
     "topk_pairs": f"SELECT * FROM ({_RANKED}) WHERE pair_rank <= 3",
-    "predicted_matches": f"""WITH {_PAIRS} SELECT building_id, index_id AS id, 'Source B' AS source, confidence, true_label,
-        {_percent('confidence', 1)} AS confidence_text FROM pairs WHERE prediction = 1""",
+    "predicted_matches": _PREDICTED,
     "pair_badges": f"""WITH {_PAIRS} SELECT building_id, index_id,
         CASE WHEN prediction = 1 THEN 'Match' ELSE 'No Match' END AS prediction_text,
         CASE true_label WHEN 1 THEN 'Match' WHEN 0 THEN 'No Match' ELSE 'Unknown' END AS true_label_text,
         CASE WHEN true_label IS NULL THEN '' WHEN prediction = true_label THEN 'Correct' ELSE 'Incorrect' END AS badge,
         {_percent('confidence', 1)} AS confidence_text FROM pairs""",
     "match_status": f"WITH {_PAIRS} SELECT building_id, {_STATUS_CASE} AS match_status FROM pairs GROUP BY building_id",
-    "comparison_verdict": f"""WITH {_PAIRS} SELECT building_id, count(*) AS n_pairs,
-        CASE WHEN NOT bool_or(prediction = 1) THEN 'No matches were found in the BKAFI pairs'
-             WHEN bool_or(prediction = 1 AND coalesce(true_label = 1, false)) THEN 'True match was found'
-             WHEN bool_or(prediction = 1 AND coalesce(true_label = 0, false)) THEN 'False positive match was found'
-             ELSE 'Match predictions found (true labels unknown)' END AS verdict
-        FROM pairs GROUP BY building_id""",
+    "comparison_verdict": _VERDICT,
+    "comparison_verdict_last_file": _VERDICT.replace("FROM pairs GROUP", f"FROM {_LAST} GROUP"),
+    "predicted_matches_last_file": _PREDICTED.replace("FROM pairs WHERE", f"FROM {_LAST} WHERE"),
     "best_match": f"""WITH {_PAIRS} SELECT file_name, building_id, index_id, confidence, true_label FROM (
         SELECT *, row_number() OVER (PARTITION BY k ORDER BY confidence DESC, match_pos) AS r FROM pairs)
         WHERE r = 1 AND confidence > 0.5""",
@@ -505,7 +516,7 @@ ORACLES: dict[str, str] = {
           round(CASE kind WHEN 2 THEN y WHEN 3 THEN degrees({_ANGLE}) ELSE 52.0705::DOUBLE + y / 111320.0 END, 8) AS lat FROM p""",
     "extract_object": _EXTRACT,
     "comparison_set": f"""WITH {_PAIRS}, {_PROFILES}
-        SELECT index_id, building_id, row_number() OVER (PARTITION BY pairs.k ORDER BY confidence DESC, match_pos)::INT AS pair_rank,
+        SELECT index_id, building_id, row_number() OVER (PARTITION BY pairs.k ORDER BY confidence DESC, match_pos)::BIGINT AS pair_rank,
           {_pad('pairs.k')} AS candidate_id, prediction, true_label, confidence,
           c.source AS candidate_source, c.file_path AS candidate_file_path, c.object_id AS candidate_object_id,
           c.n_points AS candidate_n_points, c.max_size AS candidate_max_size, c.shown_height AS candidate_shown_height,

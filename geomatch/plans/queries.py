@@ -18,7 +18,6 @@ from geomatch.sources import features as feature_sources
 from geomatch.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
-FEATURE_NAMES = [f"f{i}" for i in range(64)]
 
 
 # --- ids ---------------------------------------------------------------------------------------
@@ -83,6 +82,10 @@ def ranked_pairs(spark, sf):
     return matching.ranked_pairs(A.pairs(spark, sf))
 
 
+def ranked_pairs_last_file(spark, sf):
+    return matching.ranked_pairs(*_result_tables(spark, sf, by="run"))
+
+
 def topk_pairs(spark, sf):
     return matching.ranked_pairs(A.pairs(spark, sf), k=3)
 
@@ -103,6 +106,14 @@ def comparison_verdict(spark, sf):
     return matching.comparison_verdicts(A.pairs(spark, sf))
 
 
+def comparison_verdict_last_file(spark, sf):
+    return matching.comparison_verdicts(*_result_tables(spark, sf, by="run"))
+
+
+def predicted_matches_last_file(spark, sf):
+    return matching.predicted_matches(*_result_tables(spark, sf, by="run")).drop("match_id", "match_pos")
+
+
 def best_match(spark, sf):
     return matching.best_match(A.pairs(spark, sf))
 
@@ -142,7 +153,7 @@ def unmatched_candidates(spark, sf):
 
 def file_metrics(spark, sf):
     return metrics.metrics_from_pairs(
-        A.pairs(spark, sf, labelled=False), A.candidates(spark, sf), A.truth(spark, sf), deduplicate=False
+        A.pairs(spark, sf, labelled=False), A.candidates(spark, sf), A.truth(spark, sf)
     )
 
 
@@ -163,7 +174,7 @@ def _summary(spark, sf):
     pairs = A.pairs(spark, sf, labelled=False)
     listed = A.candidates(spark, sf)
     positions = listed.select("file_name", "file_pos").distinct()
-    records = metrics.metrics_from_pairs(pairs, listed, A.truth(spark, sf), deduplicate=False)
+    records = metrics.metrics_from_pairs(pairs, listed, A.truth(spark, sf))
     asked = positions.select(F.concat(F.lit("RawCitiesData/Source A/"), F.col("file_name")).alias("request_id"))
     summary = stored(records.join(positions, "file_name"))
     return metrics.file_summary(asked, summary, A.result_buildings(pairs, listed))
@@ -189,7 +200,8 @@ def feature_unpivot(spark, sf):
 
 
 def feature_pivot(spark, sf):
-    return feature_ops.feature_pivot(A.features(spark, sf), FEATURE_NAMES)
+    features = A.features(spark, sf)
+    return feature_ops.feature_pivot(features, feature_ops.feature_names(features))
 
 
 def feature_maps(spark, sf):
@@ -398,8 +410,9 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         numeric_id, numeric_id_raw, strip_prefix, id_variants,
-        predicted_label, results_scan, metrics_scan, flatten_last_wins, load_totals, ranked_pairs, topk_pairs,
-        predicted_matches, pair_badges, match_status, comparison_verdict, best_match,
+        predicted_label, results_scan, metrics_scan, flatten_last_wins, load_totals, ranked_pairs, ranked_pairs_last_file, topk_pairs,
+        predicted_matches, pair_badges, match_status, comparison_verdict, comparison_verdict_last_file,
+        predicted_matches_last_file, best_match,
         building_status, building_status_last_file, stage_colours,
         potential_matches, unmatched_candidates, file_metrics, threshold_metrics, best_match_metrics,
         labelled_metrics, file_summary, summary_texts,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomatch.functions.ids import digit_run
-from geomatch.functions.objects import dict_entries
+from geomatch.functions.objects import dict_entries, unique_map
 from geomatch.sources.catalog import decode_path, relative_path
 
 _SURFACE_TYPES = ("MultiSurface", "CompositeSurface")
@@ -41,18 +41,48 @@ def read_documents(
     return documents
 
 
-def _well_formed() -> Column:
-    return F.json_object_keys("document").isNotNull()
+_END = "end of document"
+
+
+def well_formed() -> Column:
+    """The text is one JSON object and nothing else.
+
+    The text is read as the first of two array elements: anything after its closing brace would leave another
+    second element, or none.
+    """
+    whole = F.get_json_object(F.concat(F.lit("["), "document", F.lit(f',"{_END}"]')), "$[1]") == _END
+    return F.coalesce(whole & F.ltrim("document").startswith("{"), F.lit(False))
 
 
 def bad_files(documents: DataFrame) -> DataFrame:
     """Files whose text is not a JSON object: ``source, file_path``."""
-    return documents.where(~_well_formed()).select("source", "file_path")
+    return documents.where(~well_formed()).select("source", "file_path")
 
 
 def _parse(documents: DataFrame, fields: str) -> DataFrame:
-    """``source, file_path, doc``; malformed documents parse to NULL fields and yield no rows."""
-    return documents.select("source", "file_path", F.from_json("document", fields).alias("doc"))
+    """``source, file_path, doc, document``; malformed documents yield no rows."""
+    return documents.where(well_formed()).select(
+        "source", "file_path", F.from_json("document", fields).alias("doc"), "document"
+    )
+
+
+def vertex_pool() -> Column:
+    """Vertices as numbers, from ``doc.vertices`` of type ``array<array<double>>``.
+
+    That parse is NULL as a whole if one vertex holds anything else; only then each vertex is read by itself:
+    numbers in quotes count, other entries are NULL, and what is no array is a NULL vertex.
+    """
+    texts = F.from_json("document", "vertices array<string>")["vertices"]
+    numbers = F.transform(
+        texts, lambda v: F.transform(F.from_json(v, "array<string>"), lambda x: x.try_cast("double"))
+    )
+    return F.coalesce("doc.vertices", numbers).alias("pool")
+
+
+def _with_unique_keys(column: str) -> Column:
+    """Attributes text as a variant. A variant takes each key once, so of repeated keys the last value counts."""
+    members = F.from_json(F.col(column), "map<string, variant>")
+    return F.coalesce(F.try_parse_json(column), F.to_variant_object(unique_map(members))).alias("attributes")
 
 
 def _numbers(column: str, path: str) -> Column:
@@ -86,9 +116,9 @@ def _dequantised(vertex: Column) -> list[Column]:
 def city_files(documents: DataFrame) -> DataFrame:
     """Headers: ``source, file_path, version, crs, scale, translate, extent, n_objects, n_vertices``."""
     parsed = _parse(
-        documents.where(_well_formed()),
+        documents,
         "version string, metadata variant, transform variant, "
-        "vertices array<array<double>>, CityObjects map<string, string>",
+        "vertices array<string>, CityObjects map<string, string>",
     )
     return parsed.select(
         "source",
@@ -110,7 +140,7 @@ def city_objects(documents: DataFrame) -> DataFrame:
         _parse(documents, "CityObjects map<string, string>")
         .select("source", "file_path", F.col("doc.CityObjects").alias("members"))
         .select("source", "file_path", F.explode(dict_entries(F.col("members"))).alias("o"))
-        .select("source", "file_path", "o.*", F.from_json("o.value", "type string, attributes variant").alias("parsed"))
+        .select("source", "file_path", "o.*", F.from_json("o.value", "type string, attributes string").alias("parsed"))
     )
     return objects.select(
         "source",
@@ -118,7 +148,7 @@ def city_objects(documents: DataFrame) -> DataFrame:
         F.col("pos").alias("obj_pos"),
         F.col("key").alias("object_id"),
         F.col("parsed.type").alias("object_type"),
-        F.col("parsed.attributes").alias("attributes"),
+        _with_unique_keys("parsed.attributes"),
         (F.coalesce(F.size(F.json_object_keys("value")), F.lit(0)) <= 0).alias("is_empty"),
         digit_run(F.col("key")).alias("numeric_id"),
     )
@@ -129,9 +159,7 @@ def vertices(documents: DataFrame) -> DataFrame:
     de-quantised by the document's transform, if it has one."""
     pool = (
         _parse(documents, "transform variant, vertices array<array<double>>")
-        .select(
-            "source", "file_path", _affine("doc.transform"), F.col("doc.vertices").alias("pool")
-        )
+        .select("source", "file_path", _affine("doc.transform"), vertex_pool())
         .select("source", "file_path", "affine", F.posexplode("pool").alias("vertex_idx", "v"))
     )
     return pool.select(
@@ -200,7 +228,8 @@ def _points(ring: Column) -> Column:
     """Points of a ring with their coordinates; indices outside the pool drop out."""
 
     def point(idx: Column, pos: Column) -> Column:
-        v = F.get(F.col("doc.vertices"), idx)
+        # The pool is named twice: named once, it may be merged into this expression and read for every point.
+        v = F.when(idx < F.size("pool"), F.get("pool", idx))
         return F.struct(pos.alias("vpos"), idx.alias("vertex_idx"), *_dequantised(v))
 
     return F.filter(F.transform(ring, point), lambda p: p["x"].isNotNull())
@@ -215,8 +244,8 @@ def _object_rows(
     ).select(
         "source",
         "file_path",
-        "doc",
         _affine("doc.transform"),
+        vertex_pool(),
         F.col("doc.CityObjects").alias("members"),
     )
 
@@ -260,7 +289,7 @@ def _object_rows(
     if not described:
         return rows
     return rows.withColumns(
-        {"attributes": F.try_parse_json("attributes"), "numeric_id": digit_run(F.col("object_id"))}
+        {"attributes": _with_unique_keys("attributes"), "numeric_id": digit_run(F.col("object_id"))}
     )
 
 
@@ -310,7 +339,7 @@ def object_cells(documents: DataFrame) -> DataFrame:
         documents,
         "version variant, metadata variant, transform variant, "
         "vertices array<array<double>>, CityObjects map<string, string>",
-    ).select("source", "file_path", "doc", F.col("doc.CityObjects").alias("members"))
+    ).select("source", "file_path", "doc", vertex_pool(), F.col("doc.CityObjects").alias("members"))
 
     def used(value: Column) -> Column:
         found = F.from_json(value, _GEOMETRIES)["geometry"]
@@ -328,8 +357,8 @@ def object_cells(documents: DataFrame) -> DataFrame:
         )
 
     def with_vertices(o: Column) -> Column:
-        inside = F.filter(o["used"], lambda i: i < F.size("doc.vertices"))
-        own = F.transform(inside, lambda i: F.get(F.col("doc.vertices"), i))
+        inside = F.filter(o["used"], lambda i: i < F.size("pool"))
+        own = F.transform(inside, lambda i: F.get("pool", i))
         return F.struct(o["obj_pos"], o["object_id"], o["value"], o["used"], own.alias("own_vertices"))
 
     cells = F.transform(F.transform(dict_entries(F.col("members")), with_used), with_vertices)
@@ -338,8 +367,34 @@ def object_cells(documents: DataFrame) -> DataFrame:
     ).select("source", "file_path", "version", "metadata", "transform", "o.*")
 
 
+def city_quality(documents: DataFrame) -> DataFrame:
+    """What a scan could not take as it is, one row per file: ``source, file_path, is_readable, n_vertices,
+    n_bad_vertices, n_objects, n_repeated_objects, n_repeated_attributes``.
+
+    A bad vertex has fewer than three numbers. A repeated object or attribute is a key that stands more than once in its
+    dictionary: the last value counts.
+    """
+    fields = "vertices array<array<double>>, CityObjects map<string, string>"
+    parsed = documents.select("source", "file_path", well_formed().alias("is_readable"), F.from_json("document", fields).alias("doc"), "document")
+    parts = parsed.select("source", "file_path", "is_readable", vertex_pool(), F.map_entries("doc.CityObjects").alias("members"))
+    whole = lambda v: F.coalesce(F.size(F.filter(F.slice(v, 1, 3), lambda x: x.isNotNull())), F.lit(0)) >= 3
+    repeats = lambda keys: F.coalesce(F.size(keys) - F.size(F.array_distinct(keys)), F.lit(0))
+    own = F.transform("members", lambda m: repeats(F.json_object_keys(F.get_json_object(m["value"], "$.attributes"))))
+    count = lambda c: F.when(F.col("is_readable"), F.greatest(c, F.lit(0))).otherwise(0).cast("bigint")
+    return parts.select(
+        "source",
+        "file_path",
+        "is_readable",
+        count(F.coalesce(F.size("pool"), F.lit(0))).alias("n_vertices"),
+        count(F.coalesce(F.size(F.filter("pool", lambda v: ~F.coalesce(whole(v), F.lit(False)))), F.lit(0))).alias("n_bad_vertices"),
+        count(F.coalesce(F.size("members"), F.lit(0))).alias("n_objects"),
+        count(repeats(F.transform("members", lambda m: m["key"]))).alias("n_repeated_objects"),
+        count(F.coalesce(F.aggregate(own, F.lit(0), lambda a, x: a + F.greatest(x, F.lit(0))), F.lit(0))).alias("n_repeated_attributes"),
+    )
+
+
 def write_tables(documents: DataFrame, target: str, mode: str = "errorifexists") -> None:
-    """Write headers, objects with their geometries, vertex pools and bad files as Parquet below
+    """Write headers, objects with their geometries, vertex pools, bad files and the quality of each file as Parquet below
     ``target``.
 
     Whole-text JSON cannot be split, so a file is one task here; later queries read these tables
@@ -350,6 +405,7 @@ def write_tables(documents: DataFrame, target: str, mode: str = "errorifexists")
         "city_object": object_table(documents),
         "vertex": vertices(documents),
         "bad_file": bad_files(documents),
+        "quality": city_quality(documents),
     }
     for name, table in tables.items():
         table.write.mode(mode).parquet(f"{target.rstrip('/')}/{name}")

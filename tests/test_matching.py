@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geomatch.operators import lookup, matching, metrics, ranking, status
@@ -203,13 +204,15 @@ def test_object_and_file_lookup(spark):
     assert found["nope"] == (None, None, None)
 
 
-def test_hot_groups_are_ranked_by_slices(spark):
-    rows = [("hot", i % 7, i) for i in range(5000)] + [(f"c{i}", 0, i) for i in range(50)]
+def test_hot_and_small_groups_are_ranked_alike(spark):
+    """One group of nearly all rows, many small ones, more tasks than groups: one way for all."""
+    rows = [("hot", i % 7, i) for i in range(5000)] + [(f"c{i % 40}", 0, i) for i in range(200)]
     df = spark.createDataFrame(rows, "g string, a int, b int").repartition(6)
     order = [F.desc("a"), F.asc("b")]
-    plain = ranking.rank_in_group(df, ["g"], order, "r")
-    sliced = ranking.rank_in_group(df, ["g"], order, "r", hot_rows=100)
-    assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, plain.collect()))
+    plain = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    ranked = ranking.rank_in_group(df, ["g"], order, "r")
+    assert dict(ranked.dtypes)["r"] == "bigint"
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, plain.collect()))
 
 
 @pytest.fixture(scope="module")
