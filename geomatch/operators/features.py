@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geomatch.functions.display import feature_text
 
+_VALUES = ("value", "value_array", "value_json")
+
 
 def latest_features(features: DataFrame) -> DataFrame:
     """One row per (building, feature): the last one by ``pos`` wins. Repeats are combined before
     the shuffle, and the result of a building is never larger than the number of features."""
     return features.groupBy("building_id", "feature_name").agg(
-        F.max_by(F.struct("value", "value_array"), "pos").alias("v"), F.min("pos").alias("pos")
-    ).select("building_id", "feature_name", "v.value", "v.value_array", "pos")
+        F.max_by(F.struct(*_VALUES), "pos").alias("v"), F.min("pos").alias("pos")
+    ).select("building_id", "feature_name", *(f"v.{c}" for c in _VALUES), "pos")
 
 
 def first_feature_buildings(features: DataFrame) -> DataFrame:
@@ -25,12 +27,16 @@ def first_feature_buildings(features: DataFrame) -> DataFrame:
     return features.join(ids, "building_id", "left_semi")
 
 
+def _by_name(a: Column, b: Column) -> Column:
+    return F.when(a["feature_name"] < b["feature_name"], -1).when(a["feature_name"] > b["feature_name"], 1).otherwise(0)
+
+
 def feature_maps(features: DataFrame) -> DataFrame:
-    """``building_id, features map<string, double>, n_features``, features in name order."""
+    """``building_id, features map<string, struct<value, value_array, value_json>>, n_features``, features in name order."""
     return (
         latest_features(features)
         .groupBy("building_id")
-        .agg(F.sort_array(F.collect_list(F.struct("feature_name", "value"))).alias("entries"))
+        .agg(F.array_sort(F.collect_list(F.struct("feature_name", F.struct(*_VALUES).alias("v"))), _by_name).alias("entries"))
         .select(
             "building_id",
             F.map_from_entries("entries").alias("features"),
@@ -61,13 +67,13 @@ def feature_listing(features: DataFrame) -> DataFrame:
     entries = (
         latest_features(features)
         .groupBy("building_id")
-        .agg(F.sort_array(F.collect_list(F.struct("feature_name", "value", "value_array"))).alias("entries"))
+        .agg(F.array_sort(F.collect_list(F.struct("feature_name", *_VALUES)), _by_name).alias("entries"))
     )
     return entries.select("building_id", F.posexplode("entries").alias("feature_no", "e")).select(
         "building_id",
         (F.col("feature_no") + 1).alias("feature_no"),
         "e.feature_name",
-        feature_text(F.col("e.value"), F.col("e.value_array")).alias("shown"),
+        feature_text(F.col("e.value"), F.col("e.value_array"), F.col("e.value_json")).alias("shown"),
     )
 
 

@@ -171,30 +171,44 @@ def metrics_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- features and requests ---------------------------------------------------------------------
 
 
+def _more_features(name: str, pos: int, value: Column | None = None, items: Column | None = None, text: Column | None = None) -> list[Column]:
+    """Columns of one more feature of every vector."""
+    null = F.lit(None)
+    return [
+        "building_id",
+        F.lit(name).alias("feature_name"),
+        (null if value is None else value).cast("double").alias("value"),
+        (null if items is None else items).cast("array<double>").alias("value_array"),
+        (null if text is None else text).cast("string").alias("value_json"),
+        (F.col("vec_id") * 1000 + pos).alias("pos"),
+    ]
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long features with ``pos``; embedding 0 of each vector is also written once before, with
-    another value, so that the last one must win."""
-    vectors = table(spark, sf_dir, "embeddings").select(padded("vec_id").alias("building_id"), "vec_id", "embedding")
+    another value, so that the last one must win. Three more features hold an array, a text and an object."""
+    vectors = table(spark, sf_dir, "embeddings").select(padded("vec_id").alias("building_id"), "vec_id", "embedding", "label")
     rows = vectors.select("building_id", "vec_id", F.posexplode("embedding").alias("n", "value")).select(
         "building_id",
         F.concat(F.lit("f"), F.col("n").cast("string")).alias("feature_name"),
         F.col("value").cast("double").alias("value"),
         F.lit(None).cast("array<double>").alias("value_array"),
+        F.lit(None).cast("string").alias("value_json"),
         (F.col("vec_id") * 1000 + F.col("n") + 1).alias("pos"),
     )
-    earlier = vectors.select(
-        "building_id",
-        F.lit("f0").alias("feature_name"),
-        F.lit(-1.0).alias("value"),
-        F.lit(None).cast("array<double>").alias("value_array"),
-        (F.col("vec_id") * 1000).alias("pos"),
+    label = F.col("label").cast("string")
+    return (
+        rows.unionByName(vectors.select(*_more_features("f0", 0, value=F.lit(-1.0))))
+        .unionByName(vectors.select(*_more_features("shape", 900, items=F.slice("embedding", 1, 3))))
+        .unionByName(vectors.select(*_more_features("note", 901, text=F.concat(F.lit('"class '), label, F.lit('"')))))
+        .unionByName(vectors.select(*_more_features("meta", 902, text=F.concat(F.lit('{"label":'), label, F.lit("}")))))
     )
-    return rows.unionByName(earlier)
 
 
 def property_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Property dictionaries, one per vector, with entries that must be skipped."""
-    vectors = table(spark, sf_dir, "embeddings").select(padded("vec_id").alias("id"), "embedding")
+    """Property dictionaries, one per vector, with entries that must be skipped, values that are no numbers, a
+    building that stands twice in a feature, and an object that repeats a key."""
+    vectors = table(spark, sf_dir, "embeddings").select(padded("vec_id").alias("id"), "embedding", "label")
     entries = F.transform(
         "embedding",
         lambda v, n: F.struct(
@@ -207,9 +221,14 @@ def property_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("shape").alias("k"), F.to_variant_object(F.struct(F.create_map(F.col("id"), F.slice("embedding", 1, 3).cast("array<double>")).alias("cands"))).alias("v")),
         F.struct(F.lit("list").alias("k"), F.to_variant_object(F.struct(F.array(F.lit(1)).alias("cands"))).alias("v")),
     )
+    plain = F.to_json(F.map_from_entries(F.concat(entries, others)))
+    odd = F.format_string(
+        ',"twice":{"cands":{"%1$s":-1,"%1$s":%2$d}},"name":{"cands":{"%1$s":"class %2$d"}},"meta":{"cands":{"%1$s":{"label":%2$d}}},'
+        '"again":{"cands":{"%1$s":{"a":1,"a":2}}}}',
+        "id", "label",
+    )
     return vectors.select(
-        F.col("id").alias("doc_path"),
-        F.to_json(F.map_from_entries(F.concat(entries, others))).alias("document"),
+        F.col("id").alias("doc_path"), F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), odd).alias("document")
     )
 
 
@@ -335,6 +354,18 @@ def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _box_documents(items, "B", "")
 
 
+def odd_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index documents, by the number of their block: as they are; with three vertices that are not three numbers, an
+    object and an attribute that repeat; with text after the end."""
+    number = F.regexp_extract("file_path", "tile_([0-9]+)", 1).cast("int") % 3
+    end = F.lit(-1)
+    body = F.substring("document", F.lit(1), F.length("document") + end)
+    more = F.lit(',"vertices":[[1,2],["3",4,5],null,[1,2,3],[0,"x",1]],"CityObjects":{"a":{"type":"Road"},"a":{"type":"Building","attributes":{"name":"n","name":"m"}}}}')
+    odd = F.concat(F.regexp_replace(F.regexp_replace(body, '"vertices":', '"old":'), '"CityObjects":', '"older":'), more)
+    text = F.when(number == 1, odd).when(number == 2, F.concat("document", F.lit(" }"))).otherwise(F.col("document"))
+    return index_documents(spark, sf_dir).withColumn("document", text)
+
+
 def candidate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source A: one box per order."""
     items = table(spark, sf_dir, "orders").select(

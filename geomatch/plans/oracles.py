@@ -316,6 +316,15 @@ shaped AS (
 
 _ANGLE = "(2 * atan(exp(y / 6378137.0)) - pi() / 2)"
 
+_UNPIVOT = f"""SELECT {_pad('vec_id')} AS building_id, 'f' || (n - 1) AS feature_name, embedding[n]::DOUBLE AS value,
+          NULL::INT AS n_items, NULL::DOUBLE AS third_item, NULL::VARCHAR AS value_json
+        FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS n FROM embeddings)
+        UNION ALL SELECT {_pad('vec_id')}, 'shape', NULL, least(len(embedding), 3)::INT, embedding[3]::DOUBLE, NULL FROM embeddings
+        UNION ALL SELECT {_pad('vec_id')}, 'twice', label, NULL, NULL, NULL FROM embeddings
+        UNION ALL SELECT {_pad('vec_id')}, 'name', NULL, NULL, NULL, '"class ' || label || '"' FROM embeddings
+        UNION ALL SELECT {_pad('vec_id')}, 'meta', NULL, NULL, NULL, '{{"label":' || label || '}}' FROM embeddings
+        UNION ALL SELECT {_pad('vec_id')}, 'again', NULL, NULL, NULL, '"{{\\"a\\":1,\\"a\\":2}}"' FROM embeddings"""
+
 _VERDICT = f"""WITH {_PAIRS} SELECT building_id, count(*) AS n_pairs,
         CASE WHEN NOT bool_or(prediction = 1) THEN 'No matches were found in the BKAFI pairs'
              WHEN bool_or(prediction = 1 AND coalesce(true_label = 1, false)) THEN 'True match was found'
@@ -422,24 +431,26 @@ ORACLES: dict[str, str] = {
         )
     )
     + " FROM summary",
-    "feature_unpivot": f"""SELECT {_pad('vec_id')} AS building_id, 'f' || (n - 1) AS feature_name, embedding[n]::DOUBLE AS value,
-          NULL::INT AS n_items, NULL::DOUBLE AS third_item
-        FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS n FROM embeddings)
-        UNION ALL SELECT {_pad('vec_id')}, 'shape', NULL, least(len(embedding), 3)::INT, embedding[3]::DOUBLE FROM embeddings""",
+    "feature_unpivot": _UNPIVOT,
+    "feature_round_trip": _UNPIVOT,
+    "first_feature_maps": f"""SELECT {_pad('vec_id')} AS building_id, (len(embedding) + 5)::INT AS n_features,
+        '"class ' || label || '"' AS name, label::DOUBLE AS twice FROM embeddings""",
     "feature_pivot": f"SELECT {_pad('vec_id')} AS building_id, "
     + ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(64))
-    + " FROM embeddings",
-    "feature_maps": f"""WITH f AS (SELECT vec_id, 'f' || (unnest(range(1, len(embedding) + 1)) - 1) AS name FROM embeddings)
-        SELECT {_pad('vec_id')} AS building_id, len(embedding)::INT AS n_features, embedding[1]::DOUBLE AS f0,
-          embedding[64]::DOUBLE AS f63, names
+    + ", " + ", ".join(f"NULL::DOUBLE AS {n}" for n in ("shape", "note", "meta")) + " FROM embeddings",
+    "feature_maps": f"""WITH f AS (SELECT vec_id, unnest(list_concat(['meta', 'note', 'shape'], ['f' || (i - 1) FOR i IN range(1, len(embedding) + 1)])) AS name FROM embeddings)
+        SELECT {_pad('vec_id')} AS building_id, (len(embedding) + 3)::INT AS n_features, embedding[1]::DOUBLE AS f0,
+          embedding[64]::DOUBLE AS f63, least(len(embedding), 3)::INT AS n_shape, '"class ' || label || '"' AS note, names
         FROM embeddings JOIN (SELECT vec_id, string_agg(name, ',' ORDER BY name) AS names FROM f GROUP BY 1) USING (vec_id)""",
     "feature_listing": f"""WITH f AS (
-          SELECT vec_id, 'f' || (n - 1) AS feature_name, embedding[n]::DOUBLE AS v
-          FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS n FROM embeddings))
+          SELECT vec_id, 'f' || (n - 1) AS feature_name, printf('%.4f', {_nudged('v', 4)}) AS shown
+          FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS n, embedding[n]::DOUBLE AS v FROM embeddings)
+          UNION ALL SELECT vec_id, 'shape', '[' || least(len(embedding), 3) || ' items]' FROM embeddings
+          UNION ALL SELECT vec_id, 'note', '"class ' || label || '"' FROM embeddings
+          UNION ALL SELECT vec_id, 'meta', '{{"label":' || label || '}}' FROM embeddings)
         SELECT {_pad('vec_id')} AS building_id,
-          row_number() OVER (PARTITION BY vec_id ORDER BY feature_name)::INT AS feature_no, feature_name,
-          printf('%.4f', {_nudged('v', 4)}) AS shown FROM f""",
-    "feature_counts": f"SELECT {_pad('vec_id')} AS building_id, len(embedding)::BIGINT AS n_features FROM embeddings",
+          row_number() OVER (PARTITION BY vec_id ORDER BY feature_name)::INT AS feature_no, feature_name, shown FROM f""",
+    "feature_counts": f"SELECT {_pad('vec_id')} AS building_id, (len(embedding) + 3)::BIGINT AS n_features FROM embeddings",
     "feature_lookup": _FEATURE_LOOKUP,
     "pair_lookup": f"WITH {_pair_lookup('o_orderkey')} SELECT request_id, key, tier FROM found",
     "pairs_of_request": f"""WITH {_pair_lookup('(o_orderkey % 25, o_orderkey)')}, {_PAIRS},
@@ -470,6 +481,14 @@ ORACLES: dict[str, str] = {
         named AS (SELECT request_id, list_last(string_split(request_id, '/')) AS base FROM asked)
         SELECT request_id, arg_min(key, pos) AS key, 0 AS tier
         FROM named JOIN keys ON contains(base, key) OR contains(key, base) GROUP BY request_id""",
+    "city_quality": f"""WITH {_BOXES}, files AS (SELECT file_path, (k // 50) % 3 AS kind, count(*) AS n FROM boxes GROUP BY ALL)
+        SELECT file_path, kind <> 2 AS is_readable, CASE kind WHEN 0 THEN n * 12 WHEN 1 THEN 5 ELSE 0 END::BIGINT AS n_vertices,
+          CASE kind WHEN 1 THEN 3 ELSE 0 END::BIGINT AS n_bad_vertices, CASE kind WHEN 0 THEN n WHEN 1 THEN 2 ELSE 0 END::BIGINT AS n_objects,
+          CASE kind WHEN 1 THEN 1 ELSE 0 END::BIGINT AS n_repeated_objects, CASE kind WHEN 1 THEN 1 ELSE 0 END::BIGINT AS n_repeated_attributes
+        FROM files""",
+    "vertices_of_odd_files": f"""WITH {_BOXES} SELECT file_path, count(*)::BIGINT AS n_vertices, count(*)::BIGINT AS n_x, count(*)::BIGINT AS n_z, sum(vz)::DOUBLE AS sum_vz
+        FROM placed WHERE turn = 0 GROUP BY file_path
+        UNION ALL SELECT DISTINCT file_path, 5, 4, 3, 9.0::DOUBLE FROM placed WHERE turn = 1""",
     "cityjson_objects": f"""WITH {_BOXES} SELECT 'B' AS source, file_path, pos::INT AS obj_pos, object_id, {_KIND} AS object_type,
           object_id AS numeric_id, CASE WHEN s % 2 = 0 THEN p_name ELSE object_id END AS display_name, false AS is_empty,
           CASE WHEN s % 3 <> 0 AND s % 5 <> 0 THEN s % 5 WHEN s <> 0 THEN s ELSE 10 END::DOUBLE AS attribute_height FROM boxes""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from geomatch.operators import features as feature_ops
 from geomatch.plans import adapters as A
 from geomatch.sources import catalog, cityjson, results
 from geomatch.sources import features as feature_sources
-from geomatch.storage import stored
+from geomatch.storage import shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -191,12 +192,25 @@ def summary_texts(spark, sf):
 # --- features ----------------------------------------------------------------------------------
 
 
+_SHOWN = ("building_id", "feature_name", "value", F.size("value_array").alias("n_items"), F.get("value_array", F.lit(2)).alias("third_item"), "value_json")
+
+
 def feature_unpivot(spark, sf):
-    rows = feature_sources.unpivot_properties(A.property_texts(spark, sf))
-    return rows.select(
-        "building_id", "feature_name", "value", F.size("value_array").alias("n_items"),
-        F.get("value_array", F.lit(2)).alias("third_item"),
-    )
+    return feature_sources.unpivot_properties(A.property_texts(spark, sf)).select(*_SHOWN)
+
+
+def feature_round_trip(spark, sf):
+    """Unpivoted, written as Parquet, read back, last value of each."""
+    path = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    feature_sources.write_features(feature_sources.unpivot_properties(A.property_texts(spark, sf)), path)
+    return feature_ops.latest_features(feature_sources.read_features(spark, path)).select(*_SHOWN)
+
+
+def first_feature_maps(spark, sf):
+    """Buildings of the first feature with all their features."""
+    first = feature_ops.first_feature_buildings(feature_sources.unpivot_properties(A.property_texts(spark, sf)))
+    maps = feature_ops.feature_maps(first)
+    return maps.select("building_id", "n_features", F.col("features")["name"]["value_json"].alias("name"), F.col("features")["twice"]["value"].alias("twice"))
 
 
 def feature_pivot(spark, sf):
@@ -209,8 +223,10 @@ def feature_maps(spark, sf):
     return maps.select(
         "building_id",
         "n_features",
-        F.try_element_at("features", F.lit("f0")).alias("f0"),
-        F.try_element_at("features", F.lit("f63")).alias("f63"),
+        F.col("features")["f0"]["value"].alias("f0"),
+        F.col("features")["f63"]["value"].alias("f63"),
+        F.size(F.col("features")["shape"]["value_array"]).alias("n_shape"),
+        F.col("features")["note"]["value_json"].alias("note"),
         F.array_join(F.map_keys("features"), ",").alias("names"),
     )
 
@@ -266,6 +282,17 @@ def file_lookup(spark, sf):
 # --- CityJSON ----------------------------------------------------------------------------------
 
 
+def city_quality(spark, sf):
+    """Index documents, every other one with odd entries."""
+    return cityjson.city_quality(A.odd_documents(spark, sf)).drop("source")
+
+
+def vertices_of_odd_files(spark, sf):
+    return cityjson.vertices(A.odd_documents(spark, sf)).groupBy("file_path").agg(
+        F.count("*").alias("n_vertices"), F.count("x").alias("n_x"), F.count("z").alias("n_z"), F.sum("vz").alias("sum_vz")
+    )
+
+
 def cityjson_objects(spark, sf):
     objects = cityjson.city_objects(A.index_documents(spark, sf))
     return objects.select(
@@ -416,9 +443,9 @@ QUERIES: dict[str, Query] = {
         building_status, building_status_last_file, stage_colours,
         potential_matches, unmatched_candidates, file_metrics, threshold_metrics, best_match_metrics,
         labelled_metrics, file_summary, summary_texts,
-        feature_unpivot, feature_pivot, feature_maps, feature_listing, feature_counts,
+        feature_unpivot, feature_round_trip, feature_pivot, feature_maps, first_feature_maps, feature_listing, feature_counts,
         feature_lookup, pair_lookup, pairs_of_request, matches_of_request, object_lookup, find_file, file_lookup,
-        cityjson_objects, object_descriptions, dequantised_vertices, ring_vertices, object_bbox, object_height,
+        city_quality, vertices_of_odd_files, cityjson_objects, object_descriptions, dequantised_vertices, ring_vertices, object_bbox, object_height,
         drawable_objects, footprint, footprint_stats, file_bbox, file_counts, geo_bounds, bounds_ring,
         lonlat_points, extract_object, comparison_set, object_type_class, display_texts,
         source_files, resolve_paths, file_catalog,

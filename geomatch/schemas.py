@@ -7,7 +7,12 @@ FILE_CATALOG = (
 # One row per CityJSON file, with its text.
 DOCUMENT = "source string, file_path string, document string"
 
-FEATURE = "building_id string, feature_name string, value double, value_array array<double>"
+# A number is in `value`, an array of numbers in `value_array`, anything else as JSON text in
+# `value_json`; `pos` is the place in the dictionary.
+FEATURE = (
+    "building_id string, feature_name string, value double, value_array array<double>, "
+    "value_json string, pos bigint"
+)
 
 # One row per pair of a building; `file_pos`, `bld_pos` and `match_pos` are the places of the file,
 # the building and the pair in the source, in ascending order.

@@ -9,22 +9,24 @@ from geomatch.functions.objects import dict_entries
 from geomatch.schemas import FEATURE
 
 
+_VALUES = ("value", "value_array", "value_json")
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Long feature table with ``pos``, the place of each row (file, row in file)."""
+    """Long feature table; ``pos`` orders rows by their place in the dictionary and, where the files have none, by file and
+    row in the file."""
     rows = spark.read.schema(FEATURE).parquet(path)
-    return rows.select(
-        "building_id", "feature_name", "value", "value_array",
-        F.struct(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
-        ).alias("pos"),
+    place = F.struct(
+        F.col("pos").alias("place"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
     )
+    return rows.select("building_id", "feature_name", *_VALUES, place.alias("pos"))
 
 
 def write_features(features: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write the long table, sorted by building inside each file so that row groups can be skipped."""
     (
-        features.select("building_id", "feature_name", "value", "value_array")
-        .sortWithinPartitions("building_id", "feature_name")
+        features.select("building_id", "feature_name", *_VALUES, "pos")
+        .sortWithinPartitions("building_id", "feature_name", "pos")
         .write.mode(mode)
         .parquet(path)
     )
@@ -32,29 +34,43 @@ def write_features(features: DataFrame, path: str, mode: str = "errorifexists")
 
 def unpivot_properties(texts: DataFrame) -> DataFrame:
     """Property dictionary ``{feature: {"cands": {building: value}}}`` as long rows:
-    ``building_id, feature_name, feature_pos, value, value_array, value_json``.
+    ``building_id, feature_name, feature_pos, value, value_array, value_json, pos``.
 
-    Features or ``cands`` that are not objects drop out. A number becomes ``value``, an array
-    ``value_array``; ``value_json`` keeps anything else as JSON text.
+    Features or ``cands`` that are not objects drop out. A number becomes ``value``, an array of numbers
+    ``value_array``; ``value_json`` keeps anything else as JSON text. ``pos`` is the place of the feature, then of
+    the building in it. A repeated key keeps its first place and its last value.
     """
     features = (
-        texts.select(F.from_json("document", "map<string, variant>").alias("features"))
+        texts.select(F.from_json("document", "map<string, string>").alias("features"))
         .select(F.explode(dict_entries(F.col("features"))).alias("f"))
         .select(
             F.col("f.key").alias("feature_name"),
             F.col("f.pos").alias("feature_pos"),
-            F.try_variant_get("f.value", "$.cands", "map<string, variant>").alias("cands"),
+            F.from_json("f.value", "cands map<string, variant>").alias("typed"),
+            F.from_json("f.value", "cands map<string, string>").alias("plain"),
         )
     )
-    rows = features.select("feature_name", "feature_pos", F.explode("cands").alias("building_id", "v"))
-    kind = F.schema_of_variant("v")
-    value = F.when(
-        kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("v", "$", "double")
+    # A value with a repeated key inside it is no variant, and then none of its dictionary is: those values are read by themselves.
+    values = F.coalesce(
+        "typed.cands",
+        F.transform_values("plain.cands", lambda _, v: F.coalesce(F.try_parse_json(v), v.cast("variant"))),
     )
-    items = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<double>"))
-    return rows.select("building_id", "feature_name", "feature_pos", value.alias("value"), items.alias("value_array"), "v").select(
-        "building_id", "feature_name", "feature_pos", "value", "value_array",
-        F.when(F.col("value").isNull() & F.col("value_array").isNull(), F.to_json("v")).alias("value_json"),
+    members = features.select("feature_name", "feature_pos", values.alias("cands"))
+    rows = members.select("feature_name", "feature_pos", F.explode(dict_entries(F.col("cands"))).alias("b")).select(
+        F.col("b.key").alias("building_id"),
+        "feature_name",
+        "feature_pos",
+        (F.shiftleft(F.col("feature_pos").cast("bigint"), 32) + F.col("b.pos")).alias("pos"),
+        F.col("b.value").alias("v"),
+    )
+    kind = F.schema_of_variant("v")
+    value = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("v", "$", "double"))
+    items = F.when(kind.rlike("^ARRAY<(BIGINT|DOUBLE|FLOAT|DECIMAL|VOID)"), F.try_variant_get("v", "$", "array<double>"))
+    names = ["building_id", "feature_name", "feature_pos"]
+    return rows.select(*names, value.alias("value"), items.alias("value_array"), "v", "pos").select(
+        *names, "value", "value_array",
+        F.when(F.col("value").isNull() & F.col("value_array").isNull(), F.coalesce(F.to_json("v"), F.lit("null"))).alias("value_json"),
+        "pos",
     )
 
 

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from geomatch.operators import features as ops
 from geomatch.sources import features as sources
@@ -46,15 +47,28 @@ def test_parquet_round_trip_and_last_value(spark, tmp_path):
     wide = {r.building_id: r.x for r in ops.feature_pivot(features, ["x"]).collect()}
     assert wide == {"b1": 2.0, "b2": 3.0}
     maps = {r.building_id: (r.features, r.n_features) for r in ops.feature_maps(features).collect()}
-    assert maps["b1"] == ({"a": None, "x": 2.0}, 2)
+    assert maps["b1"] == ({"a": (None, [1.0, 2.0], None), "x": (2.0, None, None)}, 2)
     listing = [(r.feature_no, r.feature_name, r.shown) for r in ops.feature_listing(features).where("building_id = 'b1'").collect()]
     assert sorted(listing) == [(1, "a", "[2 items]"), (2, "x", "2.0000")]
     keys = [r.key for r in ops.feature_keys(features).orderBy("key_pos").collect()]
     assert keys == ["b1", "b2"]
-    sources.write_features(features, str(tmp_path / "g"))
+    sources.write_features(features.withColumn("pos", F.col("pos.row")), str(tmp_path / "g"))
     assert spark.read.parquet(str(tmp_path / "g")).count() == 4
 
 
+def test_repeated_ids_order_and_all_kinds_survive_the_round_trip(spark, tmp_path):
+    text = '{"f":{"cands":{"b9":1,"b2":"t","b9":2,"b1":true,"b3":["x"],"b4":{"k":1,"k":2}}},"g":{"cands":{"b7":[1,null]}}}'
+    rows = sources.unpivot_properties(spark.createDataFrame([(text,)], "document string"))
+    sources.write_features(rows, str(tmp_path / "f"))
+    back = sources.read_features(spark, str(tmp_path / "f"))
+    found = [(r.building_id, r.value, r.value_array, r.value_json) for r in back.orderBy("pos").collect()]
+    assert found == [
+        ("b9", 2.0, None, None), ("b2", None, None, '"t"'), ("b1", None, None, "true"), ("b3", None, None, '["x"]'),
+        ("b4", None, None, '"{\\"k\\":1,\\"k\\":2}"'), ("b7", None, [1.0, None], None),
+    ]
+    assert [r.key for r in ops.feature_keys(back).orderBy("key_pos").collect()] == ["b9", "b2", "b1", "b3", "b4", "b7"]
+
+
 def test_conversion(spark, tmp_path):
     source = tmp_path / "p.json"
     source.write_text(json.dumps(PROPERTIES))
