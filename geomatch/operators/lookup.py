@@ -1,9 +1,10 @@
 """Tolerant id lookups: a batch of requests against a set of keys, first match wins.
 
-All lookups are equi-joins. Exact tiers join on the key. Containment ("one id is part of the other")
-joins on substrings, cut only to the lengths that occur on the other side, so every join row is a
-real match and nothing is compared pairwise. The side that can hold many matches for one substring
-is aggregated to its first key before the join, so a popular substring never multiplies rows.
+All lookups are equi-joins. "One id is part of the other" joins on substrings, cut only to the lengths
+that occur on the other side, so every join row is a real match and nothing is compared pairwise. Keys
+are read once, whole and cut; what nobody asks for is dropped by a semi-join before anything is
+aggregated or shuffled, so a lookup costs what is asked. A text that many keys hold is reduced to its
+first key before the requests are joined, so it never multiplies rows.
 """
 
 from __future__ import annotations
@@ -32,38 +33,6 @@ def _substrings(frame: DataFrame, column: str, alias: str) -> DataFrame:
     return starts.select(*kept, F.substr(column, F.col("_i"), F.col("_n")).alias(alias))
 
 
-def _spread(frame: DataFrame, column: str) -> DataFrame:
-    """Distribute rows evenly before each of them is expanded."""
-    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return frame.repartition(n, column)
-
-
-def containment_hits(probes: DataFrame, keys: DataFrame) -> DataFrame:
-    """Keys that contain a probe or are contained in it, for the columns of ``probes``.
-
-    ``probes`` has ``probe`` and further columns, which are kept; ``keys`` has ``key`` and
-    ``key_pos``. Empty texts never match. Of the keys that contain a probe only the first is
-    returned, so a row of ``probes`` yields at most one row for those, plus one per key inside it.
-    """
-    probes = probes.where(F.length("probe") > 0)
-    keys = keys.select("key", "key_pos").where(F.length("key") > 0)
-    kept = [c for c in probes.columns if c != "probe"]
-    inside = (
-        _substrings(_with_lengths(probes, keys, "key"), "probe", "key")
-        .distinct()
-        .join(keys.groupBy("key").agg(F.min("key_pos").alias("key_pos")), "key")
-        .select(*kept, "key_pos")
-    )
-    # Only the smallest position is aggregated: a fixed-width buffer keeps this a hash aggregation.
-    pieces = (
-        _substrings(_with_lengths(_spread(keys, "key"), probes, "probe"), "key", "probe")
-        .groupBy("probe")
-        .agg(F.min("key_pos").alias("key_pos"))
-    )
-    around = probes.join(pieces, "probe").select(*kept, "key_pos")
-    return inside.unionByName(around)
-
-
 def ranked_lookup(
     requests: DataFrame,
     keys: DataFrame,
@@ -75,39 +44,50 @@ def ranked_lookup(
     ``requests`` has ``request_id``; ``keys`` has ``key`` and an orderable ``key_pos`` that occurs
     once. A key may repeat under several positions; its first one counts.
     ``exact`` are expressions over ``request_id`` tried in order as tiers 0, 1, ...; ``contains`` is
-    an array expression whose elements are the containment tiers that follow. Only requests without
-    an exact hit reach containment.
+    an array expression whose elements are the containment tiers that follow: a key that contains the
+    element or is contained in it. Empty texts never match by containment.
     """
     ids = requests.select("request_id").distinct()
-    found = []
-    open_ids = ids
+    keys = keys.select("key", "key_pos")
+    whole, part = F.lit(True).alias("whole"), F.lit(False).alias("whole")
+    asked = []
     if exact:
-        tries = F.array(*exact)
-        hits = (
-            ids.select("request_id", F.posexplode(tries).alias("tier", "key"))
-            .join(keys.select("key"), "key", "left_semi")
-            .groupBy("request_id")
-            .agg(F.min("tier").alias("tier"))
-            .select("request_id", F.get(tries, F.col("tier")).alias("key"), "tier")
-        )
-        found.append(hits)
-        open_ids = ids.join(hits, "request_id", "left_anti")
+        asked.append(ids.select("request_id", F.posexplode(F.array(*exact)).alias("tier", "text"), whole))
+    pieces = keys.select("key", "key_pos", F.col("key").alias("text"), whole)
     if contains is not None:
-        probes = open_ids.select("request_id", F.posexplode(contains).alias("tier", "probe"))
-        first = (
-            containment_hits(probes, keys)
-            .groupBy("request_id", "tier")
-            .agg(F.min("key_pos").alias("key_pos"))
-            .groupBy("request_id")
-            .agg(F.min_by("key_pos", "tier").alias("key_pos"), F.min("tier").alias("tier"))
-        )
-        found.append(
-            first.join(keys.select("key", "key_pos"), "key_pos").select(
-                "request_id", "key", (F.col("tier") + len(exact)).alias("tier")
-            )
+        probes = ids.select("request_id", F.posexplode(contains).alias("tier", "probe")).where(F.length("probe") > 0)
+        probes = probes.withColumn("tier", F.col("tier") + len(exact))
+        inside = _substrings(_with_lengths(probes, keys, "key"), "probe", "text")
+        asked += [inside.select("request_id", "tier", "text", whole), probes.select("request_id", "tier", F.col("probe").alias("text"), part)]
+        cut = _cuts(F.col("key"), F.col("_lengths"))
+        pieces = _with_lengths(keys, probes, "probe").select(
+            "key", "key_pos", F.explode(F.array_append(cut, F.struct(F.col("key").alias("text"), whole))).alias("p")
+        ).select("key", "key_pos", "p.text", "p.whole")
+    wanted = asked[0]
+    for more in asked[1:]:
+        wanted = wanted.unionByName(more)
+    wanted = wanted.distinct()
+    first = (
+        pieces.join(wanted.select("text", "whole").distinct(), ["text", "whole"], "left_semi")
+        .groupBy("text", "whole")
+        .agg(F.min(F.struct("key_pos", "key")).alias("hit"))
+    )
+    best = wanted.join(first, ["text", "whole"]).groupBy("request_id").agg(F.min(F.struct("tier", "hit")).alias("best"))
+    return ids.join(best, "request_id", "left").select("request_id", "best.hit.key", "best.tier")
+
+
+def _cuts(text: Column, lengths: Column) -> Column:
+    """All substrings of the given lengths: ``array<struct<text, whole>>``."""
+    fitting = F.filter(lengths, lambda n: (n > 0) & (n <= F.length(text)))
+    return F.flatten(
+        F.transform(
+            fitting,
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.length(text) - n + 1),
+                lambda i: F.struct(F.substr(text, i, n).alias("text"), F.lit(False).alias("whole")),
+            ),
         )
-    hits = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return ids.join(hits, "request_id", "left")
+    )
 
 
 def feature_lookup(requests: DataFrame, keys: DataFrame) -> DataFrame:
@@ -134,7 +114,7 @@ def file_lookup(requests: DataFrame, files: DataFrame, prefer_exact: bool = Fals
     return ranked_lookup(requests, keys, [name] if prefer_exact else [], F.array(name))
 
 
-def _request_probes(requests: DataFrame, *keep: str) -> DataFrame:
+def request_probes(requests: DataFrame, *keep: str) -> DataFrame:
     probe = F.array_distinct(F.array("request_id", numeric_id(F.col("request_id"))))
     return requests.select("request_id", *keep).distinct().select("request_id", *keep, F.explode(probe).alias("alias"))
 
@@ -144,16 +124,17 @@ def object_lookup(requests: DataFrame, objects: DataFrame) -> DataFrame:
 
     An object matches when its id is the request or the request's number, or when its own digit run
     is that number; the first one in the file wins. Not found, or found empty, gives a NULL id.
-    ``requests`` has ``request_id, file_path``.
+    ``requests`` has ``request_id, file_path``. A path that both sources list is one file: its first source counts.
     """
+    probes = request_probes(requests, "file_path")
+    named = objects.select("source", "file_path", "obj_pos", "object_id", "is_empty", F.explode(own_aliases(F.col("object_id"))).alias("alias"))
     first = (
-        objects.select("file_path", "obj_pos", "object_id", "is_empty", F.explode(own_aliases(F.col("object_id"))).alias("alias"))
+        named.join(probes.select("file_path", "alias").distinct(), ["file_path", "alias"], "left_semi")
         .groupBy("file_path", "alias")
-        .agg(F.min(F.struct("obj_pos", "object_id", "is_empty")).alias("hit"))
+        .agg(F.min(F.struct("source", "obj_pos", "object_id", "is_empty")).alias("hit"))
     )
     found = (
-        _request_probes(requests, "file_path")
-        .join(first, ["file_path", "alias"], "left")
+        probes.join(first, ["file_path", "alias"], "left")
         .groupBy("request_id", "file_path")
         .agg(F.min("hit").alias("hit"))
     )
@@ -167,14 +148,15 @@ def find_file(requests: DataFrame, objects: DataFrame) -> DataFrame:
 
     Source A is searched before Source B, files by path, objects in file order.
     """
+    probes = request_probes(requests)
+    named = objects.select("source", "file_path", "obj_pos", "object_id", F.explode(own_aliases(F.col("object_id"))).alias("alias"))
     first = (
-        objects.select("source", "file_path", "obj_pos", "object_id", F.explode(own_aliases(F.col("object_id"))).alias("alias"))
+        named.join(probes.select("alias").distinct(), "alias", "left_semi")
         .groupBy("alias")
         .agg(F.min(F.struct("source", "file_path", "obj_pos", "object_id")).alias("hit"))
     )
     return (
-        _request_probes(requests)
-        .join(first, "alias", "left")
+        probes.join(first, "alias", "left")
         .groupBy("request_id")
         .agg(F.min("hit").alias("hit"))
         .select("request_id", "hit.source", "hit.file_path", "hit.object_id")

@@ -31,12 +31,6 @@ def building(key: str) -> Column:
     return F.concat(F.lit("bag_"), padded(key))
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """A fixed number of partitions, because building and parsing documents is work per row that
-    Spark cannot see in the size of the data."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 # --- pairs -------------------------------------------------------------------------------------
 
 
@@ -127,7 +121,7 @@ def result_buildings(pair_table: DataFrame, listed: DataFrame | None = None) ->
 
 
 def results_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results documents, one per building and range of part keys."""
+    """Results documents, one per building and range of part keys; every third confidence is quoted."""
     match = F.struct(
         F.col("index_id"),
         F.col("confidence"),
@@ -137,14 +131,20 @@ def results_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pairs(spark, sf_dir).withColumn(
         "_range", F.floor(F.col("index_id").cast("bigint") / PARTS_PER_RESULTS_DOCUMENT)
     )
-    grouped = _spread(rows, "building_id", "_range").groupBy("file_name", "building_id", "_range").agg(
+    grouped = rows.groupBy("file_name", "building_id", "_range").agg(
         F.sort_array(F.collect_list(F.struct("match_pos", match.alias("m")))).alias("items")
     )
+
+    def written(item: Column) -> Column:
+        number = item["m"]["confidence"]
+        quoted = F.when(item["match_pos"] % 3 == 0, number.cast("string").cast("variant"))
+        return item["m"].withField("confidence", F.coalesce(quoted, number.cast("variant")))
+
     nested = F.create_map(
         "file_name",
         F.create_map(
             "building_id",
-            F.struct(F.transform("items", lambda i: i["m"]).alias("possible_matches")),
+            F.struct(F.transform("items", written).alias("possible_matches")),
         ),
     )
     return grouped.select(
@@ -288,9 +288,7 @@ def _box_documents(items: DataFrame, source: str, prefix: str) -> DataFrame:
     distinct = items.groupBy("k").agg(
         F.max("size").alias("size"), F.min("kind").alias("kind"), F.min("name").alias("name")
     )
-    blocks = _spread(
-        distinct.withColumn("block", F.floor(F.col("k") / OBJECTS_PER_DOCUMENT)), "block"
-    ).groupBy("block").agg(
+    blocks = distinct.withColumn("block", F.floor(F.col("k") / OBJECTS_PER_DOCUMENT)).groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("k", "size", "kind", "name"))).alias("items")
     )
 
@@ -381,6 +379,14 @@ def both_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidate_documents(spark, sf_dir).unionByName(index_documents(spark, sf_dir))
 
 
+def comparison_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sources; in every third document the objects have their CompositeSurface only."""
+    number = F.regexp_extract("file_path", "tile_([0-9]+)", 1).cast("int") % 3
+    others = r'\{"type":"(?:Solid|MultiSurface)","boundaries":[\[\],0-9-]*\},'
+    composite = F.regexp_replace("document", others, "")
+    return both_documents(spark, sf_dir).withColumn("document", F.when(number == 1, composite).otherwise(F.col("document")))
+
+
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of both sources' files, as a listing of the data root gives them."""
     parts = [
@@ -396,6 +402,12 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def dated_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing with ``size`` and ``mtime`` of each file."""
+    number = F.regexp_extract("path", "tile_([0-9]+)", 1).cast("bigint")
+    return listing(spark, sf_dir).select("path", (number * 7).alias("size"), F.timestamp_micros(number * 1000003 + 1600000000000000).alias("mtime"))
+
+
 def path_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for files in several spellings, some of which do not exist."""
     number = F.floor(F.col("p_partkey") / 10).cast("string")

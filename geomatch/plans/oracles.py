@@ -311,11 +311,49 @@ located AS (
 shaped AS (
   SELECT k, source, 'RawCitiesData/The Hague/Source ' || source || '/tile_' || (k // 50) || '.json' AS file_path,
     object_id, 4 AS n_points, s * CASE WHEN (k // 50) % 3 = 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS max_size,
-    CASE WHEN s % 7 = 0 THEN 10.0::DOUBLE ELSE (s % 7) * CASE WHEN (k // 50) % 3 = 1 THEN 1.0 ELSE 0.5 END::DOUBLE END AS shown_height
+    CASE WHEN s % 7 = 0 OR (k // 50) % 3 = 1 THEN 10.0::DOUBLE ELSE (s % 7) * 0.5::DOUBLE END AS shown_height
   FROM located)"""
 
 _ANGLE = "(2 * atan(exp(y / 6378137.0)) - pi() / 2)"
 
+_RESOLVE = """WITH files AS (
+          SELECT DISTINCT 'RawCitiesData/The Hague/Source A/tile_' || (o_orderkey // 50) || '.json' AS path FROM orders
+          UNION SELECT 'RawCitiesData/The Hague/Source B/tile_' || (p_partkey // 50) || '.json' FROM part),
+        n AS (SELECT DISTINCT p_partkey // 10 AS n FROM part),
+        asked AS (
+          SELECT 'tile_' || n || '.json' AS request_path, 'tile_' || n || '.json' AS base, 'tile_' || n || '.json' AS wanted FROM n
+          UNION ALL SELECT 'Source B/tile_' || n || '.json', 'tile_' || n || '.json', 'Source B/tile_' || n || '.json' FROM n
+          UNION ALL SELECT 'RawCitiesData/The%20Hague/Source%20B/tile_' || n || '.json', 'tile_' || n || '.json',
+            'RawCitiesData/The Hague/Source B/tile_' || n || '.json' FROM n
+          UNION ALL SELECT 'elsewhere+%zz/tile_' || n || '.json', 'tile_' || n || '.json', 'elsewhere+%zz/tile_' || n || '.json' FROM n
+          UNION ALL SELECT 'tile+' || n, 'tile+' || n, 'tile+' || n FROM n),
+        tries AS (
+          SELECT request_path, 0 AS priority, wanted AS path FROM asked
+          UNION ALL SELECT request_path, 1, 'RawCitiesData/The Hague/Source A/' || base FROM asked
+          UNION ALL SELECT request_path, 2, 'RawCitiesData/The Hague/Source B/' || base FROM asked
+          UNION ALL SELECT request_path, 3, 'RawCitiesData/The Hague/SourceA/' || base FROM asked
+          UNION ALL SELECT request_path, 4, 'RawCitiesData/The Hague/SourceB/' || base FROM asked
+          UNION ALL SELECT request_path, 5, 'RawCitiesData/The Hague/' || wanted FROM asked),
+        hits AS (SELECT request_path, arg_min(path, priority) AS path, min(priority) AS priority FROM tries JOIN files USING (path) GROUP BY 1)
+        SELECT request_path, path, priority FROM asked LEFT JOIN hits USING (request_path)"""
+
+_RESOLVE_SELECT = """WITH files AS (
+          SELECT DISTINCT 'RawCitiesData/The Hague/Source A/tile_' || (o_orderkey // 50) || '.json' AS path FROM orders
+          UNION SELECT 'RawCitiesData/The Hague/Source B/tile_' || (p_partkey // 50) || '.json' FROM part),
+        n AS (SELECT DISTINCT p_partkey // 10 AS n FROM part),
+        asked AS (
+          SELECT 'tile_' || n || '.json' AS request_path, 'tile_' || n || '.json' AS base, 'tile_' || n || '.json' AS wanted FROM n
+          UNION ALL SELECT 'Source B/tile_' || n || '.json', 'tile_' || n || '.json', 'Source B/tile_' || n || '.json' FROM n
+          UNION ALL SELECT 'RawCitiesData/The%20Hague/Source%20B/tile_' || n || '.json', 'tile_' || n || '.json',
+            'RawCitiesData/The%20Hague/Source%20B/tile_' || n || '.json' FROM n
+          UNION ALL SELECT 'elsewhere+%zz/tile_' || n || '.json', 'tile_' || n || '.json', 'elsewhere+%zz/tile_' || n || '.json' FROM n
+          UNION ALL SELECT 'tile+' || n, 'tile+' || n, 'tile+' || n FROM n),
+        tries AS (
+          SELECT request_path, 0 AS priority, wanted AS path FROM asked
+          UNION ALL SELECT request_path, 1, 'RawCitiesData/The Hague/' || wanted FROM asked),
+        hits AS (SELECT request_path, arg_min(path, priority) AS path, min(priority) AS priority FROM tries JOIN files USING (path) GROUP BY 1)
+        SELECT request_path, path, priority FROM asked LEFT JOIN hits USING (request_path)"""
+
 _UNPIVOT = f"""SELECT {_pad('vec_id')} AS building_id, 'f' || (n - 1) AS feature_name, embedding[n]::DOUBLE AS value,
           NULL::INT AS n_items, NULL::DOUBLE AS third_item, NULL::VARCHAR AS value_json
         FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS n FROM embeddings)
@@ -347,6 +385,8 @@ ORACLES: dict[str, str] = {
         FROM n""",
     "predicted_label": f"WITH {_PAIRS} SELECT building_id, index_id, prediction FROM pairs",
     "results_scan": f"""WITH {_PAIRS} SELECT file_name, building_id, index_id, confidence, true_label, predicted_label FROM pairs""",
+    "results_documents": f"""WITH {_PAIRS}, docs AS (SELECT building_id, p // 1000 AS r, count(*) AS n_matches FROM pairs GROUP BY ALL)
+        SELECT building_id, n_matches, row_number() OVER (ORDER BY building_id || '/' || r) - 1 AS document_no FROM docs""",
     "metrics_scan": """SELECT 'tile_' || s_suppkey || '.json' AS file_name, s_suppkey AS candidates_in_file,
         0::BIGINT AS potential_matches_in_index, s_suppkey % 7 AS potential_matches_in_blocking,
         s_acctbal / 8 AS threshold_precision, """
@@ -489,6 +529,15 @@ ORACLES: dict[str, str] = {
     "vertices_of_odd_files": f"""WITH {_BOXES} SELECT file_path, count(*)::BIGINT AS n_vertices, count(*)::BIGINT AS n_x, count(*)::BIGINT AS n_z, sum(vz)::DOUBLE AS sum_vz
         FROM placed WHERE turn = 0 GROUP BY file_path
         UNION ALL SELECT DISTINCT file_path, 5, 4, 3, 9.0::DOUBLE FROM placed WHERE turn = 1""",
+    "file_lookup_exact": """WITH keys AS (SELECT 'tile_' || s_suppkey || '.json' AS key, s_suppkey AS pos FROM supplier),
+        asked AS (SELECT unnest(['x/' || key, 'old_' || key, substr(key, 6)]) AS request_id FROM keys),
+        named AS (SELECT request_id, list_last(string_split(request_id, '/')) AS base FROM asked)
+        SELECT request_id, arg_min(key, (CASE WHEN key = base THEN 0 ELSE 1 END, pos)) AS key, min(CASE WHEN key = base THEN 0 ELSE 1 END)::INT AS tier
+        FROM named JOIN keys ON contains(base, key) OR contains(key, base) GROUP BY request_id""",
+    "catalog_versions": """WITH f AS (
+          SELECT 'A' AS source, 'RawCitiesData/The Hague/Source A/tile_' || n || '.json' AS path, n FROM (SELECT DISTINCT o_orderkey // 50 AS n FROM orders)
+          UNION ALL SELECT 'B', 'RawCitiesData/The Hague/Source B/tile_' || n || '.json', n FROM (SELECT DISTINCT p_partkey // 50 AS n FROM part))
+        SELECT source, path, (n * 7)::BIGINT AS size, md5(path || '_' || (n * 1000003 + 1600000000000000)) AS version_key FROM f""",
     "cityjson_objects": f"""WITH {_BOXES} SELECT 'B' AS source, file_path, pos::INT AS obj_pos, object_id, {_KIND} AS object_type,
           object_id AS numeric_id, CASE WHEN s % 2 = 0 THEN p_name ELSE object_id END AS display_name, false AS is_empty,
           CASE WHEN s % 3 <> 0 AND s % 5 <> 0 THEN s % 5 WHEN s <> 0 THEN s ELSE 10 END::DOUBLE AS attribute_height FROM boxes""",
@@ -541,7 +590,7 @@ ORACLES: dict[str, str] = {
           c.n_points AS candidate_n_points, c.max_size AS candidate_max_size, c.shown_height AS candidate_shown_height,
           i.source AS index_source, i.file_path AS index_file_path, i.object_id AS index_object_id,
           i.n_points AS index_n_points, i.max_size AS index_max_size, i.shown_height AS index_shown_height
-        FROM pairs LEFT JOIN shaped c ON c.k = pairs.k LEFT JOIN shaped i ON i.k = pairs.p""",
+        FROM {_LAST} LEFT JOIN shaped c ON c.k = pairs.k LEFT JOIN shaped i ON i.k = pairs.p""",
     "object_type_class": f"""WITH t AS (SELECT {_pad('p_partkey')} AS object_id, {_KIND} AS object_type FROM part)
         SELECT object_id, object_type, coalesce(red, 136) AS red, coalesce(green, 136) AS green, coalesce(blue, 136) AS blue
         FROM t LEFT JOIN (VALUES ('Building', 116, 151, 223), ('BuildingPart', 116, 151, 223), ('WaterBody', 77, 166, 255),
@@ -551,24 +600,6 @@ ORACLES: dict[str, str] = {
         printf('%.2f', {_nudged('c_custkey * 12345 / 1024.0::DOUBLE / 1024.0::DOUBLE', 2)}) || ' MB' AS megabytes FROM customer""",
     "source_files": """SELECT DISTINCT 'A' AS source, 'RawCitiesData/The Hague/Source A/tile_' || (o_orderkey // 50) || '.json' AS path FROM orders
         UNION ALL SELECT DISTINCT 'B', 'RawCitiesData/The Hague/Source B/tile_' || (p_partkey // 50) || '.json' FROM part""",
-    "resolve_paths": """WITH files AS (
-          SELECT DISTINCT 'RawCitiesData/The Hague/Source A/tile_' || (o_orderkey // 50) || '.json' AS path FROM orders
-          UNION SELECT 'RawCitiesData/The Hague/Source B/tile_' || (p_partkey // 50) || '.json' FROM part),
-        n AS (SELECT DISTINCT p_partkey // 10 AS n FROM part),
-        asked AS (
-          SELECT 'tile_' || n || '.json' AS request_path, 'tile_' || n || '.json' AS base, 'tile_' || n || '.json' AS wanted FROM n
-          UNION ALL SELECT 'Source B/tile_' || n || '.json', 'tile_' || n || '.json', 'Source B/tile_' || n || '.json' FROM n
-          UNION ALL SELECT 'RawCitiesData/The%20Hague/Source%20B/tile_' || n || '.json', 'tile_' || n || '.json',
-            'RawCitiesData/The Hague/Source B/tile_' || n || '.json' FROM n
-          UNION ALL SELECT 'elsewhere+%zz/tile_' || n || '.json', 'tile_' || n || '.json', 'elsewhere+%zz/tile_' || n || '.json' FROM n
-          UNION ALL SELECT 'tile+' || n, 'tile+' || n, 'tile+' || n FROM n),
-        tries AS (
-          SELECT request_path, 0 AS priority, wanted AS path FROM asked
-          UNION ALL SELECT request_path, 1, 'RawCitiesData/The Hague/Source A/' || base FROM asked
-          UNION ALL SELECT request_path, 2, 'RawCitiesData/The Hague/Source B/' || base FROM asked
-          UNION ALL SELECT request_path, 3, 'RawCitiesData/The Hague/SourceA/' || base FROM asked
-          UNION ALL SELECT request_path, 4, 'RawCitiesData/The Hague/SourceB/' || base FROM asked
-          UNION ALL SELECT request_path, 5, 'RawCitiesData/The Hague/' || wanted FROM asked),
-        hits AS (SELECT request_path, arg_min(path, priority) AS path, min(priority) AS priority FROM tries JOIN files USING (path) GROUP BY 1)
-        SELECT request_path, path, priority FROM asked LEFT JOIN hits USING (request_path)""",
+    "resolve_paths": _RESOLVE,
+    "resolve_paths_select": _RESOLVE_SELECT,
 }

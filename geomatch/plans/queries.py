@@ -64,6 +64,12 @@ def results_scan(spark, sf):
     return pairs.select("file_name", "building_id", "index_id", "confidence", "true_label", "predicted_label")
 
 
+def results_documents(spark, sf):
+    """Several documents, in the order of their paths."""
+    rows = results.result_buildings(A.results_texts(spark, sf), several=True)
+    return rows.select("building_id", "n_matches", F.shiftright("file_pos", 32).alias("document_no"))
+
+
 def metrics_scan(spark, sf):
     return results.file_metrics(A.metrics_texts(spark, sf)).drop("model", "file_pos")
 
@@ -192,18 +198,22 @@ def summary_texts(spark, sf):
 # --- features ----------------------------------------------------------------------------------
 
 
-_SHOWN = ("building_id", "feature_name", "value", F.size("value_array").alias("n_items"), F.get("value_array", F.lit(2)).alias("third_item"), "value_json")
+def _shown_features(rows):
+    items = F.col("value_array")
+    return rows.select(
+        "building_id", "feature_name", "value", F.size(items).alias("n_items"), F.get(items, F.lit(2)).alias("third_item"), "value_json"
+    )
 
 
 def feature_unpivot(spark, sf):
-    return feature_sources.unpivot_properties(A.property_texts(spark, sf)).select(*_SHOWN)
+    return _shown_features(feature_sources.unpivot_properties(A.property_texts(spark, sf)))
 
 
 def feature_round_trip(spark, sf):
     """Unpivoted, written as Parquet, read back, last value of each."""
     path = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
     feature_sources.write_features(feature_sources.unpivot_properties(A.property_texts(spark, sf)), path)
-    return feature_ops.latest_features(feature_sources.read_features(spark, path)).select(*_SHOWN)
+    return _shown_features(feature_ops.latest_features(feature_sources.read_features(spark, path)))
 
 
 def first_feature_maps(spark, sf):
@@ -272,11 +282,16 @@ def find_file(spark, sf):
     return lookup.find_file(A.requests(spark, sf), A.bare_objects(spark, sf))
 
 
-def file_lookup(spark, sf):
+def file_lookup_exact(spark, sf):
+    """As :func:`file_lookup`, where an equal name wins."""
+    return file_lookup(spark, sf, prefer_exact=True)
+
+
+def file_lookup(spark, sf, prefer_exact=False):
     names = A.metrics_texts(spark, sf).select(F.col("doc_path").alias("file_name"))
     keys = names.withColumn("file_pos", F.regexp_extract("file_name", "([0-9]+)", 1).cast("bigint"))
     asked = names.select(F.explode(F.array(F.concat(F.lit("x/"), "file_name"), F.concat(F.lit("old_"), "file_name"), F.substr("file_name", F.lit(6)))).alias("request_id"))
-    return lookup.file_lookup(asked, keys)
+    return lookup.file_lookup(asked, keys, prefer_exact)
 
 
 # --- CityJSON ----------------------------------------------------------------------------------
@@ -387,7 +402,9 @@ def lonlat_points(spark, sf):
 
 
 def extract_object(spark, sf):
-    documents = stored(A.index_documents(spark, sf))
+    """Index documents under paths that both sources list."""
+    index = A.index_documents(spark, sf)
+    documents = stored(index.unionByName(index.withColumn("source", F.lit("A"))))
     asked = A.bare_objects(spark, sf).where("source = 'B'").select(
         F.concat(F.lit("bag_"), "object_id").alias("request_id"), "file_path"
     )
@@ -395,10 +412,10 @@ def extract_object(spark, sf):
 
 
 def comparison_set(spark, sf):
-    documents = stored(A.both_documents(spark, sf))
-    objects = cityjson.city_objects(documents)
-    shapes = cityjson.object_geometries(documents, first_only=True)
-    return comparison.comparison_set(stored(A.pairs(spark, sf)), objects, shapes)
+    table = stored(cityjson.object_table(A.comparison_documents(spark, sf), first_only=True))
+    shapes = cityjson.geometries_of(table, ("Solid", "MultiSurface", "CompositeSurface"), first_only=True)
+    pairs, buildings = _result_tables(spark, sf, by="run")
+    return comparison.comparison_set(pairs, buildings, table.drop("geometries"), shapes)
 
 
 def object_type_class(spark, sf):
@@ -428,26 +445,30 @@ def resolve_paths(spark, sf):
     return catalog.resolve_paths(A.path_requests(spark, sf), A.listing(spark, sf))
 
 
-def file_catalog(spark, sf):
-    """Catalogue of the data directory itself; its rows depend on the file system."""
-    return catalog.file_catalog(spark, sf, {"A": sf}, pattern="*.parquet")
+def resolve_paths_select(spark, sf):
+    return catalog.resolve_paths(A.path_requests(spark, sf), A.listing(spark, sf), mode="select")
+
+
+def catalog_versions(spark, sf):
+    files = catalog.assign_sources(A.dated_listing(spark, sf))
+    return files.select("source", "path", "size", catalog.version_key(F.col("path"), F.col("mtime")).alias("version_key"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         numeric_id, numeric_id_raw, strip_prefix, id_variants,
-        predicted_label, results_scan, metrics_scan, flatten_last_wins, load_totals, ranked_pairs, ranked_pairs_last_file, topk_pairs,
+        predicted_label, results_scan, results_documents, metrics_scan, flatten_last_wins, load_totals, ranked_pairs, ranked_pairs_last_file, topk_pairs,
         predicted_matches, pair_badges, match_status, comparison_verdict, comparison_verdict_last_file,
         predicted_matches_last_file, best_match,
         building_status, building_status_last_file, stage_colours,
         potential_matches, unmatched_candidates, file_metrics, threshold_metrics, best_match_metrics,
         labelled_metrics, file_summary, summary_texts,
         feature_unpivot, feature_round_trip, feature_pivot, feature_maps, first_feature_maps, feature_listing, feature_counts,
-        feature_lookup, pair_lookup, pairs_of_request, matches_of_request, object_lookup, find_file, file_lookup,
+        feature_lookup, pair_lookup, pairs_of_request, matches_of_request, object_lookup, find_file, file_lookup, file_lookup_exact,
         city_quality, vertices_of_odd_files, cityjson_objects, object_descriptions, dequantised_vertices, ring_vertices, object_bbox, object_height,
         drawable_objects, footprint, footprint_stats, file_bbox, file_counts, geo_bounds, bounds_ring,
         lonlat_points, extract_object, comparison_set, object_type_class, display_texts,
-        source_files, resolve_paths, file_catalog,
+        source_files, resolve_paths, resolve_paths_select, catalog_versions,
     )
 }

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geomatch.functions.ids import digit_run
+from geomatch.functions.ids import digit_run, own_aliases
 from geomatch.functions.objects import dict_entries, unique_map
 from geomatch.sources.catalog import decode_path, relative_path
 
@@ -293,10 +293,11 @@ def _object_rows(
     )
 
 
-def object_table(documents: DataFrame) -> DataFrame:
+def object_table(documents: DataFrame, first_only: bool = False) -> DataFrame:
     """The columns of :func:`city_objects` and ``geometries`` of every type, from one parse of each
-    document. This is the table to write; :func:`geometries_of` reads geometries from it."""
-    return _object_rows(documents, ("Solid", *_SURFACE_TYPES), False, True)
+    document. This is the table to write; :func:`geometries_of` reads geometries from it. ``first_only``
+    keeps the first geometry of each object."""
+    return _object_rows(documents, ("Solid", *_SURFACE_TYPES), first_only, True)
 
 
 def geometries_of(
@@ -329,17 +330,28 @@ def ring_vertices(geometries: DataFrame) -> DataFrame:
     )
 
 
-def object_cells(documents: DataFrame) -> DataFrame:
+def object_cells(documents: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """Self-contained objects: each row holds the object, the header of its document and exactly the
     vertices it uses. ``used`` are their indices in the document, in ascending order (also those
     outside the pool, which have no vertex); ``own_vertices`` are stored, quantised coordinates, and
     ``value`` is the object's text.
+
+    ``asked`` (``file_path, wanted``: the aliases looked for in a file, one row per file) keeps the objects that have one of
+    them. Other documents are not parsed, and other objects gather no vertices.
     """
-    parsed = _parse(
-        documents,
+    fields = (
         "version variant, metadata variant, transform variant, "
-        "vertices array<array<double>>, CityObjects map<string, string>",
-    ).select("source", "file_path", "doc", vertex_pool(), F.col("doc.CityObjects").alias("members"))
+        "vertices array<array<double>>, CityObjects map<string, string>"
+    )
+    if asked is None:
+        parsed = _parse(documents, fields).withColumn("wanted", F.lit(None).cast("array<string>"))
+    else:
+        # Both sides of the join are named, so that no text is looked at before it.
+        readable = F.when(F.size("wanted") > 0, well_formed())
+        parsed = documents.join(asked, "file_path").where(readable).select(
+            "source", "file_path", F.from_json("document", fields).alias("doc"), "document", "wanted"
+        )
+    parsed = parsed.select("source", "file_path", "doc", vertex_pool(), "wanted", F.col("doc.CityObjects").alias("members"))
 
     def used(value: Column) -> Column:
         found = F.from_json(value, _GEOMETRIES)["geometry"]
@@ -361,7 +373,10 @@ def object_cells(documents: DataFrame) -> DataFrame:
         own = F.transform(inside, lambda i: F.get("pool", i))
         return F.struct(o["obj_pos"], o["object_id"], o["value"], o["used"], own.alias("own_vertices"))
 
-    cells = F.transform(F.transform(dict_entries(F.col("members")), with_used), with_vertices)
+    entries = dict_entries(F.col("members"))
+    if asked is not None:
+        entries = F.filter(entries, lambda o: F.arrays_overlap(own_aliases(o["key"]), F.col("wanted")))
+    cells = F.transform(F.transform(entries, with_used), with_vertices)
     return parsed.select(
         "source", "file_path", "doc.version", "doc.metadata", "doc.transform", F.explode(cells).alias("o")
     ).select("source", "file_path", "version", "metadata", "transform", "o.*")

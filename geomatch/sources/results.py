@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomatch import constants as C
 from geomatch.functions.labels import label
 from geomatch.functions.objects import dict_entries
+from geomatch.operators.ranking import rank_in_group
 
-_MATCH = "struct<index_id: string, confidence: double, true_label: string, predicted_label: string>"
+_MATCH = "struct<index_id: string, confidence: string, true_label: string, predicted_label: string>"
 _RESULTS = f"map<string, map<string, struct<possible_matches: array<{_MATCH}>>>>"
 
 METRIC_FIELDS = {
@@ -30,45 +31,37 @@ def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def _document_rank(texts: DataFrame) -> DataFrame:
-    """Rank of each document by path.
-
-    One short row per document enters the window, without its text: no more than the file listing
-    that the driver already holds.
-    """
-    paths = texts.select("doc_path").distinct()
-    return paths.select(
-        "doc_path", (F.row_number().over(Window.orderBy("doc_path")) - 1).cast("bigint").alias("_rank")
-    )
-
-
 def result_buildings(texts: DataFrame, several: bool = False) -> DataFrame:
     """Results ``{file: {building: {possible_matches: [...]}}}`` with the list still nested:
     ``file_name, file_pos, building_id, bld_pos, n_matches, matches``.
 
-    With ``several`` documents, files are ordered by document path, then by place in the document.
+    With ``several`` documents, files are ordered by document path, then by place in the document. Texts cannot be split, so
+    many files of a bounded size are the form for many buildings.
     """
-    ranked = (
-        texts.join(_document_rank(texts), "doc_path")
-        if several
-        else texts.withColumn("_rank", F.lit(0).cast("bigint"))
-    )
-    files = ranked.select("_rank", F.from_json("document", _RESULTS).alias("files")).select(
-        "_rank", F.explode(dict_entries(F.col("files"))).alias("file")
+    files = texts.select("doc_path", F.from_json("document", _RESULTS).alias("files")).select(
+        "doc_path", F.explode(dict_entries(F.col("files"))).alias("file")
     )
     buildings = files.select(
+        "doc_path",
         F.col("file.key").alias("file_name"),
-        (F.shiftleft("_rank", 32) + F.col("file.pos")).alias("file_pos"),
+        F.col("file.pos").cast("bigint").alias("file_pos"),
         F.col("file.value").alias("buildings"),
-    ).select("file_name", "file_pos", F.explode(dict_entries(F.col("buildings"))).alias("b"))
-    return buildings.select(
+    ).select("doc_path", "file_name", "file_pos", F.explode(dict_entries(F.col("buildings"))).alias("b"))
+    rows = buildings.select(
+        "doc_path",
         "file_name",
         "file_pos",
         F.col("b.key").alias("building_id"),
         F.col("b.pos").cast("bigint").alias("bld_pos"),
-        F.coalesce(F.size("b.value.possible_matches"), F.lit(0)).cast("bigint").alias("n_matches"),
+        F.greatest(F.coalesce(F.size("b.value.possible_matches"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_matches"),
         F.col("b.value.possible_matches").alias("matches"),
-    ).withColumn("n_matches", F.greatest("n_matches", F.lit(0).cast("bigint")))
+    )
+    if several:
+        # Paths are ranked apart from the texts, by slices of their order.
+        paths = texts.select("doc_path").distinct().withColumn("_all", F.lit(0))
+        ranks = rank_in_group(paths, ["_all"], [F.asc("doc_path")], "_rank").select("doc_path", "_rank")
+        rows = rows.join(ranks, "doc_path").withColumn("file_pos", F.shiftleft(F.col("_rank") - 1, 32) + F.col("file_pos")).drop("_rank")
+    return rows.drop("doc_path")
 
 
 def result_pairs(buildings: DataFrame) -> DataFrame:
@@ -84,7 +77,7 @@ def result_pairs(buildings: DataFrame) -> DataFrame:
         "bld_pos",
         F.col("match_pos").cast("bigint").alias("match_pos"),
         F.coalesce(m["index_id"], F.lit("")).alias("index_id"),
-        F.coalesce(m["confidence"], F.lit(0.0)).alias("confidence"),
+        F.coalesce(m["confidence"].try_cast("double"), F.lit(0.0)).alias("confidence"),
         label(m["true_label"]).alias("true_label"),
         label(m["predicted_label"]).alias("predicted_label"),
     )

@@ -27,10 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def write(df: DataFrame, path: str) -> None:
+    df.write.parquet(path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: it is computed once, survives the loss of
     executors, and its size is known when Spark plans the joins on it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -297,7 +297,7 @@ def test_comparison_set(spark, documents):
         "file_name string, building_id string, match_pos int, index_id string, confidence double, true_label int, predicted_label int",
     )
     shapes = cityjson.object_geometries(documents, ("Solid", "MultiSurface", "CompositeSurface"), first_only=True)
-    rows = comparison.comparison_set(pairs, cityjson.city_objects(documents), shapes).orderBy("pair_rank").collect()
+    rows = comparison.comparison_set(pairs, None, cityjson.city_objects(documents), shapes).orderBy("pair_rank").collect()
     assert [(r.index_id, r.index_source, r.index_object_id, r.index_n_points) for r in rows] == [
         ("x_comp", "A", "comp", 3), ("0518100000000001", "A", "bag_0518100000000001", None), ("gone", None, None, None),
     ]

@@ -7,6 +7,7 @@ import pytest
 from compare import connect, differences
 from geomatch.plans.oracles import ORACLES
 from geomatch.plans.queries import QUERIES
+from geomatch.sources import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 KINDS = {"VARCHAR": "string", "INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "BOOLEAN": "boolean"}
@@ -19,9 +20,8 @@ def con():
     return connect(SF_DIR)
 
 
-def test_every_query_but_the_listing_has_a_counterpart():
-    assert set(QUERIES) - set(ORACLES) == {"file_catalog"}
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_has_a_counterpart():
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -33,7 +33,7 @@ def test_same_rows(spark, con, name):
 
 
 def test_listing(spark):
-    rows = QUERIES["file_catalog"](spark, SF_DIR).collect()
+    rows = catalog.file_catalog(spark, SF_DIR, {"A": SF_DIR}, pattern="*.parquet").collect()
     assert {r.file_name for r in rows} == {p.name for p in Path(SF_DIR).glob("*.parquet")}
     assert all(r.size == (Path(SF_DIR) / r.file_name).stat().st_size for r in rows)
     assert all(len(r.version_key) == 32 for r in rows)

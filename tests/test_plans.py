@@ -5,6 +5,8 @@ from pathlib import Path
 
 import pytest
 
+from geomatch import storage
+from geomatch.operators import extraction, lookup
 from geomatch.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -15,11 +17,47 @@ def plan(spark, name: str) -> str:
     return QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def stored_plans(monkeypatch):
+    """Plans of the tables that are written while a query is built."""
+    found = []
+    write = storage.write
+
+    def noted(df, path):
+        found.append(df._jdf.queryExecution().executedPlan().toString())
+        write(df, path)
+
+    monkeypatch.setattr(storage, "write", noted)
+    return found
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_nested_loops_and_no_python(spark, name):
-    text = plan(spark, name)
-    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
-        assert word not in text
+def test_no_nested_loops_no_python_and_no_single_partition(spark, stored_plans, name):
+    for text in [plan(spark, name), *stored_plans]:
+        for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow"):
+            assert word not in text
+        # One row for each map task may meet: totals without a key, and scalar subqueries.
+        for at in re.finditer("Window", text):
+            assert "SinglePartition" not in text[at.start() : at.start() + 400]
+
+
+def test_a_lookup_reads_its_keys_once_and_drops_what_nobody_asks_for(spark):
+    keys = spark.range(1000).selectExpr("concat('bag_', lpad(cast(id as string), 16, '0')) as key", "id as key_pos")
+    keys.write.mode("overwrite").parquet(path := f"{storage.shared_folder(spark)}/keys")
+    one = spark.createDataFrame([("bag_0000000000000007",)], "request_id string")
+    text = lookup.pair_lookup(one, spark.read.parquet(path))._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("FileScan") == 1
+    assert re.search(r"Aggregate.*?LeftSemi", text, re.S)
+
+
+def test_extraction_parses_requested_documents_only(spark):
+    documents = spark.createDataFrame([("A", "a.json", "{}")], "source string, file_path string, document string")
+    documents.write.mode("overwrite").parquet(path := f"{storage.shared_folder(spark)}/documents")
+    asked = spark.createDataFrame([("x", "a.json")], "request_id string, file_path string")
+    text = extraction.extract_objects(asked, spark.read.parquet(path))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_json(StructField(version") == 1
+    # The text is looked at together with what is wanted of it, so after the join.
+    assert all("wanted" in line for line in text.splitlines() if "get_json_object" in line)
 
 
 @pytest.mark.parametrize("name", ["object_bbox", "object_height", "footprint", "footprint_stats", "drawable_objects"])
