@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geomatch.storage import shared_folder, stored
+from geomatch.storage import shared_folder
 
 PIECE_CHARS = 1 << 20
 BROADCAST_KEYS = 10_000
@@ -107,9 +107,11 @@ def hashed_sample(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     Rows are counted, then thinned by their hash to about twice ``n`` before they are ordered, so the ordering does not grow with the input.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    sizes = stored(rows.groupBy(*keys).agg(F.count("*").alias("_rows")))
-    # Keys are few (languages, classes); with few of them the rows are thinned where they are read.
-    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_KEYS else sizes
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    # Keys are few (languages, classes): then their counts go to where the rows are read. Many are joined as they are.
+    few = sizes.limit(BROADCAST_KEYS + 1).collect()
+    if len(few) <= BROADCAST_KEYS:
+        sizes = F.broadcast(rows.sparkSession.createDataFrame(few, sizes.schema))
     thin = rows.join(sizes, keys).filter(place * F.col("_rows") < max(2 * n, 100))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(place, "doc_id"))
     return thin.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank", "_rows")

@@ -104,8 +104,9 @@ def _document_shingles(hashes: Column, n: int) -> Column:
 
 def _anchors(hashed: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """doc_id, at, width: where a shingle of an item of that width stands in a document."""
-    seeds = stored(items.filter(F.col("n") == n).select("width", F.explode("shingles").alias("h")).distinct())
-    if seeds.count() <= BROADCAST_SHINGLES:
+    own = items.filter(F.col("n") == n)
+    seeds = own.select("width", F.explode("shingles").alias("h")).distinct()
+    if own.agg(F.sum(F.size("shingles"))).first()[0] <= BROADCAST_SHINGLES:
         seeds = F.broadcast(seeds)
     placed = hashed.select("doc_id", F.posexplode(_document_shingles(F.col("h"), n)).alias("at", "h"))
     return placed.join(seeds, "h").select("doc_id", "at", "width", F.lit(n).alias("n"))
@@ -121,14 +122,13 @@ def windows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
     for n in sorted(kinds):
         part = _anchors(hashed, items, n)
         found = part if found is None else found.unionByName(part)
-    # Documents with anchors only: their anchors of each width in order.
+    # One row for each document with anchors: those of each width in order. It is written, so that its size is known when
+    # the join is planned, and the documents stay where they are if it is small.
     found = found.groupBy("doc_id", "width", "n").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-    found = stored(found)
-    held = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text").join(
-        found.select(F.col("doc_id").alias("found_id")).distinct(), F.col("own_id").eqNullSafe(F.col("found_id")), "left_semi"
-    )
-    held = held.select("own_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    rows = held.join(found, F.col("own_id").eqNullSafe(F.col("doc_id")))
+    found = stored(found.groupBy("doc_id").agg(F.collect_list(F.struct("width", "n", "ats")).alias("anchors")))
+    held = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text").join(found, F.col("own_id").eqNullSafe(F.col("doc_id")))
+    held = held.select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"), "anchors")
+    rows = held.select("doc_id", "h", F.explode("anchors").alias("a")).select("doc_id", "h", "a.width", "a.n", "a.ats")
     have = F.least(F.size("h"), F.col("width")) - F.col("n") + 1
     last = F.greatest(F.size("h") - F.col("width"), F.lit(0))
     needed = F.ceil(threshold / (1 + threshold) * (have + F.col("width") - F.col("n") + 1) - 1e-9).cast("int")
@@ -161,5 +161,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that no item contaminates; every column is kept."""
-    bad = matches(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = stored(matches(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct())
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")), "left_anti")

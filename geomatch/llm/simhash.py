@@ -36,6 +36,7 @@ SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 3
 RUN_ROWS = 2048
+TASK_LINKS = 100_000
 
 _WIDTHS = (11, 11, 11, 11, 10, 10)
 _BLOCKS = [((1 << w) - 1) << sum(_WIDTHS[:i]) for i, w in enumerate(_WIDTHS)]
@@ -224,18 +225,18 @@ def connected(edges: DataFrame) -> DataFrame:
     the rounds end when the links no longer change.
     """
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = stored(small.filter("u <> v").distinct())
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == state:
+        # A round never adds links, so it needs no more tasks than the one before had links for.
+        edges = stored(small.filter("u <> v").distinct().coalesce(state[0] // TASK_LINKS + 1))
+        before, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if before == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = new
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, run_rows: int = RUN_ROWS, n: int = SHINGLE_WORDS) -> DataFrame:
