@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geomatch.functions.display import feature_text
+from geomatch.functions.ids import own_aliases
 
 _VALUES = ("value", "value_array", "value_json")
 
@@ -77,6 +78,12 @@ def feature_listing(features: DataFrame) -> DataFrame:
     )
 
 
+def features_of_objects(features: DataFrame, objects: DataFrame) -> DataFrame:
+    """Features of the buildings that the given objects (``object_id``), as those of a file, stand for: by id or digit run."""
+    ids = objects.select(F.explode(own_aliases(F.col("object_id"))).alias("building_id")).distinct()
+    return features.join(ids, "building_id", "left_semi")
+
+
 def feature_keys(features: DataFrame) -> DataFrame:
     """Lookup keys of the feature table: ``key, key_pos``, in order of first appearance."""
     return features.groupBy(F.col("building_id").alias("key")).agg(F.min("pos").alias("key_pos"))

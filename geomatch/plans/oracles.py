@@ -300,6 +300,16 @@ SELECT 'bag_' || object_id AS request_id, object_id,
   CASE WHEN turn <> 1 THEN ',"transform":{{"scale":[0.5,0.5,0.5],"translate":[1000,2000,10]}}' ELSE '' END || '}}' AS cityjson
 FROM boxes JOIN own USING (k)"""
 
+# The same objects for source A, whose boxes are made from orders.
+_EXTRACT_A = (
+    _EXTRACT.replace("p_size", "(o_orderkey % 50 + 1)")
+    .replace("p_name, p_type,", "o_orderstatus AS p_name, 'Building' AS p_type,")
+    .replace(_pad("p_partkey"), "'bag_' || " + _pad("o_orderkey"))
+    .replace("p_partkey", "o_orderkey")
+    .replace("Source B", "Source A")
+    .replace("FROM part", "FROM orders")
+)
+
 # Shape of the box of key k with size s, in a document of block k // 50.
 _PROFILES = f"""
 profiles AS (
@@ -431,6 +441,9 @@ ORACLES: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY k ORDER BY confidence DESC, match_pos) AS r FROM pairs)
         WHERE r = 1 AND confidence > 0.5""",
     "building_status": f"WITH {_STATUS} SELECT * FROM status",
+    "building_status_of_files": "WITH "
+    + _STATUS.replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT o_orderkey FROM orders))")
+    + " SELECT * FROM status",
     "building_status_last_file": f"""WITH {_PAIRS}, last AS (SELECT k, max(l_linestatus) AS l FROM pairs GROUP BY k),
         by_key AS (SELECT k, {_STATUS_CASE} AS match_status FROM pairs JOIN last USING (k) WHERE l_linestatus = l GROUP BY k),
         named AS (SELECT 'bag_' || {_pad('k')} AS building_id, match_status FROM by_key
@@ -591,6 +604,13 @@ ORACLES: dict[str, str] = {
           i.source AS index_source, i.file_path AS index_file_path, i.object_id AS index_object_id,
           i.n_points AS index_n_points, i.max_size AS index_max_size, i.shown_height AS index_shown_height
         FROM {_LAST} LEFT JOIN shaped c ON c.k = pairs.k LEFT JOIN shaped i ON i.k = pairs.p""",
+    "comparison_objects": f"""WITH a AS ({_EXTRACT_A.replace("SELECT 'bag_' || object_id AS request_id", "SELECT k")}),
+        b AS ({_EXTRACT.replace("SELECT 'bag_' || object_id AS request_id", "SELECT k")}),
+        ids AS (SELECT DISTINCT 'bag_' || {_pad('l_orderkey')} AS id, l_orderkey AS k FROM lineitem
+          UNION ALL SELECT DISTINCT {_pad('l_partkey')}, l_partkey FROM lineitem)
+        SELECT id, CASE WHEN a.k IS NOT NULL THEN 'A' ELSE 'B' END AS source, coalesce(a.object_id, b.object_id) AS object_id,
+          coalesce(a.cityjson, b.cityjson) AS cityjson
+        FROM ids LEFT JOIN a USING (k) LEFT JOIN b USING (k) WHERE a.k IS NOT NULL OR b.k IS NOT NULL""",
     "object_type_class": f"""WITH t AS (SELECT {_pad('p_partkey')} AS object_id, {_KIND} AS object_type FROM part)
         SELECT object_id, object_type, coalesce(red, 136) AS red, coalesce(green, 136) AS green, coalesce(blue, 136) AS blue
         FROM t LEFT JOIN (VALUES ('Building', 116, 151, 223), ('BuildingPart', 116, 151, 223), ('WaterBody', 77, 166, 255),

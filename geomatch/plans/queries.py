@@ -143,6 +143,13 @@ def building_status_last_file(spark, sf):
     return _status(spark, sf, by="run")
 
 
+def building_status_of_files(spark, sf):
+    """Where only features of the candidate files' objects count."""
+    objects = A.bare_objects(spark, sf).where("source = 'A'")
+    features = feature_ops.features_of_objects(A.features(spark, sf), objects)
+    return status.building_status(features, *_result_tables(spark, sf))
+
+
 def stage_colours(spark, sf):
     return status.stage_colours(A.bare_objects(spark, sf), _status(spark, sf))
 
@@ -418,6 +425,15 @@ def comparison_set(spark, sf):
     return comparison.comparison_set(pairs, buildings, table.drop("geometries"), shapes)
 
 
+def comparison_objects(spark, sf):
+    """The object of every candidate and of every index building in a pair."""
+    documents = stored(A.both_documents(spark, sf))
+    pairs = A.pairs(spark, sf)
+    ids = pairs.select(F.col("building_id").alias("id")).unionByName(pairs.select(F.col("index_id").alias("id")))
+    found = comparison.extracted(ids.distinct(), cityjson.city_objects(documents), documents)
+    return found.select("id", "source", "object_id", "cityjson")
+
+
 def object_type_class(spark, sf):
     objects = cityjson.city_objects(A.index_documents(spark, sf))
     return objects.select("object_id", "object_type", object_type_rgb(F.col("object_type")).alias("c")).select(
@@ -461,14 +477,14 @@ QUERIES: dict[str, Query] = {
         predicted_label, results_scan, results_documents, metrics_scan, flatten_last_wins, load_totals, ranked_pairs, ranked_pairs_last_file, topk_pairs,
         predicted_matches, pair_badges, match_status, comparison_verdict, comparison_verdict_last_file,
         predicted_matches_last_file, best_match,
-        building_status, building_status_last_file, stage_colours,
+        building_status, building_status_last_file, building_status_of_files, stage_colours,
         potential_matches, unmatched_candidates, file_metrics, threshold_metrics, best_match_metrics,
         labelled_metrics, file_summary, summary_texts,
         feature_unpivot, feature_round_trip, feature_pivot, feature_maps, first_feature_maps, feature_listing, feature_counts,
         feature_lookup, pair_lookup, pairs_of_request, matches_of_request, object_lookup, find_file, file_lookup, file_lookup_exact,
         city_quality, vertices_of_odd_files, cityjson_objects, object_descriptions, dequantised_vertices, ring_vertices, object_bbox, object_height,
         drawable_objects, footprint, footprint_stats, file_bbox, file_counts, geo_bounds, bounds_ring,
-        lonlat_points, extract_object, comparison_set, object_type_class, display_texts,
+        lonlat_points, extract_object, comparison_set, comparison_objects, object_type_class, display_texts,
         source_files, resolve_paths, resolve_paths_select, catalog_versions,
     )
 }
