@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from geomatch.storage import shared_folder
 
 PIECE_CHARS = 1 << 20
 BROADCAST_KEYS = 10_000
+SLICE_ROWS = 1000
 _BREAK = re.compile(rb"[ \t-\r]")
 LETTERS = r"[^\W\d_]"
 
@@ -35,14 +37,18 @@ def text_bytes(text: Column) -> Column:
     return text.cast("binary")
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType) -> DataFrame:
-    """Apply a function to each batch of rows; ``make`` builds it once per task."""
+def arrow_map(
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Apply a function to slices of the batches that Spark sends; ``make`` builds it once per task. Slices bound what a task
+    holds as Python objects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, rows):
+                if (out := work(batch.slice(at, rows))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
@@ -86,6 +92,11 @@ def text_pieces(texts: list[str | None], size: int = PIECE_CHARS) -> Iterator[tu
         yield rows, pieces
 
 
+def text_of(batch: pa.RecordBatch) -> list[str | None]:
+    """The texts of rows that travel as a struct ``row``."""
+    return pc.struct_field(batch["row"], "text").to_pylist()
+
+
 def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], np.ndarray]]) -> DataFrame:
     """The rows whose text a function keeps; rows travel as a struct, so no column can clash."""
 
@@ -93,12 +104,12 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], n
         keeps = make()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            return batch.select(["row"]).filter(pa.array(keeps(batch["text"].to_pylist()), pa.bool_()))
+            return batch.filter(pa.array(keeps(text_of(batch)), pa.bool_()))
 
         return work
 
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    return arrow_map(rows, build, T.StructType([rows.schema["row"]])).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"))
+    return arrow_map(rows, build, rows.schema).select("row.*")
 
 
 def hashed_sample(rows: DataFrame, keys: list[str], n: int) -> DataFrame:

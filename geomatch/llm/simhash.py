@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geomatch.llm.common import arrow_map, text_bytes, word_runs
+from geomatch.llm.common import arrow_map, text_bytes, text_of, word_runs
 from geomatch.storage import stored
 
 SEED = 42
@@ -255,12 +255,13 @@ def _tagged(docs: DataFrame, n: int) -> DataFrame:
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            prints = np.fromiter((fingerprint(t, n) for t in batch["text"].to_pylist()), dtype=np.uint64, count=batch.num_rows)
+            texts = (t if t is None else t.encode() for t in text_of(batch))
+            prints = np.fromiter((fingerprint(t, n) for t in texts), dtype=np.uint64, count=batch.num_rows)
             return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints.view(np.int64)), batch["row"]], ["doc_id", "fp", "row"])
 
         return work
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"), F.struct("*").alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"))
     return arrow_map(rows, make, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), rows.schema["row"]]))
 
 

@@ -34,8 +34,8 @@ OWN_FROM = 3
 SAMPLE_ROWS = 4000
 FOLDS = 5
 CALIBRATION_FOLD = 4
-CACHED_WORDS = 400_000
-CACHED_WINDOWS = 2_000_000
+CACHED_WORDS = 200_000
+CACHED_WINDOWS = 1_500_000
 _WORDS = re.compile(LETTERS + "+")
 
 
