@@ -13,7 +13,8 @@ read instead of mapped.
 The model folder belongs to the application and goes with it. Files are written under another name and moved when whole,
 so a task that runs again, after its executor was lost, leaves the same files. The driver gets sums and at most ``1 / HOT_SHARE`` frequent words.
 
-Order. The model is of order two: the pairs of a corpus take about three times the disk of its compressed texts here, triples would take over five.
+Order. The model is of order two: counting the pairs of a corpus takes nearly three times the disk of its compressed texts here. Triples, half as many
+again and mostly unique, would come to more than four times by estimate.
 
 Defined cases. A null or empty text is one token, the end of a text. A row whose id is null is scored, is not held out and teaches nothing. Rows that
 repeat count and are scored each. With nothing to learn from, every token has probability 1 (score 0), and so base_score is log10(0.1 / 0.1) = 0 for each.

@@ -247,11 +247,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             f = differences.features(batch["text"].to_pylist())
-            return pa.RecordBatch.from_arrays([batch["toxic"], *(pa.array(f[:, i]) for i in range(3))], ["toxic", "a", "b", "c"])
+            return pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], *(pa.array(f[:, i]) for i in range(3))], ["doc_id", "toxic", "a", "b", "c"])
 
         return work
 
-    seen = arrow_map(texts.filter("part = 1").select("toxic", "text"), make, "toxic int, a double, b double, c double").toPandas()
+    rows = arrow_map(texts.filter("part = 1").select("doc_id", "toxic", "text"), make, "doc_id long, toxic int, a double, b double, c double")
+    # Rows that repeat an id are one, so that no more than the sample comes to the driver.
+    seen = rows.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("toxic", "a", "b", "c"))).toPandas().sort_values("doc_id")
     y = seen.toxic.to_numpy()
     if not len(y) or y.min() == y.max():
         return Model(None, None, share)
