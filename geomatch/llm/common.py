@@ -113,11 +113,14 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], n
 
 
 def hashed_sample(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """At most ``n`` rows of each key, the first by a hash of ``doc_id``; keys of up to ``n`` rows are whole.
+    """At most ``n`` rows of each key, the first by a hash of ``doc_id``; keys of up to ``n`` rows are whole. Without
+    keys, ``n`` rows of all.
 
     Rows are counted, then thinned by their hash to about twice ``n`` before they are ordered, so the ordering does not grow with the input.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    if not keys:
+        return rows.filter(place * F.lit(rows.count()) < max(2 * n, 100)).orderBy(place, "doc_id").limit(n)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
     # Keys are few (languages, classes): then their counts go to where the rows are read. Many are joined as they are.
     few = sizes.limit(BROADCAST_KEYS + 1).collect()

@@ -403,8 +403,8 @@ def fit(pages: list[tuple[str, list[bool]]], rounds: int = 250, penalty: float =
 
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, n: int = TRAINING_PAGES) -> Field:
     """Fit a field on composed pages with words of at most ``sample_pages`` pages of the table, of each its first 20,000 characters."""
-    ids = pages.select(F.col("page_id").cast("long").alias("doc_id")).filter("doc_id is not null").withColumn("_all", F.lit(1))
-    sample = F.broadcast(hashed_sample(ids, ["_all"], sample_pages).select("doc_id").distinct())
+    ids = pages.select(F.col("page_id").cast("long").alias("doc_id")).filter("doc_id is not null")
+    sample = F.broadcast(hashed_sample(ids, [], sample_pages).distinct())
     rows = pages.select(F.col("page_id").cast("long").alias("doc_id"), F.substring("html", 1, 20_000).alias("html")).join(sample, "doc_id", "left_semi")
     words = sorted({w for row in rows.select("html").limit(sample_pages).collect() for b in blocks(row.html) for w in b.text.split() if not w.startswith("©")})
     return fit(list(training_pages(random.Random(7).sample(words, min(len(words), 5000)), n)))

@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from geomatch.llm.common import arrow_map, file_system, fold, hashed_sample, new_folder, text_bytes, word_runs
 
 FOLDS = 10
-SHARD_BYTES = 32 << 20
-FLUSH_TOKENS = 4_000_000
+SHARD_BYTES = 16 << 20
+FLUSH_TOKENS = 2_000_000
 SCORE_TOKENS = 1_000_000
 HOT_SHARE = 1 / 2000
 HOT_SAMPLE = 2000
@@ -155,8 +155,9 @@ def _count_pairs(train: DataFrame, hot: np.ndarray, bits: int, flush: int) -> Da
 
     def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         first, second = (np.concatenate(x) for x in zip(*held))
-        shard = _shards(first, second, hot, bits)
-        (shard, first, second), (n,) = _grouped((shard, first, second), [np.ones(len(first), np.int64)])
+        held.clear()
+        shard = _shards(first, second, hot, bits).astype(np.int32)
+        (shard, first, second), (n,) = _grouped((shard, first, second), [np.ones(len(first), np.int32)])
         heads = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (shard[1:] != shard[:-1])])
         sizes = np.diff(np.r_[heads, len(first)])
         rows = []
@@ -176,7 +177,7 @@ def _count_pairs(train: DataFrame, hot: np.ndarray, bits: int, flush: int) -> Da
                     tokens += len(pair[0])
                     if tokens >= flush:
                         yield packed(held)
-                        held, tokens = [], 0
+                        tokens = 0
         if held:
             yield packed(held)
 
@@ -249,7 +250,7 @@ def _merge_words(uri: str, bits: int):
 
 def _frequent(train: DataFrame, sample_rows: int) -> np.ndarray:
     """Hashes of the words that make up ``HOT_SHARE`` of the tokens of a bounded sample, or more."""
-    ids = hashed_sample(train.select("doc_id").withColumn("_all", F.lit(1)), ["_all"], sample_rows).select("doc_id").distinct()
+    ids = hashed_sample(train.select("doc_id"), [], sample_rows).distinct()
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -136,8 +136,8 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
 
         return work
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").withColumn("_all", F.lit(1))
-    sample = F.broadcast(hashed_sample(ids, ["_all"], sample_rows).select("doc_id").distinct())
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
+    sample = F.broadcast(hashed_sample(ids, [], sample_rows).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id", "left_semi").select("text")
     sums = [F.sum(F.col("seconds")[i]).alias(f"s{i}") for i in range(len(rules))]
     found = arrow_map(texts, make, "mask long, seconds array<double>").groupBy("mask").agg(F.count("*").alias("n"), *sums).toPandas()
