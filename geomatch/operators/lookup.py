@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geomatch.functions.ids import base_name, digit_run, numeric_id, own_aliases, padding_variants
+from geomatch.storage import stored
+
+# Texts asked for are sent to the keys up to this number; more are joined by a shuffle.
+BROADCAST_TEXTS = 1_000_000
 
 
 def _with_lengths(frame: DataFrame, other: DataFrame, column: str) -> DataFrame:
@@ -59,35 +63,33 @@ def ranked_lookup(
         probes = probes.withColumn("tier", F.col("tier") + len(exact))
         inside = _substrings(_with_lengths(probes, keys, "key"), "probe", "text")
         asked += [inside.select("request_id", "tier", "text", whole), probes.select("request_id", "tier", F.col("probe").alias("text"), part)]
-        cut = _cuts(F.col("key"), F.col("_lengths"))
-        pieces = _with_lengths(keys, probes, "probe").select(
-            "key", "key_pos", F.explode(F.array_append(cut, F.struct(F.col("key").alias("text"), whole))).alias("p")
-        ).select("key", "key_pos", "p.text", "p.whole")
+        pieces = _cuts(_with_lengths(keys, probes, "probe"))
     wanted = asked[0]
     for more in asked[1:]:
         wanted = wanted.unionByName(more)
-    wanted = wanted.distinct()
+    wanted = stored(wanted.distinct())
+    texts = wanted.select("text", "whole").distinct()
+    if wanted.count() <= BROADCAST_TEXTS:
+        texts = F.broadcast(texts)
     first = (
-        pieces.join(wanted.select("text", "whole").distinct(), ["text", "whole"], "left_semi")
+        pieces.join(texts, ["text", "whole"], "left_semi")
         .groupBy("text", "whole")
-        .agg(F.min(F.struct("key_pos", "key")).alias("hit"))
-    )
-    best = wanted.join(first, ["text", "whole"]).groupBy("request_id").agg(F.min(F.struct("tier", "hit")).alias("best"))
-    return ids.join(best, "request_id", "left").select("request_id", "best.hit.key", "best.tier")
-
-
-def _cuts(text: Column, lengths: Column) -> Column:
-    """All substrings of the given lengths: ``array<struct<text, whole>>``."""
-    fitting = F.filter(lengths, lambda n: (n > 0) & (n <= F.length(text)))
-    return F.flatten(
-        F.transform(
-            fitting,
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length(text) - n + 1),
-                lambda i: F.struct(F.substr(text, i, n).alias("text"), F.lit(False).alias("whole")),
-            ),
-        )
+        # Only the place is aggregated: a fixed-width buffer keeps this a hash aggregation. The keys found are few.
+        .agg(F.min("key_pos").alias("key_pos"))
     )
+    best = wanted.join(first, ["text", "whole"]).groupBy("request_id").agg(F.min(F.struct("tier", "key_pos")).alias("best"))
+    best = best.select("request_id", "best.tier", "best.key_pos").join(keys, "key_pos").select("request_id", "key", "tier")
+    return ids.join(best, "request_id", "left").select("request_id", "key", "tier")
+
+
+def _cuts(keys: DataFrame) -> DataFrame:
+    """``key, key_pos, text, whole``: each key as it is (length 0 stands for that) and its substrings of the lengths in ``_lengths``."""
+    size, n = F.length("key"), F.col("_n")
+    fitting = F.array_append(F.filter("_lengths", lambda x: (x > 0) & (x <= size)), F.lit(0))
+    places = F.sequence(F.lit(1), F.when(n == 0, 1).otherwise(size - n + 1))
+    cut = keys.select("key", "key_pos", F.explode(fitting).alias("_n")).select("key", "key_pos", "_n", F.explode(places).alias("_i"))
+    text = F.when(n == 0, F.col("key")).otherwise(F.substr("key", F.col("_i"), n))
+    return cut.select("key", "key_pos", text.alias("text"), (n == 0).alias("whole"))
 
 
 def feature_lookup(requests: DataFrame, keys: DataFrame) -> DataFrame:
