@@ -2,7 +2,7 @@
 
 All lookups are equi-joins. "One id is part of the other" joins on substrings, cut only to the lengths
 that occur on the other side, so every join row is a real match and nothing is compared pairwise. Keys
-are read once, whole and cut; what nobody asks for is dropped by a semi-join before anything is
+are cut in one pass; what nobody asks for is dropped by a semi-join before anything is
 aggregated or shuffled, so a lookup costs what is asked. A text that many keys hold is reduced to its
 first key before the requests are joined, so it never multiplies rows.
 """

@@ -419,7 +419,8 @@ def extract_object(spark, sf):
 
 
 def comparison_set(spark, sf):
-    table = stored(cityjson.object_table(A.comparison_documents(spark, sf), first_only=True))
+    documents = stored(A.comparison_documents(spark, sf))
+    table = stored(cityjson.object_table(documents, first_only=True))
     shapes = cityjson.geometries_of(table, ("Solid", "MultiSurface", "CompositeSurface"), first_only=True)
     pairs, buildings = _result_tables(spark, sf, by="run")
     return comparison.comparison_set(pairs, buildings, table.drop("geometries"), shapes)
