@@ -56,20 +56,27 @@ def _votes(hashes: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(len(sums), 64).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: bytes | None, n: int = SHINGLE_WORDS) -> int:
-    """The 64-bit fingerprint of a text; zero if it has no words."""
-    votes, total = np.zeros(64, dtype=np.int64), 0
+def shingle_hashes(text: bytes | None, n: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles in order, in runs; none if it has no words."""
+    some = False
     before: list[bytes] = []
     for words in word_runs(text):
         words = before + words
         if len(words) >= n:
             shingles = zip(*(words[i:] for i in range(n)))
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(SEED)), dtype=np.uint64)
-            votes += _votes(hashes)
-            total += len(hashes)
+            yield np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(SEED)), dtype=np.uint64)
+            some = True
         before = words[max(0, len(words) - n + 1) :]
-    if not total:
-        return xxhash.xxh64_intdigest(b" ".join(before), SEED) if before else 0
+    if before and not some:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(before), SEED)], dtype=np.uint64)
+
+
+def fingerprint(text: bytes | None, n: int = SHINGLE_WORDS) -> int:
+    """The 64-bit fingerprint of a text; zero if it has no words."""
+    votes, total = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, n):
+        votes += _votes(hashes)
+        total += len(hashes)
     return int(np.packbits(votes * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
