@@ -9,7 +9,10 @@ more with it: shingles of five words, weighted by how often they occur, shared w
 2. Fingerprints. Windows of equal shingles become one row, however many documents hold them, and get a SimHash of 64 bits.
 3. Multi-index blocks. Two fingerprints within ``RADIUS`` = 15 bits differ by one bit or none in one of eight blocks. Each item is stored under its eight blocks and their
    one-bit neighbours, each window asks for its eight blocks, among items of its length; pairs within the radius go on.
-4. Exact similarity verifies each pair, on multisets of shingle hashes (64 bits).
+4. Rare shingles. Similar pairs can differ in more bits (short items mostly), which blocks do not promise to find. A window that is similar to an item
+   of m shingles holds at least ceil(0.8 m) of them, so it holds one of any m - ceil(0.8 m) + 1: each item is stored under that many of its shingles, those
+   that the fewest items of its length have, and windows that hold one go on with it.
+5. Exact similarity verifies each pair of 3 and 4, on multisets of shingle hashes (64 bits). No similar pair is lost.
 
 Item shingles are broadcast only if their counted number is within ``BROADCAST_SHINGLES``; more are joined by a shuffle. What is shuffled
 then follows the shingles of the documents; otherwise only anchors are. An item or passage that very many documents hold adds rows in
@@ -141,20 +144,39 @@ def windows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
     return rows.select("doc_id", "start", "width", shingles.alias("shingles"))
 
 
+def _by_rare_shingles(contents: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """width, window, item of all pairs that can have the similarity, whatever their fingerprints are."""
+    tags = items.select("width", "item", F.explode(tagged(F.col("item_shingles"))).alias("tag")).distinct()
+    counted = tags.join(tags.groupBy("width", "tag").agg(F.count("*").alias("items")), ["width", "tag"])
+    ranked = counted.groupBy("width", "item").agg(F.array_sort(F.collect_list(F.struct("items", "tag"))).alias("tags"))
+    # Also right for a threshold of zero: every shingle is a key then.
+    size = F.size("tags") - F.greatest(F.ceil(F.size("tags") * threshold - 1e-9).cast("int"), F.lit(1)) + 1
+    keys = stored(ranked.select("width", "item", F.explode(F.slice(F.col("tags.tag"), F.lit(1), size)).alias("tag")))
+    if keys.count() <= BROADCAST_SHINGLES:
+        keys = F.broadcast(keys)
+    held = contents.select("width", "window", F.explode(tagged(F.col("shingles"))).alias("tag"))
+    return held.join(keys, ["width", "tag"]).select("width", "window", "item").distinct()
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, similarity, start: the best window of each contaminated document and item."""
     items = stored(_items(benchmark))
     placed = stored(windows(docs, items, threshold).withColumn("window", F.xxhash64("width", "shingles")))
-    contents = placed.groupBy("width", "window", "shingles").agg(F.count("*").alias("copies")).withColumn("fp", fingerprint(F.col("shingles")))
-    asked = contents.withColumn("block", _numbers([*range(BLOCKS)])).withColumn("value", _block(F.col("fp"), F.col("block")))
-    prints = items.select("item_id", "width", F.col("shingles").alias("item_shingles"), fingerprint(F.col("shingles")).alias("item_fp"))
+    contents = stored(placed.groupBy("width", "window").agg(F.first("shingles").alias("shingles")))
+    asked = contents.withColumn("fp", fingerprint(F.col("shingles"))).withColumn("block", _numbers([*range(BLOCKS)])).withColumn("value", _block(F.col("fp"), F.col("block")))
+    # Items of equal text are one, with several ids.
+    named = items.withColumn("item", F.xxhash64("width", "shingles"))
+    texts = stored(named.groupBy("width", "item").agg(F.first("shingles").alias("item_shingles")))
+    prints = texts.select("width", "item", fingerprint(F.col("item_shingles")).alias("item_fp"))
     flips = [0, *(1 << i for i in range(BLOCK_BITS))]
     near = prints.withColumn("block", _numbers([*range(BLOCKS)])).withColumn("flip", _numbers(flips))
     kept = near.withColumn("value", _block(F.col("item_fp"), F.col("block")).bitwiseXOR(F.col("flip").cast("long"))).drop("flip")
     pairs = asked.join(kept, ["width", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    pairs = stored(pairs.select("width", "window", "item").union(_by_rare_shingles(contents, texts, threshold)).distinct())
     a, b = tagged(F.col("shingles")), tagged(F.col("item_shingles"))
-    pairs = pairs.dropDuplicates(["width", "window", "item_id"]).withColumn("similarity", F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
-    good = pairs.filter(F.col("similarity") >= threshold).select("width", "window", "item_id", "similarity")
+    exact = pairs.join(contents, ["width", "window"]).join(texts, ["width", "item"])
+    exact = exact.withColumn("similarity", F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    good = exact.filter(F.col("similarity") >= threshold).select("width", "window", "item", "similarity").join(named.select("width", "item", "item_id"), ["width", "item"])
     best = F.max_by(F.struct("similarity", "start"), F.struct("similarity", -F.col("start"))).alias("best")
     return placed.select("doc_id", "start", "width", "window").join(good, ["width", "window"]).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", "best.start")
 

@@ -116,3 +116,18 @@ def test_hashes_are_of_words(spark):
 
     row = spark.range(1).select(dc.words_of(F.lit("Ab, c_d 1.É")).alias("w"), F.transform(dc.words_of(F.lit("Ab")), lambda w: F.xxhash64(w)).alias("h")).first()
     assert row.w == ["ab", "c", "d", "1", "é"] and row.h[0] % (1 << 64) == xxhash.xxh64_intdigest(b"ab", 42)
+
+
+def test_similar_pairs_beyond_the_radius(spark, make_docs):
+    """Four of an item's five shingles are 0.8 of it, and often more than fifteen bits from it."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(9)) for i in range(150)]
+    docs = make_docs([t.rsplit(" ", 1)[0] for t in texts])
+    benchmark = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    got = dc.matches(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in got} == {(i, i): pytest.approx(0.8) for i in range(150)}
+
+
+def test_texts_that_share_an_item_id(spark, make_docs):
+    one, two = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    benchmark = spark.createDataFrame([(1, one), (1, two)], "item_id long, text string")
+    assert sorted(r.doc_id for r in dc.matches(make_docs([one, two, "c " * 20]), benchmark).collect()) == [0, 1]
