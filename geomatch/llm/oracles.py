@@ -58,4 +58,57 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
 FROM firsts
 """
 
-ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT, "op7_warc": WARC, "op8_quality_rules": QUALITY}
+#: The damage needs crc32, here taken bit by bit. Then forward over the rows: the cheapest way into each state (0 nothing yet, 1 after a system,
+#: 2 after a user, 3 after an assistant turn), the ASCII-least of equals, with what it has made. Turns are inserted before a row or at the end.
+REPAIR = r"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), kinds AS (
+    SELECT * EXCLUDE (key), xor(list_reduce([CAST((ascii(key[k // 8 + 1]) >> CAST(k % 8 AS INTEGER)) & 1 AS BIGINT) FOR k IN range(8 * length(key))],
+           lambda crc, bit: xor(crc // 2, 3988292384 * (xor(crc, bit) & 1)), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind FROM keyed
+), damaged AS (
+    SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM (SELECT *, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds) WHERE kind <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), judged AS (
+    SELECT *, left(role, 1) AS initial, CASE
+        WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+    FROM placed
+), facts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+           count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+           count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+           count(*) FILTER (WHERE i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM judged) GROUP BY conv_id
+), inserts(q, mid, ins, ins_cost, ins_made) AS (
+    VALUES (0, 0, '', 0, ''), (0, 2, 'I', 5, chr(10) || 'user:'), (0, 3, 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:'),
+           (1, 1, '', 0, ''), (1, 2, 'I', 5, chr(10) || 'user:'), (1, 3, 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:'),
+           (2, 2, '', 0, ''), (2, 3, 'I', 5, chr(10) || 'assistant:'), (3, 3, '', 0, ''), (3, 2, 'I', 5, chr(10) || 'user:')
+), edits(mid, own, edit, edit_cost, target, given) AS (
+    VALUES (0, NULL, 'D', 2, 0, NULL), (1, NULL, 'D', 2, 1, NULL), (2, NULL, 'D', 2, 2, NULL), (3, NULL, 'D', 2, 3, NULL),
+           (0, 's', 'K', 0, 1, NULL), (0, 'u', 'K', 0, 2, NULL), (1, 'u', 'K', 0, 2, NULL), (2, 'a', 'K', 0, 3, NULL), (3, 'u', 'K', 0, 2, NULL),
+           (0, NULL, 'R', 1, 2, 'user'), (1, NULL, 'R', 1, 2, 'user'), (2, NULL, 'R', 1, 3, 'assistant'), (3, NULL, 'R', 1, 2, 'user')
+), walk AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, 0 AS cost, '' AS audit, '' AS made FROM facts
+    UNION ALL
+    SELECT w.conv_id, r.i, e.target AS q, w.cost + ins_cost + edit_cost + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END AS cost,
+           w.audit || ins || edit AS audit, w.made || ins_made || CASE edit WHEN 'D' THEN '' ELSE chr(10) || coalesce(given, r.role) || ':' || r.text END AS made
+    FROM walk w JOIN judged r ON r.conv_id = w.conv_id AND r.i = w.i + 1 JOIN inserts m ON m.q = w.q JOIN edits e ON e.mid = m.mid AND (own IS NULL OR own = initial)
+    WHERE edit = 'D' OR fault IN ('', 'truncated')
+    QUALIFY row_number() OVER (PARTITION BY w.conv_id, r.i, e.target ORDER BY w.cost + ins_cost + edit_cost + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END, w.audit || ins || edit) = 1
+), ended AS (
+    SELECT conv_id, cost + ins_cost AS cost, audit || ins AS audit, made || ins_made AS made
+    FROM walk JOIN facts USING (conv_id) JOIN inserts USING (q) WHERE i = n AND mid IN (0, 3) AND (q <> 0 OR mid = 0)
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost + ins_cost, audit || ins) = 1
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(substr(made, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts USING (conv_id) LEFT JOIN ended USING (conv_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT, "op7_warc": WARC, "op8_quality_rules": QUALITY, "op13_structure_repair": REPAIR}
