@@ -111,4 +111,22 @@ SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts USING (conv_id) LEFT JOIN ended USING (conv_id)
 """
 
-ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT, "op7_warc": WARC, "op8_quality_rules": QUALITY, "op13_structure_repair": REPAIR}
+#: w is floor(1000 ln((2N+2)/(2df+1))), m is 75 + 25 n N div L.
+SEARCH = r"""
+WITH terms AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), counted AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY ALL),
+whole AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS total FROM lengths),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(documents) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM counted, whole GROUP BY term),
+asked AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * documents) // total)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN lengths USING (doc_id), whole GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT, "op7_warc": WARC, "op8_quality_rules": QUALITY, "op11_ranked_search": SEARCH, "op13_structure_repair": REPAIR}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geomatch.llm import chat, decontaminate, html, langid, lm, packing, quality, repair, simhash, toxicity, warc
+from geomatch.llm import chat, decontaminate, html, langid, lm, packing, quality, repair, search, simhash, toxicity, warc
 from geomatch.llm.common import read
 
 
@@ -52,6 +52,10 @@ def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark, read(spark, sf_dir, "pages"))
 
 
+def rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damaged_reports(read(spark, sf_dir, "conversations"))
 
@@ -67,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": judge_quality,
     "op9_benchmark_decontamination": find_contamination,
     "op10_lm_scoring": score_language_model,
+    "op11_ranked_search": rank_documents,
     "op13_structure_repair": repair_conversations,
 }
