@@ -129,4 +129,15 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 FROM scored WHERE score > 0 QUALIFY rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT, "op7_warc": WARC, "op8_quality_rules": QUALITY, "op11_ranked_search": SEARCH, "op13_structure_repair": REPAIR}
+SUBSTRINGS = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS own FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t)),
+firsts AS (SELECT own, min(doc_id) AS first_id FROM windows GROUP BY own),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN firsts USING (own), range(13) AS places(k) WHERE first_id < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM t),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_chat_formatting": CHAT, "op7_warc": WARC, "op8_quality_rules": QUALITY, "op11_ranked_search": SEARCH, "op12_substring_dedup": SUBSTRINGS, "op13_structure_repair": REPAIR}

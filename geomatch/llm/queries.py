@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geomatch.llm import chat, decontaminate, html, langid, lm, packing, quality, repair, search, simhash, toxicity, warc
+from geomatch.llm import chat, decontaminate, html, langid, lm, packing, quality, repair, search, simhash, substrings, toxicity, warc
 from geomatch.llm.common import read
 
 
@@ -56,6 +56,10 @@ def rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(read(spark, sf_dir, "documents"))
+
+
 def repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damaged_reports(read(spark, sf_dir, "conversations"))
 
@@ -72,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": find_contamination,
     "op10_lm_scoring": score_language_model,
     "op11_ranked_search": rank_documents,
+    "op12_substring_dedup": remove_repeats,
     "op13_structure_repair": repair_conversations,
 }
