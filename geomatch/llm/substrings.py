@@ -41,7 +41,7 @@ WINDOW = 13
 ANCHOR = 6
 CHUNK_BYTES = 8 << 20
 #: Text that one hash range of anchors and one shard of passages stand for.
-SHARE_BYTES = 32 << 20
+SHARE_BYTES = 8 << 20
 #: Chunks are dealt to at most this many tasks.
 TASKS = 20_000
 #: An anchor with more different passages than this is spread over the shards.
@@ -120,15 +120,13 @@ class _Words:
             ends.append(len(self.words))
         self.ends = np.array(ends, np.int64)
         self.starts = np.r_[0, self.ends[:-1]].astype(np.int64)
-        known: dict[bytes, int] = {}
-        number = np.fromiter((known.setdefault(w, len(known)) for w in self.words), np.int32, len(self.words))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
         n = len(self.words)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, n)
         power = np.full(n + 1, _BASE)
         power[:1] = 1
         power = np.multiply.accumulate(power)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(hashes[number] * power[:n], out=self.sums[1:])
+        np.cumsum(hashes * power[:n], out=self.sums[1:])
         inverse = np.full(n + 1, _BASE_INVERSE)
         inverse[:1] = 1
         self.inverse = np.multiply.accumulate(inverse)
@@ -223,7 +221,7 @@ def _shared(anchors: DataFrame, shares: int, hot_passages: int) -> DataFrame:
         anchor = np.concatenate(own)
         many = np.concatenate([np.frombuffer(r["many"], bool) for r in rows])
         passages = np.concatenate([np.frombuffer(_unpack(r["passages"]), "u4") for r in rows]).astype(np.int64)
-        order = np.argsort(anchor, kind="stable")
+        order = np.argsort(anchor)
         heads = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
         size = np.diff(np.r_[heads, len(order)])
         shared = np.zeros(len(anchor), bool)
@@ -276,7 +274,7 @@ def _cut(chunks: DataFrame, shared: DataFrame, shares: int, tasks: int) -> DataF
             for a, b in zip(cuts, np.r_[cuts[1:], len(one)]):
                 mine = one[a:b]
                 text = b"\n".join(b" ".join(words.words[s : s + k + WINDOW - 1]) for s, k in zip(at[mine].tolist(), n[mine].tolist()))
-                out.append((int(share[mine[0]]), row["chunk"], _pack(text), key[mine].tobytes(), first[a:b].tobytes(), last[a:b].tobytes()))
+                out.append((int(share[mine[0]]), row["chunk"], _pack(text), key[mine].tobytes(), _pack(first[a:b].tobytes()), _pack(last[a:b].tobytes())))
         return pa.Table.from_batches([_batch(out, _PASSAGES)])
 
     return _with_chunks(chunks, shared, tasks, run, _PASSAGES)
@@ -328,7 +326,7 @@ class FMIndex:
             key <<= width
             key[: n - i] |= symbols[i:]
         while True:
-            self.rows = np.argsort(key, kind="stable")
+            self.rows = np.argsort(key).astype(np.int32)
             sorted_key = key[self.rows]
             if have >= depth:
                 break
@@ -336,7 +334,9 @@ class FMIndex:
             rank[self.rows] = np.cumsum(np.r_[True, sorted_key[1:] != sorted_key[:-1]][:n])
             key = rank << 32
             key[: n - have] |= rank[have:]
+            del rank, sorted_key
             have *= 2
+        del key, sorted_key
         self.before = np.r_[0, np.cumsum(np.bincount(symbols, minlength=kinds))]
         self.tree = WaveletMatrix(symbols[self.rows - 1], kinds)
 
@@ -362,7 +362,7 @@ def _firsts(passages: list[np.ndarray], first: np.ndarray) -> list[np.ndarray]:
     """For each passage the smallest doc_id that has each of its windows."""
     sizes = np.array([len(p) for p in passages], np.int64)
     starts = np.cumsum(sizes + 1) - sizes
-    symbols = np.zeros(int(sizes.sum()) + len(sizes) + 1, np.int64)
+    symbols = np.zeros(int(sizes.sum()) + len(sizes) + 1, np.int32)
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)
     symbols[np.delete(np.arange(1, len(owner) + 1), starts + sizes - 1)] = np.concatenate(passages)
     index = FMIndex(symbols, WINDOW)
@@ -395,7 +395,7 @@ def _report(passages: DataFrame, shares: int) -> DataFrame:
         for batch in table.to_batches(max_chunksize=1):
             row = batch.to_pylist()[0]
             mine = []
-            for text, least in zip(_unpack(row["texts"]).split(b"\n"), np.frombuffer(row["firsts"], np.int64).tolist()):
+            for text, least in zip(_unpack(row["texts"]).split(b"\n"), np.frombuffer(_unpack(row["firsts"]), np.int64).tolist()):
                 i = place.setdefault(text, len(place))
                 if i == len(first):
                     first.append(least)
@@ -403,7 +403,7 @@ def _report(passages: DataFrame, shares: int) -> DataFrame:
                 elif least < first[i]:
                     first[i] = least
                 mine.append(i)
-            told.append((row["chunk"], np.frombuffer(row["keys"], np.uint64), np.array(mine), np.frombuffer(row["lasts"], np.int64)))
+            told.append((row["chunk"], np.frombuffer(row["keys"], np.uint64), np.array(mine), np.frombuffer(_unpack(row["lasts"]), np.int64)))
         place.clear(), known.clear()
         least = _firsts(split, np.array(first, np.int64))
         smallest = np.array([x.min() for x in least])

@@ -71,7 +71,9 @@ def test_equals_brute_force(spark, make_docs, chunk, share, hot):
 
 def test_an_anchor_with_many_passages_is_spread(spark, make_docs):
     rng = random.Random(5)
-    common = "a b c d e f".split()
+    # Of many phrases, the one whose hash is least: so it is an anchor wherever it stands.
+    phrases = [f"a b c d e f{i}" for i in range(300)]
+    common = min(phrases, key=lambda p: substrings._Words({"ids": [1], "sizes": [len(p)], "texts": substrings._pack(p.encode())}).hashes(np.array([0]), 6)[0]).split()
     texts = [" ".join(rng.choices([f"v{i}" for i in range(50)], k=9) + common + rng.choices([f"v{i}" for i in range(50)], k=9)) for _ in range(200)]
     texts += texts[:40]
     docs = list(enumerate(texts))
