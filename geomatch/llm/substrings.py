@@ -169,6 +169,8 @@ class _Words:
 
 
 def _shares(h: np.ndarray, shares: int) -> np.ndarray:
+    """Anchors are smallest hashes, so they are mixed again before they are dealt out."""
+    h = _mixed(h + _BASE)
     return ((h >> _U(32)) * _U(shares) >> _U(32)).astype(np.int32)
 
 
@@ -203,6 +205,8 @@ def _anchors(chunks: DataFrame, shares: int) -> DataFrame:
                 passages = np.add.reduceat(other.astype(np.uint32), heads)
                 anchor = anchor[heads]
                 share = _shares(anchor, shares)
+                order = np.argsort(share, kind="stable")
+                share, anchor, many, passages = share[order], anchor[order], many[order], passages[order]
                 cuts = np.flatnonzero(np.r_[True, share[1:] != share[:-1]])
                 yield _batch(
                     [(int(share[a]), row["chunk"], anchor[a:b].tobytes(), many[a:b].tobytes(), _pack(passages[a:b].astype("u4").tobytes())) for a, b in zip(cuts, np.r_[cuts[1:], len(share)])],
