@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -71,9 +72,9 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
 
 
 class KneserNey:
-    """Interpolated Kneser-Ney over byte windows, with counts frozen at construction."""
+    """Interpolated Kneser-Ney over byte windows, with counts frozen at construction; only the orders that are asked for stay."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, orders: range = range(1, ORDER + 1)):
         self.level = {}
         for k in range(ORDER, 0, -1):
             heads, at = np.unique(codes >> np.uint64(8), return_inverse=True)
@@ -81,7 +82,10 @@ class KneserNey:
             kinds = np.bincount(at, minlength=len(heads)).astype(float)
             ones, twos = (counts == 1).sum(), (counts == 2).sum()
             discount = ones / (ones + 2 * twos) if ones else 0.5
-            self.level[k] = (codes, counts, heads, totals, kinds, discount)
+            if k in orders:
+                self.level[k] = (codes, counts, heads, totals, kinds, discount)
+            if k == orders.start:
+                break
             # A window at the start of a word has one left neighbour only: it keeps its count.
             first = (codes >> np.uint64(8 * (k - 2))) & np.uint64(255) if k > 1 else codes
             left = np.where(first == 0, counts, 1.0)
@@ -103,8 +107,8 @@ class WordDifferences:
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
         both = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
         pooled = np.bincount(both[1], weights=np.concatenate([n for _, n in counts]))
-        self.shared = KneserNey(both[0], pooled)
-        self.own = [KneserNey(c, n.astype(float)) for c, n in counts]
+        self.shared = KneserNey(both[0], pooled, range(1, OWN_FROM))
+        self.own = [KneserNey(c, n.astype(float), range(OWN_FROM, ORDER + 1)) for c, n in counts]
         self.known: dict[str, float] = {}
         self.codes, self.values = np.empty(0, np.uint64), np.empty(0)
 
@@ -186,10 +190,18 @@ class Model:
     weights: np.ndarray | None
     share: float
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "differences"}
+
+    @cached_property
+    def differences(self) -> WordDifferences:
+        """Built once in a worker process, which keeps a broadcast model over its tasks."""
+        return WordDifferences(self.counts)
+
     def scorer(self):
         if self.counts is None:
             return lambda texts: np.full(len(texts), self.share)
-        differences = WordDifferences(self.counts)
+        differences = self.differences
         return lambda texts: 1 / (1 + np.exp(-np.clip(np.c_[differences.features(texts), np.ones(len(texts))] @ self.weights, -30, 30)))
 
 
