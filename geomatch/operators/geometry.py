@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from geomatch import constants as C
 from geomatch.functions.crs import is_wgs84, to_lonlat
-from geomatch.sources.cityjson import vertex_pool, well_formed
+from geomatch.sources.cityjson import parsed_documents, vertex_pool
 
 _KEYS = ("source", "file_path", "obj_pos", "object_id", "object_type", "geom_idx", "geom_type")
 
@@ -175,12 +175,7 @@ def file_boxes(documents: DataFrame) -> DataFrame:
 
     The pool is reduced map-side in the task that parsed it; one row per file is shuffled.
     """
-    parsed = documents.where(well_formed()).select(
-        "source",
-        "file_path",
-        F.from_json("document", "metadata variant, transform variant, vertices array<array<double>>").alias("doc"),
-        "document",
-    ).select(
+    parsed = parsed_documents(documents, "metadata variant, transform variant, vertices array<array<double>>").select(
         "source",
         "file_path",
         F.try_variant_get("doc.metadata", "$.referenceSystem", "string").alias("crs"),

@@ -16,6 +16,7 @@ from geomatch.functions.ids import digit_run
 
 OBJECTS_PER_DOCUMENT = 50
 VERTICES_PER_OBJECT = 12
+DOCUMENTS_PER_TASK = 16
 PARTS_PER_RESULTS_DOCUMENT = 1000
 
 
@@ -288,7 +289,9 @@ def _box_documents(items: DataFrame, source: str, prefix: str) -> DataFrame:
     distinct = items.groupBy("k").agg(
         F.max("size").alias("size"), F.min("kind").alias("kind"), F.min("name").alias("name")
     )
-    blocks = distinct.withColumn("block", F.floor(F.col("k") / OBJECTS_PER_DOCUMENT)).groupBy("block").agg(
+    # Documents are few and dear to parse: their number decides how many tasks get them, not their bytes.
+    tasks = max(1, items.count() // (OBJECTS_PER_DOCUMENT * DOCUMENTS_PER_TASK))
+    blocks = distinct.withColumn("block", F.floor(F.col("k") / OBJECTS_PER_DOCUMENT)).repartition(tasks, "block").groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("k", "size", "kind", "name"))).alias("items")
     )
 

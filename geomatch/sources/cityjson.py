@@ -44,14 +44,21 @@ def read_documents(
 _END = "end of document"
 
 
-def well_formed() -> Column:
-    """The text is one JSON object and nothing else.
+def _whole(fields: str) -> Column:
+    """The parsed document as an array of one, or an empty array if the text is not one JSON object and nothing else.
 
-    The text is read as the first of two array elements: anything after its closing brace would leave another
-    second element, or none.
+    The text is read as the first of two array elements: anything after its closing brace would leave another second element, or none. So one
+    parse gives the fields and tells whether they are a whole document; it stands in one expression, which no filter can repeat.
     """
-    whole = F.get_json_object(F.concat(F.lit("["), "document", F.lit(f',"{_END}"]')), "$[1]") == _END
-    return F.coalesce(whole & F.ltrim("document").startswith("{"), F.lit(False))
+    text = F.concat(F.lit("["), "document", F.lit(f',{{"{_END}":true}}]'))
+    both = F.from_json(text, f"array<struct<{fields}, `{_END}`: boolean>>")
+    ended = lambda d: (F.size(d) == 2) & F.coalesce(F.get(d, F.lit(1))[_END], F.lit(False)) & F.ltrim("document").startswith("{")
+    return F.transform(F.filter(F.array(both), ended), lambda d: F.get(d, F.lit(0)))
+
+
+def well_formed() -> Column:
+    """The text is one JSON object and nothing else."""
+    return F.coalesce(F.size(_whole("version: string")) == 1, F.lit(False))
 
 
 def bad_files(documents: DataFrame) -> DataFrame:
@@ -59,11 +66,9 @@ def bad_files(documents: DataFrame) -> DataFrame:
     return documents.where(~well_formed()).select("source", "file_path")
 
 
-def _parse(documents: DataFrame, fields: str) -> DataFrame:
+def parsed_documents(documents: DataFrame, fields: str, *keep: str) -> DataFrame:
     """``source, file_path, doc, document``; malformed documents yield no rows."""
-    return documents.where(well_formed()).select(
-        "source", "file_path", F.from_json("document", fields).alias("doc"), "document"
-    )
+    return documents.select("source", "file_path", F.explode(_whole(fields)).alias("doc"), "document", *keep)
 
 
 def vertex_pool() -> Column:
@@ -115,7 +120,7 @@ def _dequantised(vertex: Column) -> list[Column]:
 
 def city_files(documents: DataFrame) -> DataFrame:
     """Headers: ``source, file_path, version, crs, scale, translate, extent, n_objects, n_vertices``."""
-    parsed = _parse(
+    parsed = parsed_documents(
         documents,
         "version string, metadata variant, transform variant, "
         "vertices array<string>, CityObjects map<string, string>",
@@ -137,7 +142,7 @@ def city_objects(documents: DataFrame) -> DataFrame:
     """Objects in document order: ``source, file_path, obj_pos, object_id, object_type, attributes,
     is_empty, numeric_id`` (the digit run, NULL without one)."""
     objects = (
-        _parse(documents, "CityObjects map<string, string>")
+        parsed_documents(documents, "CityObjects map<string, string>")
         .select("source", "file_path", F.col("doc.CityObjects").alias("members"))
         .select("source", "file_path", F.explode(dict_entries(F.col("members"))).alias("o"))
         .select("source", "file_path", "o.*", F.from_json("o.value", "type string, attributes string").alias("parsed"))
@@ -158,7 +163,7 @@ def vertices(documents: DataFrame) -> DataFrame:
     """The vertex pool: ``source, file_path, vertex_idx, vx, vy, vz`` as stored and ``x, y, z``
     de-quantised by the document's transform, if it has one."""
     pool = (
-        _parse(documents, "transform variant, vertices array<array<double>>")
+        parsed_documents(documents, "transform variant, vertices array<array<double>>")
         .select("source", "file_path", _affine("doc.transform"), vertex_pool())
         .select("source", "file_path", "affine", F.posexplode("pool").alias("vertex_idx", "v"))
     )
@@ -239,7 +244,7 @@ def _object_rows(
     documents: DataFrame, geom_types: Sequence[str], first_only: bool, described: bool
 ) -> DataFrame:
     """Objects with ``geometries`` gathered; ``described`` adds the columns of :func:`city_objects`."""
-    parsed = _parse(
+    parsed = parsed_documents(
         documents, "transform variant, vertices array<array<double>>, CityObjects map<string, string>"
     ).select(
         "source",
@@ -344,13 +349,10 @@ def object_cells(documents: DataFrame, asked: DataFrame | None = None) -> DataFr
         "vertices array<array<double>>, CityObjects map<string, string>"
     )
     if asked is None:
-        parsed = _parse(documents, fields).withColumn("wanted", F.lit(None).cast("array<string>"))
+        parsed = parsed_documents(documents, fields).withColumn("wanted", F.lit(None).cast("array<string>"))
     else:
-        # Both sides of the join are named, so that no text is looked at before it.
-        readable = F.when(F.size("wanted") > 0, well_formed())
-        parsed = documents.join(asked, "file_path").where(readable).select(
-            "source", "file_path", F.from_json("document", fields).alias("doc"), "document", "wanted"
-        )
+        # Texts are looked at after the join only: those that nobody wants are not there any more.
+        parsed = parsed_documents(documents.join(asked.where(F.size("wanted") > 0), "file_path"), fields, "wanted")
     parsed = parsed.select("source", "file_path", "doc", vertex_pool(), "wanted", F.col("doc.CityObjects").alias("members"))
 
     def used(value: Column) -> Column:
@@ -390,7 +392,8 @@ def city_quality(documents: DataFrame) -> DataFrame:
     dictionary: the last value counts.
     """
     fields = "vertices array<array<double>>, CityObjects map<string, string>"
-    parsed = documents.select("source", "file_path", well_formed().alias("is_readable"), F.from_json("document", fields).alias("doc"), "document")
+    # Unreadable files stay, with a row of their own.
+    parsed = documents.select("source", "file_path", F.explode_outer(_whole(fields)).alias("doc"), "document").withColumn("is_readable", F.col("doc").isNotNull())
     parts = parsed.select("source", "file_path", "is_readable", vertex_pool(), F.map_entries("doc.CityObjects").alias("members"))
     whole = lambda v: F.coalesce(F.size(F.filter(F.slice(v, 1, 3), lambda x: x.isNotNull())), F.lit(0)) >= 3
     repeats = lambda keys: F.coalesce(F.size(keys) - F.size(F.array_distinct(keys)), F.lit(0))
