@@ -11,7 +11,7 @@ from geomatch.functions.objects import dict_entries
 from geomatch.operators.ranking import rank_in_group
 
 _MATCH = "struct<index_id: string, confidence: string, true_label: string, predicted_label: string>"
-_RESULTS = f"map<string, map<string, struct<possible_matches: array<{_MATCH}>>>>"
+RESULTS = f"map<string, map<string, struct<possible_matches: array<{_MATCH}>>>>"
 
 METRIC_FIELDS = {
     **{name: "bigint" for name in C.FILE_COUNTS},
@@ -38,7 +38,7 @@ def result_buildings(texts: DataFrame, several: bool = False) -> DataFrame:
     With ``several`` documents, files are ordered by document path, then by place in the document. Texts cannot be split, so
     many files of a bounded size are the form for many buildings.
     """
-    files = texts.select("doc_path", F.from_json("document", _RESULTS).alias("files")).select(
+    files = texts.select("doc_path", F.from_json("document", RESULTS).alias("files")).select(
         "doc_path", F.explode(dict_entries(F.col("files"))).alias("file")
     )
     buildings = files.select(
