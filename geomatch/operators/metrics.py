@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,28 +12,22 @@ from geomatch.functions.display import percent
 from geomatch.functions.ids import base_name
 from geomatch.operators.lookup import file_lookup
 from geomatch.sources.results import METRIC_FIELDS
+from geomatch.storage import stored
+
+THRESHOLDS = tuple(i / 20 for i in range(20))
 
 
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
 
 
-def candidate_outcomes(
-    pairs: DataFrame,
-    candidates: DataFrame,
-    truth: DataFrame | None = None,
-    threshold: float = C.CONFIDENCE_THRESHOLD,
-    deduplicate: bool = True,
-) -> DataFrame:
-    """What each (file, candidate) contributes to the metrics of its file.
+def _evidence(pairs: DataFrame, candidates: DataFrame, truth: DataFrame | None, deduplicate: bool) -> DataFrame:
+    """A row for each listed candidate and one for each of its pairs: ``file_name, building_id, has_truth, listed, confidence, match_pos, is_true``.
 
     ``candidates`` has ``file_name, building_id``; ``truth`` has ``building_id, index_id``. With a
     truth table a pair is true when it is in it; without one ``true_label`` decides, and pairs with
-    an unknown label count neither as true nor as false.
-
-    Both strategies come out of this one aggregation. The truth join and the removal of repeated
-    pairs share their shuffle (building and index id), and the pairs are combined map-side before
-    the shuffle by candidate, so a candidate or file with very many pairs is no problem.
+    an unknown label count neither as true nor as false. The truth join and the removal of repeated
+    pairs share their shuffle (building and index id).
     """
     keep = pairs.select("file_name", "building_id", "index_id", "confidence", "match_pos", "true_label")
     if truth is not None:
@@ -70,20 +66,35 @@ def candidate_outcomes(
         F.col("match_pos").cast("bigint").alias("match_pos"),
         F.col("is_true").cast("int").alias("is_true"),
     )
+    return listed.unionByName(paired)
+
+
+def _best_pair() -> Column:
+    """The pair of the highest confidence, the first of equals."""
+    pair = F.struct("confidence", (-F.col("match_pos")).alias("place"), F.col("is_true").alias("is_true"))
+    return F.max(F.when(F.col("confidence").isNotNull(), pair)).alias("best")
+
+
+def candidate_outcomes(
+    pairs: DataFrame,
+    candidates: DataFrame,
+    truth: DataFrame | None = None,
+    threshold: float = C.CONFIDENCE_THRESHOLD,
+    deduplicate: bool = True,
+) -> DataFrame:
+    """What each (file, candidate) contributes to the metrics of its file.
+
+    Both strategies come out of this one aggregation. Pairs are combined map-side before the shuffle by candidate, so a candidate
+    or file with very many pairs is no problem.
+    """
     above = F.col("confidence") > threshold
-    best = F.max(
-        F.when(
-            F.col("confidence").isNotNull(),
-            F.struct("confidence", (-F.col("match_pos")).alias("place"), F.col("is_true").alias("is_true")),
-        )
-    )
-    grouped = listed.unionByName(paired).groupBy("file_name", "building_id").agg(
+    grouped = _evidence(pairs, candidates, truth, deduplicate).groupBy("file_name", "building_id").agg(
         F.max("listed").alias("listed"),
         F.max("has_truth").alias("has_truth"),
         F.coalesce(F.max("is_true"), F.lit(0)).alias("blocked"),
         F.count_if(above & (F.col("is_true") == 1)).alias("threshold_true_positives"),
         F.count_if(above & (F.col("is_true") == 0)).alias("threshold_false_positives"),
-        best.alias("best"),
+        _best_pair(),
     )
     kept = F.coalesce(F.col("best.confidence") > threshold, F.lit(False))
     return grouped.select(
@@ -115,6 +126,11 @@ def metrics_from_pairs(
         F.sum("blocked").alias("potential_matches_in_blocking"),
         *[F.sum(f"{s}_{c}").alias(f"{s}_{c}") for s in C.STRATEGIES for c in counted],
     )
+    return _with_ratios(sums).select("file_name", *METRIC_FIELDS)
+
+
+def _with_ratios(sums: DataFrame) -> DataFrame:
+    """Adds what follows from the counts of a file."""
     m_index, m_block = F.col("potential_matches_in_index"), F.col("potential_matches_in_blocking")
     columns = {}
     for s in C.STRATEGIES:
@@ -131,7 +147,46 @@ def metrics_from_pairs(
             f"{s}_false_negatives_in_blocking": missed_in,
             f"{s}_false_negatives_not_in_blocking": missed_out,
         }
-    return sums.withColumns(columns).select("file_name", *METRIC_FIELDS)
+    return sums.withColumns(columns)
+
+
+def threshold_curve(
+    pairs: DataFrame,
+    candidates: DataFrame,
+    truth: DataFrame | None = None,
+    thresholds: Sequence[float] = THRESHOLDS,
+    deduplicate: bool = True,
+) -> DataFrame:
+    """:func:`metrics_from_pairs` at every one of the thresholds, from one pass over the pairs: ``file_name, threshold`` and the metric fields.
+
+    Pairs are counted once, by file and by how many thresholds they are above; the best pair of a candidate does not depend on the threshold, so it is
+    counted alike. What lies above a threshold is a suffix sum over these counts, a row for each file and threshold. A threshold without pairs above it keeps its row.
+    """
+    steps = sorted(set(thresholds))
+    level = lambda c: F.size(F.filter(F.array(*map(F.lit, steps)), lambda t: F.coalesce(c > t, F.lit(False))))
+    evidence = stored(_evidence(pairs, candidates, truth, deduplicate))
+    names = [f"{s}_{c}" for s in C.STRATEGIES for c in ("true_positives", "false_positives")]
+
+    def counted(rows: DataFrame, strategy: str, confidence: str, is_true: str) -> DataFrame:
+        own = {f"{strategy}_true_positives": F.count_if(F.col(is_true) == 1), f"{strategy}_false_positives": F.count_if(F.col(is_true) == 0)}
+        counts = [own.get(n, F.lit(0).cast("bigint")).alias(n) for n in names]
+        return rows.groupBy("file_name", level(F.col(confidence)).alias("level")).agg(*counts)
+
+    by_candidate = stored(
+        evidence.groupBy("file_name", "building_id").agg(
+            F.max("listed").alias("listed"), F.max("has_truth").alias("has_truth"), F.coalesce(F.max("is_true"), F.lit(0)).alias("blocked"), _best_pair()
+        )
+    )
+    counts = counted(evidence.where("listed = 0"), "threshold", "confidence", "is_true").unionByName(counted(by_candidate, "best_match", "best.confidence", "best.is_true"))
+    # A pair above n thresholds counts for the n lowest of them.
+    above = counts.where("level > 0").select("file_name", F.explode(F.sequence(F.lit(0), F.col("level") - 1)).alias("step"), *names)
+    above = above.groupBy("file_name", "step").agg(*[F.sum(n).alias(n) for n in names])
+    totals = by_candidate.groupBy("file_name").agg(
+        F.sum("listed").alias("candidates_in_file"), F.sum("has_truth").alias("potential_matches_in_index"), F.sum("blocked").alias("potential_matches_in_blocking")
+    )
+    every = totals.select("*", F.posexplode(F.array(*map(F.lit, steps))).alias("step", "threshold"))
+    sums = every.join(above, ["file_name", "step"], "left").fillna(0, names)
+    return _with_ratios(sums).select("file_name", "threshold", *METRIC_FIELDS)
 
 
 def strategy_metrics(metrics: DataFrame, strategy: str) -> DataFrame:

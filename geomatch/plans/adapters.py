@@ -8,11 +8,15 @@ of distinct keys, whatever the table size.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geomatch.constants import CITY_FOLDER, DEFAULT_MODEL
 from geomatch.functions.ids import digit_run
+from geomatch.sources import large
+from geomatch.storage import shared_folder
 
 OBJECTS_PER_DOCUMENT = 50
 VERTICES_PER_OBJECT = 12
@@ -154,6 +158,24 @@ def results_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def results_document(spark: SparkSession, sf_dir: str) -> str:
+    """One results document of all pairs, written in parts by many tasks; the folder of the parts."""
+    rows = pairs(spark, sf_dir).groupBy("file_pos", "bld_pos", "building_id").agg(
+        F.sort_array(F.collect_list(F.struct("match_pos", F.struct("index_id", "confidence", "true_label", "predicted_label").alias("m")))).alias("items")
+    )
+    listed = F.to_json(F.struct(F.transform("items", lambda i: i["m"]).alias("possible_matches")))
+    # Every text is followed by a closing brace when it is written, so each leaves its last one out.
+    buildings = rows.select("file_pos", "bld_pos", F.concat(F.lit(',"'), "building_id", F.lit('":'), F.substring(listed, F.lit(1), F.length(listed) - 1)).alias("text"))
+    files = spark.range(25).select(F.col("id").alias("file_pos"))
+    opened = F.concat(F.when(F.col("file_pos") == 0, "{").otherwise(","), F.lit('"tile_'), F.col("file_pos").cast("string"), F.lit('.json":{"none":{"possible_matches":[]'))
+    first = files.select("file_pos", F.lit(-1).cast("bigint").alias("bld_pos"), opened.alias("text"))
+    last = files.select("file_pos", F.lit((1 << 62)).cast("bigint").alias("bld_pos"), F.lit("").alias("text"))
+    end = spark.range(1).select(F.lit(25).cast("bigint").alias("file_pos"), F.lit(0).cast("bigint").alias("bld_pos"), F.lit("").alias("text"))
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    large.write_fragments(buildings.unionByName(first).unionByName(last).unionByName(end).orderBy("file_pos", "bld_pos"), path)
+    return path
+
+
 def metrics_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics summaries, one per supplier."""
     record = F.struct(
@@ -367,6 +389,13 @@ def odd_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_documents(spark, sf_dir).withColumn("document", text)
 
 
+def short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index documents; every third has three vertices only, which its objects need more of."""
+    number = F.regexp_extract("file_path", "tile_([0-9]+)", 1).cast("int") % 3
+    few = F.regexp_replace("document", r'"vertices":\[.*\]\}$', '"vertices":[[0,0,0],[1,1,1],[2,2,2]]}')
+    return index_documents(spark, sf_dir).withColumn("document", F.when(number == 1, few).otherwise(F.col("document")))
+
+
 def candidate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source A: one box per order."""
     items = table(spark, sf_dir, "orders").select(

@@ -150,6 +150,21 @@ def _metric_select(with_clause: str, strategies: tuple[str, ...]) -> str:
     return f"WITH {with_clause} SELECT file_name, " + ", ".join(f"{e} AS {n}" for n, e in columns) + " FROM sums"
 
 
+# Every threshold counted by itself.
+_CURVE = f"""WITH {_BY_TRUTH},
+t AS (SELECT unnest([{', '.join(f"{i / 20!r}::DOUBLE" for i in range(20))}]) AS threshold),
+tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY confidence DESC, match_pos) AS r FROM single) WHERE r = 1),
+curve AS (
+  SELECT s.file_name, threshold, candidates_in_file, potential_matches_in_index, potential_matches_in_blocking,
+    (SELECT count(*) FROM single WHERE 'tile_' || (k % 25) || '.json' = s.file_name AND confidence > threshold AND is_true = 1) AS threshold_true_positives,
+    (SELECT count(*) FROM single WHERE 'tile_' || (k % 25) || '.json' = s.file_name AND confidence > threshold AND is_true = 0) AS threshold_false_positives,
+    (SELECT count(*) FROM tops WHERE 'tile_' || (k % 25) || '.json' = s.file_name AND confidence > threshold AND is_true = 1) AS best_match_true_positives,
+    (SELECT count(*) FROM tops WHERE 'tile_' || (k % 25) || '.json' = s.file_name AND confidence > threshold AND is_true = 0) AS best_match_false_positives
+  FROM sums s, t)
+SELECT file_name, threshold, """ + ", ".join(
+    f"{e} AS {n}" for n, e in [(c, c) for c in _FILE_COUNTS] + [c for s in ("threshold", "best_match") for c in _strategy_columns(s)]
+) + " FROM curve"
+
 _RECORDS = "records AS (" + _metric_select("x AS (SELECT 1)", ("threshold", "best_match")).replace(
     "WITH x AS (SELECT 1) ", ""
 ) + ")"
@@ -395,6 +410,7 @@ ORACLES: dict[str, str] = {
         FROM n""",
     "predicted_label": f"WITH {_PAIRS} SELECT building_id, index_id, prediction FROM pairs",
     "results_scan": f"""WITH {_PAIRS} SELECT file_name, building_id, index_id, confidence, true_label, predicted_label FROM pairs""",
+    "results_large": f"""WITH {_PAIRS} SELECT file_name, (k % 25)::BIGINT AS file_pos, building_id, match_pos - 1 AS match_pos, index_id, confidence, true_label, predicted_label FROM pairs""",
     "results_documents": f"""WITH {_PAIRS}, docs AS (SELECT building_id, p // 1000 AS r, count(*) AS n_matches FROM pairs GROUP BY ALL)
         SELECT building_id, n_matches, row_number() OVER (ORDER BY building_id || '/' || r) - 1 AS document_no FROM docs""",
     "metrics_scan": """SELECT 'tile_' || s_suppkey || '.json' AS file_name, s_suppkey AS candidates_in_file,
@@ -473,6 +489,7 @@ ORACLES: dict[str, str] = {
     "file_metrics": _metric_select(_BY_TRUTH, ("threshold", "best_match")),
     "threshold_metrics": _metric_select(_BY_TRUTH, ("threshold",)),
     "best_match_metrics": _metric_select(_BY_TRUTH, ("best_match",)),
+    "threshold_curve": _CURVE,
     "labelled_metrics": _metric_select(_BY_LABEL, ("threshold", "best_match")),
     "file_summary": f"WITH {_SUMMARY} SELECT * FROM summary",
     "summary_texts": f"WITH {_SUMMARY} SELECT request_id, "
@@ -539,6 +556,8 @@ ORACLES: dict[str, str] = {
           CASE kind WHEN 1 THEN 3 ELSE 0 END::BIGINT AS n_bad_vertices, CASE kind WHEN 0 THEN n WHEN 1 THEN 2 ELSE 0 END::BIGINT AS n_objects,
           CASE kind WHEN 1 THEN 1 ELSE 0 END::BIGINT AS n_repeated_objects, CASE kind WHEN 1 THEN 1 ELSE 0 END::BIGINT AS n_repeated_attributes
         FROM files""",
+    "object_quality": f"""WITH {_BOXES} SELECT file_path, pos::INT AS obj_pos, object_id, 12::BIGINT AS n_indices,
+        CASE WHEN (k // 50) % 3 <> 1 THEN 0 WHEN pos = 0 THEN 9 ELSE 12 END::BIGINT AS n_out_of_range FROM boxes""",
     "vertices_of_odd_files": f"""WITH {_BOXES} SELECT file_path, count(*)::BIGINT AS n_vertices, count(*)::BIGINT AS n_x, count(*)::BIGINT AS n_z, sum(vz)::DOUBLE AS sum_vz
         FROM placed WHERE turn = 0 GROUP BY file_path
         UNION ALL SELECT DISTINCT file_path, 5, 4, 3, 9.0::DOUBLE FROM placed WHERE turn = 1""",

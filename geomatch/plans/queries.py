@@ -14,7 +14,7 @@ from geomatch.functions.labels import object_type_rgb
 from geomatch.operators import comparison, extraction, geometry, lookup, matching, metrics, status
 from geomatch.operators import features as feature_ops
 from geomatch.plans import adapters as A
-from geomatch.sources import catalog, cityjson, results
+from geomatch.sources import catalog, cityjson, large, results
 from geomatch.sources import features as feature_sources
 from geomatch.storage import shared_folder, stored
 
@@ -64,6 +64,12 @@ def results_scan(spark, sf):
     return pairs.select("file_name", "building_id", "index_id", "confidence", "true_label", "predicted_label")
 
 
+def results_large(spark, sf):
+    """One document of all pairs, read in fragments."""
+    rows = large.result_buildings(spark, A.results_document(spark, sf))
+    return results.result_pairs(rows).select("file_name", "file_pos", "building_id", "match_pos", "index_id", "confidence", "true_label", "predicted_label")
+
+
 def results_documents(spark, sf):
     """Several documents, in the order of their paths."""
     rows = results.result_buildings(A.results_texts(spark, sf), several=True)
@@ -179,6 +185,11 @@ def best_match_metrics(spark, sf):
     return metrics.strategy_metrics(file_metrics(spark, sf), "best_match")
 
 
+def threshold_curve(spark, sf):
+    """Both strategies at twenty thresholds."""
+    return metrics.threshold_curve(A.pairs(spark, sf, labelled=False), A.candidates(spark, sf), A.truth(spark, sf))
+
+
 def labelled_metrics(spark, sf):
     """Without a truth table: the pairs' own labels decide."""
     return metrics.metrics_from_pairs(A.pairs(spark, sf), A.candidates(spark, sf))
@@ -309,6 +320,11 @@ def city_quality(spark, sf):
     return cityjson.city_quality(A.odd_documents(spark, sf)).drop("source")
 
 
+def object_quality(spark, sf):
+    """Index documents, every third without most of its vertices."""
+    return cityjson.object_quality(A.short_documents(spark, sf)).drop("source")
+
+
 def vertices_of_odd_files(spark, sf):
     return cityjson.vertices(A.odd_documents(spark, sf)).groupBy("file_path").agg(
         F.count("*").alias("n_vertices"), F.count("x").alias("n_x"), F.count("z").alias("n_z"), F.sum("vz").alias("sum_vz")
@@ -475,15 +491,15 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         numeric_id, numeric_id_raw, strip_prefix, id_variants,
-        predicted_label, results_scan, results_documents, metrics_scan, flatten_last_wins, load_totals, ranked_pairs, ranked_pairs_last_file, topk_pairs,
+        predicted_label, results_scan, results_large, results_documents, metrics_scan, flatten_last_wins, load_totals, ranked_pairs, ranked_pairs_last_file, topk_pairs,
         predicted_matches, pair_badges, match_status, comparison_verdict, comparison_verdict_last_file,
         predicted_matches_last_file, best_match,
         building_status, building_status_last_file, building_status_of_files, stage_colours,
         potential_matches, unmatched_candidates, file_metrics, threshold_metrics, best_match_metrics,
-        labelled_metrics, file_summary, summary_texts,
+        labelled_metrics, threshold_curve, file_summary, summary_texts,
         feature_unpivot, feature_round_trip, feature_pivot, feature_maps, first_feature_maps, feature_listing, feature_counts,
         feature_lookup, pair_lookup, pairs_of_request, matches_of_request, object_lookup, find_file, file_lookup, file_lookup_exact,
-        city_quality, vertices_of_odd_files, cityjson_objects, object_descriptions, dequantised_vertices, ring_vertices, object_bbox, object_height,
+        city_quality, object_quality, vertices_of_odd_files, cityjson_objects, object_descriptions, dequantised_vertices, ring_vertices, object_bbox, object_height,
         drawable_objects, footprint, footprint_stats, file_bbox, file_counts, geo_bounds, bounds_ring,
         lonlat_points, extract_object, comparison_set, comparison_objects, object_type_class, display_texts,
         source_files, resolve_paths, resolve_paths_select, catalog_versions,

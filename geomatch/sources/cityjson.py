@@ -411,6 +411,17 @@ def city_quality(documents: DataFrame) -> DataFrame:
     )
 
 
+def object_quality(documents: DataFrame) -> DataFrame:
+    """Vertices that each object names and its document lacks: ``source, file_path, obj_pos, object_id, n_indices, n_out_of_range``.
+
+    Counted are the different indices from 0 on; an extracted object keeps those out of range as numbers without a vertex.
+    """
+    n = F.size("used").cast("bigint")
+    return object_cells(documents).select(
+        "source", "file_path", "obj_pos", "object_id", n.alias("n_indices"), (n - F.size("own_vertices")).alias("n_out_of_range")
+    )
+
+
 def write_tables(documents: DataFrame, target: str, mode: str = "errorifexists") -> None:
     """Write headers, objects with their geometries, vertex pools, bad files and the quality of each file as Parquet below
     ``target``.
