@@ -10,8 +10,9 @@ first key before the requests are joined, so it never multiplies rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomatch.functions.ids import base_name, digit_run, numeric_id, own_aliases, padding_variants
@@ -21,10 +22,29 @@ from geomatch.storage import stored
 BROADCAST_TEXTS = 1_000_000
 
 
-def _with_lengths(frame: DataFrame, other: DataFrame, column: str) -> DataFrame:
-    """Add the distinct text lengths of the other side: a scalar subquery of a few small integers."""
-    lengths = other.agg(F.array_sort(F.collect_set(F.length(column))))
-    return frame.withColumn("_lengths", lengths.scalar())
+def _lengths(frame: DataFrame, column: str) -> Column:
+    """The distinct text lengths of a column: a scalar subquery of a few small integers."""
+    return frame.agg(F.array_sort(F.collect_set(F.length(column)))).scalar()
+
+
+def _asked(
+    ids: DataFrame, exact: Sequence[Column], contains: Column | None, key_lengths: Column
+) -> tuple[DataFrame, DataFrame | None]:
+    """``request_id, tier, text, whole``: each text that answers a request, as a whole key or (``whole`` false) as a part
+    of one; and the containment probes, ``request_id, tier, probe``."""
+    whole, part = F.lit(True).alias("whole"), F.lit(False).alias("whole")
+    asked, probes = [], None
+    if exact:
+        asked.append(ids.select("request_id", F.posexplode(F.array(*exact)).alias("tier", "text"), whole))
+    if contains is not None:
+        probes = ids.select("request_id", F.posexplode(contains).alias("tier", "probe")).where(F.length("probe") > 0)
+        probes = probes.withColumn("tier", F.col("tier") + len(exact))
+        inside = _substrings(probes.withColumn("_lengths", key_lengths), "probe", "text")
+        asked += [inside.select("request_id", "tier", "text", whole), probes.select("request_id", "tier", F.col("probe").alias("text"), part)]
+    wanted = asked[0]
+    for more in asked[1:]:
+        wanted = wanted.unionByName(more)
+    return stored(wanted.distinct()), probes
 
 
 def _substrings(frame: DataFrame, column: str, alias: str) -> DataFrame:
@@ -37,9 +57,67 @@ def _substrings(frame: DataFrame, column: str, alias: str) -> DataFrame:
     return starts.select(*kept, F.substr(column, F.col("_i"), F.col("_n")).alias(alias))
 
 
+@dataclass(frozen=True)
+class KeyIndex:
+    """Keys cut once and stored, so that a lookup reads what it asks for instead of all keys.
+
+    Below ``path`` lie ``texts`` (every key as a whole and every part of it, each with the place of the first key that
+    holds it), ``keys`` (the key at each place) and ``shape`` (one row: number of slots, type of a place, lengths of the keys). The first two are
+    partitioned by a hash of what they are read by and sorted inside. A lookup joins them with the texts asked for, and Spark
+    prunes the slots that none of those falls in while it runs.
+
+    A key of n characters has up to n(n+1)/2 parts: ids, not long texts. A slot is one task's work when the index is
+    written, so ``slots`` should grow with the keys; one row a text makes slots even, however often a text occurs.
+    """
+
+    spark: SparkSession
+    path: str
+
+    @staticmethod
+    def write(keys: DataFrame, path: str, slots: int = 256, mode: str = "errorifexists") -> KeyIndex:
+        """Store an index of ``key, key_pos`` (as :func:`ranked_lookup` takes them) below ``path``."""
+        index = KeyIndex(keys.sparkSession, path.rstrip("/"))
+        keys = stored(keys.select("key", "key_pos").where("key IS NOT NULL"))
+        sized = keys.withColumn("_lengths", F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))))
+        texts = _cuts(sized).groupBy("text", "whole").agg(F.min("key_pos").alias("key_pos"))
+        index._write("texts", texts, "text", slots, mode)
+        index._write("keys", keys, "key_pos", slots, mode)
+        pos_type = F.lit(keys.schema["key_pos"].dataType.simpleString())
+        shape = keys.agg(F.lit(slots).alias("slots"), pos_type.alias("pos_type"), F.array_sort(F.collect_set(F.length("key"))).alias("lengths"))
+        shape.write.mode(mode).parquet(f"{index.path}/shape")
+        return index
+
+    def _write(self, name: str, table: DataFrame, by: str, slots: int, mode: str) -> None:
+        placed = table.withColumn("slot", _slot(by, slots)).repartition("slot").sortWithinPartitions("slot", by)
+        placed.write.mode(mode).partitionBy("slot").parquet(f"{self.path}/{name}")
+
+    def _read(self, name: str, pos_type: str) -> DataFrame:
+        columns = {"texts": f"text string, whole boolean, key_pos {pos_type}", "keys": f"key string, key_pos {pos_type}"}[name]
+        return self.spark.read.schema(f"{columns}, slot int").parquet(f"{self.path}/{name}")
+
+    def _lookup(self, ids: DataFrame, exact: Sequence[Column], contains: Column | None) -> DataFrame:
+        shape = self.spark.read.schema("slots int, pos_type string, lengths array<int>").parquet(f"{self.path}/shape")
+        slots, pos_type = shape.select("slots", "pos_type").first()
+        wanted, _ = _asked(ids, exact, contains, shape.select("lengths").scalar())
+        few = wanted.count() <= BROADCAST_TEXTS
+        sent = F.broadcast if few else (lambda frame: frame)
+        # Slots are never negative. Spark prunes partitions only by a side that has a filter.
+        texts = wanted.select("text", "whole").distinct().withColumn("slot", _slot("text", slots)).where("slot >= 0")
+        first = self._read("texts", pos_type).join(sent(texts), ["slot", "text", "whole"])
+        best = wanted.join(first, ["text", "whole"]).groupBy("request_id").agg(F.min(F.struct("tier", "key_pos")).alias("best"))
+        # As many rows as requests at most, of which each has asked for a text at least.
+        best = best.select("request_id", "best.tier", "best.key_pos").withColumn("slot", _slot("key_pos", slots)).where("slot >= 0")
+        best = self._read("keys", pos_type).join(sent(best), ["slot", "key_pos"])
+        return ids.join(best.select("request_id", "key", "tier"), "request_id", "left").select("request_id", "key", "tier")
+
+
+def _slot(column: str, slots: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(slots)).cast("int")
+
+
 def ranked_lookup(
     requests: DataFrame,
-    keys: DataFrame,
+    keys: DataFrame | KeyIndex,
     exact: Sequence[Column],
     contains: Column | None = None,
 ) -> DataFrame:
@@ -50,24 +128,16 @@ def ranked_lookup(
     ``exact`` are expressions over ``request_id`` tried in order as tiers 0, 1, ...; ``contains`` is
     an array expression whose elements are the containment tiers that follow: a key that contains the
     element or is contained in it. Empty texts never match by containment.
+    Keys that are asked for again and again can be a :class:`KeyIndex`; the rows are the same.
     """
     ids = requests.select("request_id").distinct()
+    if isinstance(keys, KeyIndex):
+        return keys._lookup(ids, exact, contains)
     keys = keys.select("key", "key_pos")
-    whole, part = F.lit(True).alias("whole"), F.lit(False).alias("whole")
-    asked = []
-    if exact:
-        asked.append(ids.select("request_id", F.posexplode(F.array(*exact)).alias("tier", "text"), whole))
-    pieces = keys.select("key", "key_pos", F.col("key").alias("text"), whole)
-    if contains is not None:
-        probes = ids.select("request_id", F.posexplode(contains).alias("tier", "probe")).where(F.length("probe") > 0)
-        probes = probes.withColumn("tier", F.col("tier") + len(exact))
-        inside = _substrings(_with_lengths(probes, keys, "key"), "probe", "text")
-        asked += [inside.select("request_id", "tier", "text", whole), probes.select("request_id", "tier", F.col("probe").alias("text"), part)]
-        pieces = _cuts(_with_lengths(keys, probes, "probe"))
-    wanted = asked[0]
-    for more in asked[1:]:
-        wanted = wanted.unionByName(more)
-    wanted = stored(wanted.distinct())
+    wanted, probes = _asked(ids, exact, contains, _lengths(keys, "key"))
+    pieces = keys.select("key", "key_pos", F.col("key").alias("text"), F.lit(True).alias("whole"))
+    if probes is not None:
+        pieces = _cuts(keys.withColumn("_lengths", _lengths(probes, "probe")))
     texts = wanted.select("text", "whole").distinct()
     if wanted.count() <= BROADCAST_TEXTS:
         texts = F.broadcast(texts)
@@ -92,14 +162,14 @@ def _cuts(keys: DataFrame) -> DataFrame:
     return cut.select("key", "key_pos", text.alias("text"), (n == 0).alias("whole"))
 
 
-def feature_lookup(requests: DataFrame, keys: DataFrame) -> DataFrame:
+def feature_lookup(requests: DataFrame, keys: DataFrame | KeyIndex) -> DataFrame:
     """Building whose features answer a request: the id, its number, then containment with the
     number as it is, without leading zeros, and padded to 16."""
     number = numeric_id(F.col("request_id"))
     return ranked_lookup(requests, keys, [F.col("request_id"), number], padding_variants(number))
 
 
-def pair_lookup(requests: DataFrame, keys: DataFrame) -> DataFrame:
+def pair_lookup(requests: DataFrame, keys: DataFrame | KeyIndex) -> DataFrame:
     """Building whose pairs answer a request: its number, then containment with the number."""
     number = numeric_id(F.col("request_id"))
     return ranked_lookup(requests, keys, [number], F.array(number))

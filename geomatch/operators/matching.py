@@ -9,7 +9,7 @@ from geomatch import constants as C
 from geomatch.functions import labels
 from geomatch.functions.display import percent
 from geomatch.functions.ids import numeric_id
-from geomatch.operators.lookup import pair_lookup
+from geomatch.operators.lookup import KeyIndex, pair_lookup
 from geomatch.operators.ranking import rank_in_group, top_in_group
 
 
@@ -122,19 +122,26 @@ def ranked_pairs(
     )
 
 
+def building_keys(buildings: DataFrame) -> DataFrame:
+    """Lookup keys of the buildings of results: ``key, key_pos``, by file and place in it."""
+    return buildings.select(F.col("building_id").alias("key"), place_key("file_pos", "bld_pos").alias("key_pos"))
+
+
 def pairs_of(
     requests: DataFrame,
     pairs: DataFrame,
     buildings: DataFrame,
     threshold: float = C.CONFIDENCE_THRESHOLD,
+    index: KeyIndex | None = None,
 ) -> DataFrame:
     """Pairs for requested ids (tolerant lookup):
     ``request_id, matched_id, candidate_id, match_pos, index_id, prediction, true_label, confidence,
     total_pairs``; a request without pairs keeps one row with ``total_pairs`` 0.
 
-    Read the rows of a request by ``confidence`` descending, then ``match_pos``.
+    Read the rows of a request by ``confidence`` descending, then ``match_pos``. ``index`` is a stored index of
+    :func:`building_keys`.
     """
-    keys = buildings.select(F.col("building_id").alias("key"), place_key("file_pos", "bld_pos").alias("key_pos"))
+    keys = building_keys(buildings) if index is None else index
     totals = flatten_buildings(buildings).select(
         F.col("building_id").alias("key"), F.col("n_matches").alias("total_pairs")
     )
@@ -170,10 +177,14 @@ def predicted_matches(
 
 
 def matches_of(
-    requests: DataFrame, pairs: DataFrame, buildings: DataFrame, threshold: float = C.CONFIDENCE_THRESHOLD
+    requests: DataFrame,
+    pairs: DataFrame,
+    buildings: DataFrame,
+    threshold: float = C.CONFIDENCE_THRESHOLD,
+    index: KeyIndex | None = None,
 ) -> DataFrame:
     """Predicted matches for requested ids: :func:`pairs_of` kept where the prediction is 1."""
-    return pairs_of(requests, pairs, buildings, threshold).where("prediction = 1").select(
+    return pairs_of(requests, pairs, buildings, threshold, index).where("prediction = 1").select(
         "request_id",
         F.col("index_id").alias("match_id"),
         F.lit(C.INDEX_SOURCE_LABEL).alias("source"),

@@ -642,3 +642,5 @@ ORACLES: dict[str, str] = {
     "resolve_paths": _RESOLVE,
     "resolve_paths_select": _RESOLVE_SELECT,
 }
+# The same rows, whether keys are cut for a lookup or stored as an index.
+ORACLES |= {f"indexed_{name}": ORACLES[name] for name in ("feature_lookup", "pair_lookup", "pairs_of_request")}

@@ -289,6 +289,29 @@ def matches_of_request(spark, sf):
     return matching.matches_of(A.requests(spark, sf), *_result_tables(spark, sf)).drop("match_pos")
 
 
+def _index(keys):
+    """The keys as a stored index, in a folder of its own."""
+    return lookup.KeyIndex.write(keys, f"{shared_folder(keys.sparkSession)}/{uuid.uuid4().hex}", slots=64)
+
+
+def indexed_feature_lookup(spark, sf):
+    """As :func:`feature_lookup`, from a stored index."""
+    return lookup.feature_lookup(A.requests(spark, sf), _index(feature_ops.feature_keys(A.features(spark, sf))))
+
+
+def indexed_pair_lookup(spark, sf):
+    """As :func:`pair_lookup`, from a stored index."""
+    keys = A.candidates(spark, sf).select(F.col("building_id").alias("key"), F.col("bld_pos").alias("key_pos"))
+    return lookup.pair_lookup(A.requests(spark, sf), _index(keys))
+
+
+def indexed_pairs_of_request(spark, sf):
+    """As :func:`pairs_of_request`, from a stored index."""
+    pairs, buildings = _result_tables(spark, sf)
+    index = _index(matching.building_keys(buildings))
+    return matching.pairs_of(A.requests(spark, sf), pairs, buildings, index=index).drop("match_pos")
+
+
 def object_lookup(spark, sf):
     objects = A.bare_objects(spark, sf)
     files = objects.select("file_path", "obj_pos").distinct()
@@ -498,6 +521,7 @@ QUERIES: dict[str, Query] = {
         potential_matches, unmatched_candidates, file_metrics, threshold_metrics, best_match_metrics,
         labelled_metrics, threshold_curve, file_summary, summary_texts,
         feature_unpivot, feature_round_trip, feature_pivot, feature_maps, first_feature_maps, feature_listing, feature_counts,
+        indexed_feature_lookup, indexed_pair_lookup, indexed_pairs_of_request,
         feature_lookup, pair_lookup, pairs_of_request, matches_of_request, object_lookup, find_file, file_lookup, file_lookup_exact,
         city_quality, object_quality, vertices_of_odd_files, cityjson_objects, object_descriptions, dequantised_vertices, ring_vertices, object_bbox, object_height,
         drawable_objects, footprint, footprint_stats, file_bbox, file_counts, geo_bounds, bounds_ring,

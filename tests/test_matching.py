@@ -137,7 +137,7 @@ def reference_lookup(request, keys, exact, contains):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_lookups_equal_a_plain_loop(spark, seed):
+def test_lookups_equal_a_plain_loop(spark, seed, tmp_path):
     rng = random.Random(seed)
     digits = lambda n: "".join(rng.choice("012") for _ in range(n))
     keys = list(dict.fromkeys([rng.choice(["", "bag_", "p.", "q_"]) + digits(rng.choice([0, 1, 2, 4, 10, 16])) for _ in range(60)]))
@@ -159,6 +159,9 @@ def test_lookups_equal_a_plain_loop(spark, seed):
     ):
         got = {r.request_id: (r.key, r.tier) for r in find(requests, key_table).collect()}
         assert got == {a: reference_lookup(a, keys, *tiers(a, number(a))) for a in asked}
+        if seed == 0:
+            index = lookup.KeyIndex.write(key_table, str(tmp_path / find.__name__), slots=8)
+            assert got == {r.request_id: (r.key, r.tier) for r in find(requests, index).collect()}
 
 
 def test_repeated_keys_count_at_their_first_place(spark):
@@ -168,6 +171,27 @@ def test_repeated_keys_count_at_their_first_place(spark):
     assert got == {"ab": "ab1", "ab1x": "ab1"}
 
 
+def test_index_of_repeated_null_and_no_keys(spark, tmp_path):
+    """Also with places that are decimals, and without broadcasting the texts asked for."""
+    rows = "key string, key_pos decimal(20,0), extra int"
+    keys = spark.sql("SELECT * FROM VALUES ('ab1', 5, 0), ('ab2', 2, 0), ('ab1', 1, 0), (NULL, 0, 0), ('', 9, 0)")
+    index = lookup.KeyIndex.write(keys.toDF("key", "key_pos", "extra").selectExpr("key", "cast(key_pos as decimal(20,0)) key_pos", "extra"), str(tmp_path / "some"), slots=4)
+    none = lookup.KeyIndex.write(spark.createDataFrame([], rows), str(tmp_path / "none"), slots=4)
+    requests = spark.createDataFrame([("ab",), ("ab1x",), ("zz",), ("",), (None,)], "request_id string")
+    found = {"ab": "ab1", "ab1x": "ab1", "zz": None, "": "", None: None}
+    assert {r.request_id: r.key for r in lookup.pair_lookup(requests, index).collect()} == found
+    assert {r.request_id: r.key for r in lookup.pair_lookup(requests, none).collect()} == dict.fromkeys(found)
+
+
+def test_many_texts_are_joined_with_an_index_by_a_shuffle(spark, tmp_path, monkeypatch):
+    keys = spark.createDataFrame([(f"bag_{i:04}", i) for i in range(50)], "key string, key_pos bigint")
+    requests = spark.createDataFrame([(f"x_{i:04}",) for i in range(0, 90, 7)], "request_id string")
+    wanted = lookup.pair_lookup(requests, keys).collect()
+    monkeypatch.setattr(lookup, "BROADCAST_TEXTS", 0)
+    index = lookup.KeyIndex.write(keys, str(tmp_path / "index"), slots=4)
+    assert sorted(lookup.pair_lookup(requests, index).collect()) == sorted(wanted)
+
+
 def test_partial_file_name_before_the_exact_one(spark):
     files = spark.createDataFrame([("tile", 0), ("tile_1.json", 1)], "file_name string, file_pos bigint")
     requests = spark.createDataFrame([("a/b/tile_1.json",), ("other.json",)], "request_id string")

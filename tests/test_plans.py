@@ -51,6 +51,35 @@ def test_a_lookup_cuts_its_keys_once_and_drops_what_nobody_asks_for(spark):
     assert re.search(r"Aggregate.*?LeftSemi", text, re.S)
 
 
+def leaves(node):
+    """Leaves of an executed plan, also those of the subqueries that prune a scan."""
+    found = node.collectLeaves()
+    for leaf in (found.apply(i) for i in range(found.size())):
+        yield leaf
+        below = leaf.subqueries()
+        for i in range(below.size()):
+            yield from leaves(below.apply(i))
+
+
+def test_a_lookup_of_one_request_reads_few_files_of_an_index(spark, tmp_path):
+    keys = spark.range(500).selectExpr("concat('bag_', lpad(cast(id as string), 16, '0')) as key", "id as key_pos")
+    index = lookup.KeyIndex.write(keys, str(tmp_path / "index"), slots=128)
+    one = spark.createDataFrame([("bag_0000000000000007",)], "request_id string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = lookup.pair_lookup(one, index)
+        assert [tuple(r) for r in df.collect()] == [("bag_0000000000000007", "bag_0000000000000007", 1)]
+        scans = list(leaves(df._jdf.queryExecution().executedPlan()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    for name in ("texts", "keys"):
+        scan = next(s for s in scans if "FileScan" in s.toString() and s.relation().location().rootPaths().head().getName() == name)
+        files = len(list((tmp_path / "index" / name).glob("slot=*/*.parquet")))
+        assert files > 100
+        assert 1 <= scan.metrics().apply("numFiles").value() < 0.05 * files
+
+
 def test_extraction_parses_requested_documents_only(spark):
     documents = spark.createDataFrame([("A", "a.json", "{}")], "source string, file_path string, document string")
     documents.write.mode("overwrite").parquet(path := f"{storage.shared_folder(spark)}/documents")
