@@ -396,6 +396,15 @@ def short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_documents(spark, sf_dir).withColumn("document", F.when(number == 1, few).otherwise(F.col("document")))
 
 
+def earlier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index documents before a change: every fifth is not there yet, others are those of :func:`short_documents`, and every fourth has an old
+    file beside it."""
+    number = F.regexp_extract("file_path", "tile_([0-9]+)", 1).cast("int")
+    short = short_documents(spark, sf_dir)
+    old = short.where(number % 4 == 2).withColumn("file_path", F.concat("file_path", F.lit(".old")))
+    return short.where(number % 5 != 0).unionByName(old)
+
+
 def candidate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source A: one box per order."""
     items = table(spark, sf_dir, "orders").select(

@@ -644,3 +644,8 @@ ORACLES: dict[str, str] = {
 }
 # The same rows, whether keys are cut for a lookup or stored as an index.
 ORACLES |= {f"indexed_{name}": ORACLES[name] for name in ("feature_lookup", "pair_lookup", "pairs_of_request")}
+# The same rows, whether documents are parsed for the query or their tables were refreshed.
+ORACLES["refreshed_objects"] = ORACLES["cityjson_objects"]
+ORACLES["refresh_states"] = f"""WITH {_BOXES}, f AS (SELECT DISTINCT file_path, regexp_extract(file_path, 'tile_([0-9]+)', 1)::INT AS n FROM boxes)
+    SELECT 'B' AS source, file_path, CASE WHEN n % 5 = 0 THEN 'new' WHEN n % 3 = 1 THEN 'changed' ELSE 'same' END AS state FROM f
+    UNION ALL SELECT 'B', file_path || '.old', 'removed' FROM f WHERE n % 4 = 2"""

@@ -14,7 +14,7 @@ from geomatch.functions.labels import object_type_rgb
 from geomatch.operators import comparison, extraction, geometry, lookup, matching, metrics, status
 from geomatch.operators import features as feature_ops
 from geomatch.plans import adapters as A
-from geomatch.sources import catalog, cityjson, large, results
+from geomatch.sources import catalog, cityjson, large, results, snapshots
 from geomatch.sources import features as feature_sources
 from geomatch.storage import shared_folder, stored
 
@@ -354,14 +354,36 @@ def vertices_of_odd_files(spark, sf):
     )
 
 
-def cityjson_objects(spark, sf):
-    objects = cityjson.city_objects(A.index_documents(spark, sf))
+def _described(objects):
     return objects.select(
         "source", "file_path", "obj_pos", "object_id", "object_type", "numeric_id", geometry.display_name().alias("display_name"), "is_empty",
         geometry.attribute_height().alias("attribute_height"),
     )
 
 
+def cityjson_objects(spark, sf):
+    return _described(cityjson.city_objects(A.index_documents(spark, sf)))
+
+
+def _refreshed(spark, sf):
+    """Tables of the index documents before a change, refreshed to those of today: their folder, and what became of each file."""
+    target = f"{shared_folder(spark)}/city-{uuid.uuid4().hex}"
+    for documents in (A.earlier_documents(spark, sf), A.index_documents(spark, sf)):
+        texts = stored(documents.select("source", "file_path", "document"))
+        listing = texts.select("source", "file_path", F.md5("document").alias("version_key"))
+        found = snapshots.refresh(spark, listing, lambda wanted, texts=texts: texts, target)
+    return target, found
+
+
+def refreshed_objects(spark, sf):
+    """As :func:`cityjson_objects`, from refreshed tables."""
+    return _described(snapshots.read_table(spark, _refreshed(spark, sf)[0], "city_object"))
+
+
+def refresh_states(spark, sf):
+    return _refreshed(spark, sf)[1].select("source", "file_path", "state")
+
+
 def object_descriptions(spark, sf):
     return geometry.object_descriptions(A.event_objects(spark, sf)).select(
         "object_id", "display_name", "key", "value"
@@ -523,7 +545,7 @@ QUERIES: dict[str, Query] = {
         feature_unpivot, feature_round_trip, feature_pivot, feature_maps, first_feature_maps, feature_listing, feature_counts,
         indexed_feature_lookup, indexed_pair_lookup, indexed_pairs_of_request,
         feature_lookup, pair_lookup, pairs_of_request, matches_of_request, object_lookup, find_file, file_lookup, file_lookup_exact,
-        city_quality, object_quality, vertices_of_odd_files, cityjson_objects, object_descriptions, dequantised_vertices, ring_vertices, object_bbox, object_height,
+        city_quality, object_quality, vertices_of_odd_files, cityjson_objects, refreshed_objects, refresh_states, object_descriptions, dequantised_vertices, ring_vertices, object_bbox, object_height,
         drawable_objects, footprint, footprint_stats, file_bbox, file_counts, geo_bounds, bounds_ring,
         lonlat_points, extract_object, comparison_set, comparison_objects, object_type_class, display_texts,
         source_files, resolve_paths, resolve_paths_select, catalog_versions,

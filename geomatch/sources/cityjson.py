@@ -422,19 +422,21 @@ def object_quality(documents: DataFrame) -> DataFrame:
     )
 
 
+#: Tables of a set of documents: headers, objects with their geometries, vertex pools, bad files and the quality of each file.
+TABLES = {
+    "city_file": city_files,
+    "city_object": object_table,
+    "vertex": vertices,
+    "bad_file": bad_files,
+    "quality": city_quality,
+}
+
+
 def write_tables(documents: DataFrame, target: str, mode: str = "errorifexists") -> None:
-    """Write headers, objects with their geometries, vertex pools, bad files and the quality of each file as Parquet below
-    ``target``.
+    """Write :data:`TABLES` as Parquet below ``target``; ``snapshots.refresh`` also keeps them up to date.
 
     Whole-text JSON cannot be split, so a file is one task here; later queries read these tables
     with column pruning and row-group skipping instead.
     """
-    tables = {
-        "city_file": city_files(documents),
-        "city_object": object_table(documents),
-        "vertex": vertices(documents),
-        "bad_file": bad_files(documents),
-        "quality": city_quality(documents),
-    }
-    for name, table in tables.items():
-        table.write.mode(mode).parquet(f"{target.rstrip('/')}/{name}")
+    for name, make in TABLES.items():
+        make(documents).write.mode(mode).parquet(f"{target.rstrip('/')}/{name}")
