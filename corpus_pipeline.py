@@ -24,7 +24,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles 0.8 similar or more) stays: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates (five-word shingles 0.8 similar or more) stays: the one with the smallest doc_id.
+
+    SimHash fingerprints, blocks and links propose pairs and whole sets verify them; an exact join finds the similar pairs further than three bits apart."""
     return similar.keep_first(docs)
 
 

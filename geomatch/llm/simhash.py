@@ -19,7 +19,7 @@ columns cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -73,8 +73,13 @@ def shingle_hashes(text: bytes | None, n: int = SHINGLE_WORDS) -> Iterator[np.nd
 
 def fingerprint(text: bytes | None, n: int = SHINGLE_WORDS) -> int:
     """The 64-bit fingerprint of a text; zero if it has no words."""
+    return majority(shingle_hashes(text, n))
+
+
+def majority(runs: Iterable[np.ndarray]) -> int:
+    """The fingerprint of a text whose shingles have the hashes in ``runs``."""
     votes, total = np.zeros(64, dtype=np.int64), 0
-    for hashes in shingle_hashes(text, n):
+    for hashes in runs:
         votes += _votes(hashes)
         total += len(hashes)
     return int(np.packbits(votes * 2 > total, bitorder="little").view(np.uint64)[0])

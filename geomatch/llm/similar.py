@@ -1,14 +1,15 @@
-"""Near-duplicates by exact similarity: all pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+"""Near-duplicates by SimHash, and by exact similarity: all pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash at three bits finds few such pairs (at 0.8 about ten of 64 bits differ, too wide for pigeonhole blocks), so pairs are
-found by a prefix-filter join and verified before components.
+The fingerprints, blocks and links are those of ``simhash``. Its links propose pairs, whole sets verify them. At 0.8 about ten of 64 bits
+differ, too wide for pigeonhole blocks, so three bits miss similar pairs: those are found by a prefix-filter join among what is not joined yet.
 
 1. Texts with equal sets of shingles (XXH64, as for fingerprints) become one representative, so a hot text costs one row.
+   Representatives whose fingerprints are equal or linked (three bits or fewer, by blocks) are verified, and their components joined.
 2. Prefixes. Shingles have one global order: common ones last, then by hash. Two sets of similarity 0.8 share a shingle of
    their first m - ceil(0.8 m) + 1. Any order is exact; which shingles are common is estimated from a sample of documents
    and only decides the cost.
 3. Lists. Representatives meet on each prefix shingle; a shingle that one has alone ends there. In lists above
-   ``LIST_ROWS`` members are first compared with one centre, then each with the next ``NEIGHBOURS`` in one order of all texts, so a large group of near
+   ``LIST_ROWS`` members that are not in its component yet are first compared with one centre, then each with the next ``NEIGHBOURS`` in one order of all texts, so a large group of near
    copies joins in work linear in it. The centre is the member with the greatest part of its prefix in long lists: edits make rare shingles, which
    come first in a prefix, so that is the text the others were made from, or the one nearest to it.
 4. All pairs of a list that are not in one component yet, and whose sizes and 256 parity bits allow 0.8, are counted over the lists. The bits travel
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geomatch.llm import simhash
 from geomatch.llm.common import arrow_map, text_bytes, text_of
 from geomatch.llm.simhash import connected, shingle_hashes
 from geomatch.storage import stored
@@ -53,7 +55,10 @@ SLICE = 512
 
 def shingle_set(text: bytes | None, n: int = SHINGLE_WORDS) -> np.ndarray:
     """The distinct shingle hashes of a text in ascending order, as signed longs."""
-    parts = list(shingle_hashes(text, n))
+    return _distinct(list(shingle_hashes(text, n)))
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.empty(0, np.int64)
 
 
@@ -120,19 +125,23 @@ _LONGS = ", ".join(f"{c} long" for c in LIST_BITS)
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, n: int) -> DataFrame:
-    """doc_id, key, m (shingles), prefix, parity bits and the bits for lists of every row."""
-    names = ["doc_id", "key", "m", "prefix", "bits", *LIST_BITS]
+    """doc_id, key, fp (the fingerprint), m (shingles), prefix, parity bits and the bits for lists of every row."""
+    names = ["doc_id", "key", "fp", "m", "prefix", "bits", *LIST_BITS]
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, n) for t in batch["text"].to_pylist()]
-            columns = [batch["doc_id"], _keys(sets), pa.array(map(len, sets), pa.int32()), _lists([prefix(s, common) for s in sets]), _lists([parity_bits(s) for s in sets])]
+            sets, prints = [], np.empty(batch.num_rows, np.uint64)
+            for i, text in enumerate(batch["text"].to_pylist()):
+                parts = list(shingle_hashes(text, n))
+                sets.append(_distinct(parts))
+                prints[i] = simhash.majority(parts)
+            columns = [batch["doc_id"], _keys(sets), pa.array(prints.view(np.int64)), pa.array(map(len, sets), pa.int32()), _lists([prefix(s, common) for s in sets]), _lists([parity_bits(s) for s in sets])]
             few = np.array([parity_bits(s, 64 * len(LIST_BITS)) for s in sets], np.int64).reshape(-1, len(LIST_BITS))
             return pa.RecordBatch.from_arrays([*columns, *(pa.array(c) for c in np.ascontiguousarray(few.T))], names)
 
         return work
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), text_bytes(F.col("text")).alias("text")), make, "doc_id long, key long, m int, prefix array<long>, bits array<long>, " + _LONGS)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), text_bytes(F.col("text")).alias("text")), make, "doc_id long, key long, fp long, m int, prefix array<long>, bits array<long>, " + _LONGS)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +266,23 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int) -> Dat
     return stored(rows.filter(both * 5 >= (F.size("x") + F.size("y") - both) * 4).select("a", "b"))
 
 
+def fingerprint_pairs(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of representatives (key, fp, m) that SimHash proposes: equal fingerprints, and those that its links join. Each
+    fingerprint stands for one representative, so there are about as many pairs as rows and links."""
+    classes = stored(reps.groupBy("fp").agg(F.min_by(F.struct("key", "m"), "key").alias("c")))
+    same = reps.join(classes, "fp").select(F.struct("key", "m").alias("x"), F.col("c").alias("y"))
+    near = simhash.links(classes.select("fp"))
+    for side, name in (("a", "x"), ("b", "y")):
+        near = near.join(classes.select(F.col("fp").alias(side), F.col("c").alias(name)), side)
+    met = same.union(near.select("x", "y")).filter((F.col("x.key") != F.col("y.key")) & _fits(F.col("x.m"), F.col("y.m")))
+    return met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
 def links(reps: DataFrame, docs: DataFrame, n: int = SHINGLE_WORDS, list_rows: int = LIST_ROWS) -> DataFrame:
-    """node, root of the representatives (key, first_id, m, prefix) that have a link of similarity 0.8 or more."""
+    """node, root of the representatives (key, first_id, fp, m, prefix) that have a link of similarity 0.8 or more."""
+    proposed = stored(fingerprint_pairs(reps))
+    found = _verified(proposed, reps, docs, n)
+    roots = connected(found)
     rows = reps.select(F.explode("prefix").alias("s"), "key", "m").repartition("s").sortWithinPartitions("s")
     lists = stored(rows.mapInArrow(_shared, "s long, key long, m int"))
     long_lists = stored(lists.join(lists.groupBy("s").agg(F.count("*").alias("c")).filter(F.col("c") > list_rows).select("s"), "s", "left_semi"))
@@ -268,8 +292,13 @@ def links(reps: DataFrame, docs: DataFrame, n: int = SHINGLE_WORDS, list_rows: i
     order = F.struct(-F.col("central"), F.xxhash64("key"))
     centres = stored(long_lists.join(central, "key").groupBy("s").agg(F.min_by(F.struct("key", "m"), order).alias("c")))
     met = long_lists.join(centres, "s").filter((F.col("key") != F.col("c.key")) & _fits(F.col("m"), F.col("c.m")))
-    tried = stored(met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct())
-    found = _verified(tried, reps, docs, n)
+    met = met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
+    for side in ("a", "b"):
+        met = met.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+    apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
+    met = stored(met.filter(apart).select("a", "b").join(proposed, ["a", "b"], "left_anti"))
+    tried = proposed.union(met)
+    found = found.union(_verified(met, reps, docs, n))
     roots = connected(found)
 
     def placed(part: DataFrame) -> DataFrame:
@@ -308,7 +337,7 @@ def _tagged(docs: DataFrame, n: int) -> DataFrame:
 def components(docs: DataFrame, n: int = SHINGLE_WORDS, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key) of every row, and (key, first_id, root) of every representative."""
     rows = stored(_prefixes(docs, common_shingles(docs, n), n))
-    reps = stored(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("m").alias("m"), F.first("prefix").alias("prefix"), *(F.first(c).alias(c) for c in ("bits", *LIST_BITS))))
+    reps = stored(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.first("m").alias("m"), F.first("prefix").alias("prefix"), *(F.first(c).alias(c) for c in ("bits", *LIST_BITS))))
     roots = links(reps, docs, n, list_rows)
     return rows.select("doc_id", "key"), reps.join(roots, reps.key == roots.node, "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
 

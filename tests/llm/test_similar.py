@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from geomatch.llm import similar
+from geomatch.llm import similar, simhash
 
 
 def plain_set(text, n=5):
@@ -66,6 +66,33 @@ def test_pipeline_stage_joins_copies_of_similarity_0_8(spark, make_docs):
     assert {r.doc_id for r in stage(spark, docs, "").collect()} == {0, 3}
 
 
+def test_pipeline_stage_proposes_pairs_by_simhash(spark, make_docs, monkeypatch):
+    """Pairs of linked or equal fingerprints are verified first, so that the join of lists gets them as one component."""
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(w) for w in (words, [*words[:-1], "x"], ["y", *words[1:]], [f"v{i}" for i in range(3000)], words + words[:40])]
+    prints = [simhash.fingerprint(t.encode(), similar.SHINGLE_WORDS) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 and (prints[0] ^ prints[3]).bit_count() > 3
+    asked, links = [], simhash.links
+
+    def noted(rows, *args):
+        asked.extend(r.fp % (1 << 64) for r in rows.collect())
+        return links(rows, *args)
+
+    verified, proposed = similar._verified, []
+
+    def checked(pairs, *args):
+        proposed.append({(r.a, r.b) for r in pairs.collect()})
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(simhash, "links", noted)
+    monkeypatch.setattr(similar, "_verified", checked)
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert {r.doc_id for r in stage(spark, make_docs(texts), "").collect()} == {0, 3}
+    assert set(asked) == set(prints)
+    keys = [np.uint64(similar.set_key(similar.shingle_set(t.encode()))).astype(np.int64) for t in texts]
+    assert (min(keys[0], keys[1]), max(keys[0], keys[1])) in proposed[0]
+
+
 def test_nulls_and_repeats(spark, make_docs):
     docs = make_docs(["a b c", "a b c", "q r s t", "a b c", "z z z"], ids=[5, 5, None, 3, None])
     kept = similar.keep_first(docs)
