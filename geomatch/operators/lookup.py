@@ -3,7 +3,8 @@
 All lookups are equi-joins. "One id is part of the other" joins on substrings, cut only to the lengths
 that occur on the other side, so every join row is a real match and nothing is compared pairwise. Keys
 are cut in one pass; what nobody asks for is dropped by a semi-join before anything is
-aggregated or shuffled, so a lookup costs what is asked. A text that many keys hold is reduced to its
+aggregated or shuffled, so a lookup costs what is asked. Where very many texts are asked for, that join would shuffle all parts of all keys:
+then neighbouring keys are cut in one task, which combines the parts that they share before anything is shuffled. A text that many keys hold is reduced to its
 first key before the requests are joined, so it never multiplies rows.
 """
 
@@ -20,6 +21,10 @@ from geomatch.storage import stored
 
 # Texts asked for are sent to the keys up to this number; more are joined by a shuffle.
 BROADCAST_TEXTS = 1_000_000
+# Keys that one task cuts, where their parts are combined before the shuffle.
+TASK_KEYS = 100_000
+# Texts found that one task sorts by request.
+TASK_TEXTS = 500_000
 
 
 def _lengths(frame: DataFrame, column: str) -> Column:
@@ -44,17 +49,17 @@ def _asked(
     wanted = asked[0]
     for more in asked[1:]:
         wanted = wanted.unionByName(more)
-    return stored(wanted.distinct()), probes
+    # Requests are distinct, a tier gives a text once, and substrings are distinct for each probe: no row comes twice.
+    return stored(wanted), probes
 
 
 def _substrings(frame: DataFrame, column: str, alias: str) -> DataFrame:
-    """One row per substring of ``column`` with a length in ``_lengths``, as ``alias``."""
+    """One row per distinct substring of ``column`` with a length in ``_lengths``, as ``alias``."""
     kept = [c for c in frame.columns if c not in ("_lengths", column)]
-    size = F.length(column)
-    starts = frame.select(
-        *kept, column, F.explode(F.filter("_lengths", lambda n: (n > 0) & (n <= size))).alias("_n")
-    ).select(*kept, column, "_n", F.explode(F.sequence(F.lit(1), F.length(column) - F.col("_n") + 1)).alias("_i"))
-    return starts.select(*kept, F.substr(column, F.col("_i"), F.col("_n")).alias(alias))
+    size, n = F.length(column), F.col("_n")
+    sized = frame.select(*kept, column, F.explode(F.filter("_lengths", lambda n: (n > 0) & (n <= size))).alias("_n"))
+    parts = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(column, i, n))
+    return sized.select(*kept, F.explode(F.array_distinct(parts)).alias(alias))
 
 
 @dataclass(frozen=True)
@@ -135,23 +140,32 @@ def ranked_lookup(
         return keys._lookup(ids, exact, contains)
     keys = keys.select("key", "key_pos")
     wanted, probes = _asked(ids, exact, contains, _lengths(keys, "key"))
+    rows = wanted.count()
+    few = rows <= BROADCAST_TEXTS
+    if not few:
+        keys = _neighbours(keys)
     pieces = keys.select("key", "key_pos", F.col("key").alias("text"), F.lit(True).alias("whole"))
     if probes is not None:
         pieces = _cuts(keys.withColumn("_lengths", _lengths(probes, "probe")))
-    texts = wanted.select("text", "whole").distinct()
-    if wanted.count() <= BROADCAST_TEXTS:
-        texts = F.broadcast(texts)
-    first = (
-        pieces.join(texts, ["text", "whole"], "left_semi")
-        .groupBy("text", "whole")
-        # Only the place is aggregated: a fixed-width buffer keeps this a hash aggregation. The keys found are few.
-        .agg(F.min("key_pos").alias("key_pos"))
-    )
-    best = wanted.join(first, ["text", "whole"]).groupBy("request_id").agg(F.min(F.struct("tier", "key_pos")).alias("best"))
+    if few:
+        pieces = pieces.join(F.broadcast(wanted.select("text", "whole").distinct()), ["text", "whole"], "left_semi")
+    # Only the place is aggregated: a fixed-width buffer keeps this a hash aggregation. The keys found are few.
+    first = pieces.groupBy("text", "whole").agg(F.min("key_pos").alias("key_pos"))
+    met = (wanted if few else wanted.hint("merge")).join(first, ["text", "whole"])
+    if not few:
+        # Short texts take many times their compressed bytes when they are sorted or sent: their number decides how many tasks get them.
+        met = met.repartition(rows // TASK_TEXTS + 1, "request_id")
+    best = met.groupBy("request_id").agg(F.min(F.struct("tier", "key_pos")).alias("best"))
     best = best.select("request_id", "best.tier", "best.key_pos").join(keys, "key_pos").select("request_id", "key", "tier")
     return ids.join(best, "request_id", "left").select("request_id", "key", "tier")
 
 
+def _neighbours(keys: DataFrame) -> DataFrame:
+    """The keys, stored and dealt by their order to as many tasks as their number needs: neighbours share most of their parts."""
+    keys = stored(keys)
+    return keys.repartitionByRange(keys.count() // TASK_KEYS + 1, "key")
+
+
 def _cuts(keys: DataFrame) -> DataFrame:
     """``key, key_pos, text, whole``: each key as it is (length 0 stands for that) and its substrings of the lengths in ``_lengths``."""
     size, n = F.length("key"), F.col("_n")

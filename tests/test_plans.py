@@ -8,6 +8,7 @@ import pytest
 from geomatch import storage
 from geomatch.operators import extraction, lookup
 from geomatch.plans.queries import QUERIES
+from geomatch.sources import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables")
@@ -51,6 +52,44 @@ def test_a_lookup_cuts_its_keys_once_and_drops_what_nobody_asks_for(spark):
     assert re.search(r"Aggregate.*?LeftSemi", text, re.S)
 
 
+def test_a_lookup_of_many_texts_combines_parts_of_keys_before_they_are_shuffled(spark, monkeypatch):
+    rows = "concat('bag_', lpad(cast(id as string), 16, '0'))"
+    keys = spark.range(500).selectExpr(f"{rows} as key", "500 - id as key_pos")
+    asked = spark.range(700).selectExpr(f"explode(array({rows}, cast(id as string), concat(cast(id as string), cast(id as string), {rows}))) as request_id")
+    asked = asked.union(spark.createDataFrame([(None,), ("",), ("7",)], "request_id string"))
+    few = lookup.feature_lookup(asked, keys)
+    expected = sorted(map(str, few.collect()))
+    monkeypatch.setattr(lookup, "BROADCAST_TEXTS", 10)
+    monkeypatch.setattr(lookup, "TASK_KEYS", 60)
+    monkeypatch.setattr(lookup, "TASK_TEXTS", 100)
+    many = lookup.feature_lookup(asked, keys)
+    assert sorted(map(str, many.collect())) == expected
+    text = many._jdf.queryExecution().sparkPlan().toString()
+    assert "LeftSemi" not in text
+
+
+def test_texts_asked_for_come_once_without_a_shuffle(spark, stored_plans):
+    keys = spark.createDataFrame([("aaa", 1), ("bab", 2)], "key string, key_pos long")
+    asked = spark.createDataFrame([("aaaaa",), ("ababab",), (None,)], "request_id string")
+    ids = asked.select("request_id")
+    wanted, _ = lookup._asked(ids, [lookup.F.col("request_id")], lookup.F.array("request_id", "request_id"), lookup._lengths(keys, "key"))
+    rows = [tuple(r) for r in wanted.collect()]
+    assert len(rows) == len(set(rows)) and ("aaaaa", 1, "aaa", True) in rows
+    assert "hashpartitioning" not in stored_plans[-1]
+
+
+def test_paths_are_resolved_by_as_many_tasks_as_requests_need(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "TASK_REQUESTS", 10)
+    asked = spark.createDataFrame([(f"tile_{i}.json", i) for i in range(40)] + [(None, -1), ("tile_1.json", -2)], "request_path string, n int")
+    files = spark.createDataFrame([(f"RawCitiesData/The Hague/tile_{i}.json",) for i in range(0, 40, 2)], "path string")
+    found = catalog.resolve_paths(asked, files)
+    text = found._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("REPARTITION_BY_NUM") >= 2 or len(re.findall(r"hashpartitioning\(request_path#\d+, 5\)", text)) >= 2
+    assert "SortAggregate" not in text
+    rows = {r.n: r.path for r in found.collect()}
+    assert len(rows) == 42 and rows[-1] is None and rows[-2] is None and rows[1] is None and rows[4] == "RawCitiesData/The Hague/tile_4.json"
+
+
 def leaves(node):
     """Leaves of an executed plan, also those of the subqueries that prune a scan."""
     found = node.collectLeaves()
