@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from geomatch.constants import CITY_FOLDER, NAME_LOOKUP_FOLDERS, SOURCE_ROOTS
 from geomatch.functions.ids import base_name
+from geomatch.storage import stored
+
+#: Requested paths that one task resolves.
+TASK_REQUESTS = 50_000
 
 
 def _plain_uri(path: Column) -> Column:
@@ -113,22 +117,21 @@ def resolve_paths(
     """
     if mode not in ("get", "select"):
         raise ValueError(f"unknown mode {mode!r}")
-    decoded = decode_path(F.col("request_path")) if mode == "get" else F.col("request_path")
-    absolute = F.col("_wanted").startswith("/")
-    names = [F.concat(F.lit(f"{city_folder}/{f}/"), base_name(F.col("_wanted"))) for f in folders]
-    below = F.when(absolute, F.col("_wanted")).otherwise(F.concat(F.lit(f"{city_folder}/"), F.col("_wanted")))
-    tries = [F.col("_wanted"), *(names if mode == "get" else []), below]
-    wanted = (
-        requests.select("request_path")
-        .distinct()
-        .select("request_path", decoded.alias("_wanted"))
-        .select("request_path", F.posexplode(F.array(*tries)).alias("priority", "path"))
-    )
-    hits = (
-        wanted.join(catalog.select("path").distinct(), "path")
-        .groupBy("request_path")
-        .agg(F.min("priority").alias("priority"), F.min_by("path", "priority").alias("path"))
-    )
-    return requests.join(hits, "request_path", "left").select(
-        *[requests[c] for c in requests.columns], hits["path"], hits["priority"]
+
+    def tries(path: Column) -> Column:
+        wanted = decode_path(path) if mode == "get" else path
+        names = [F.concat(F.lit(f"{city_folder}/{f}/"), base_name(wanted)) for f in folders]
+        below = F.when(wanted.startswith("/"), wanted).otherwise(F.concat(F.lit(f"{city_folder}/"), wanted))
+        return F.array(wanted, *(names if mode == "get" else []), below)
+
+    asked = stored(requests.select("request_path").distinct())
+    # Short texts take many times their compressed bytes in a task: their number decides how many tasks get them.
+    tasks = asked.count() // TASK_REQUESTS + 1
+    wanted = asked.repartition(tasks, "request_path").select("request_path", F.posexplode(tries(F.col("request_path"))).alias("priority", "path"))
+    # The stored requests are small as bytes, so Spark would send all their tries to every task; both sides are shuffled instead.
+    # Only the number of the try is aggregated, in a fixed-width buffer; it tells the path.
+    hits = wanted.join(catalog.select("path").distinct().hint("merge"), "path").groupBy("request_path").agg(F.min("priority").alias("priority"))
+    found = F.get(tries(requests["request_path"]), hits["priority"])
+    return requests.repartition(tasks, "request_path").join(hits, "request_path", "left").select(
+        *[requests[c] for c in requests.columns], found.alias("path"), hits["priority"]
     )
