@@ -154,3 +154,21 @@ def test_status_uses_hash_aggregation_for_pairs(spark):
 def test_top_k_limits_groups_before_the_shuffle(spark):
     text = plan(spark, "topk_pairs")
     assert text.count("WindowGroupLimit") == 2
+
+
+def test_extraction_renumbers_once_and_alike_in_short_and_long_lists(spark, monkeypatch):
+    solid = '{"type":"Solid","boundaries":[[[[3,1,7]],[[1,-2,90]]]]}'
+    loose = '{"type":"MultiSurface","boundaries":[[[5,3,"x",null,1.0,2]]]}'
+    empty = '{"type":"MultiSurface","boundaries":[]}'
+    text = '{"type":"CityJSON","CityObjects":{"a":{"type":"Building","geometry":[%s,%s]},"b":{"geometry":[%s]}},"vertices":[%s]}' % (
+        solid, loose, empty, ",".join(f"[{i},0,0]" for i in range(9)),
+    )
+    documents = spark.createDataFrame([("A", "a.json", text)], "source string, file_path string, document string")
+    asked = spark.createDataFrame([("a", "a.json"), ("b", "a.json")], "request_id string, file_path string")
+    found = [extraction.extract_objects(asked, documents)]
+    # Two depths, each for whole numbers and for other entries.
+    assert found[0]._jdf.queryExecution().optimizedPlan().toString().count("array_position(") == 4
+    monkeypatch.setattr(extraction, "SCANNED_VERTICES", -1)
+    found.append(extraction.extract_objects(asked, documents))
+    short, long = [sorted((r.request_id, r.cityjson) for r in f.collect()) for f in found]
+    assert short == long and "[[[[2,0,4]],[[0,-2,5]]]]" in short[0][1].replace(" ", "")
