@@ -83,7 +83,8 @@ class KeyIndex:
         """Store an index of ``key, key_pos`` (as :func:`ranked_lookup` takes them) below ``path``."""
         index = KeyIndex(keys.sparkSession, path.rstrip("/"))
         keys = stored(keys.select("key", "key_pos").where("key IS NOT NULL"))
-        sized = keys.withColumn("_lengths", F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))))
+        # Every part of every key is wanted here, so neighbours are cut together: they combine what they share before the shuffle.
+        sized = _neighbours(keys).withColumn("_lengths", F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))))
         texts = _cuts(sized).groupBy("text", "whole").agg(F.min("key_pos").alias("key_pos"))
         index._write("texts", texts, "text", slots, mode)
         index._write("keys", keys, "key_pos", slots, mode)
@@ -143,7 +144,7 @@ def ranked_lookup(
     rows = wanted.count()
     few = rows <= BROADCAST_TEXTS
     if not few:
-        keys = _neighbours(keys)
+        keys = _neighbours(stored(keys))
     pieces = keys.select("key", "key_pos", F.col("key").alias("text"), F.lit(True).alias("whole"))
     if probes is not None:
         pieces = _cuts(keys.withColumn("_lengths", _lengths(probes, "probe")))
@@ -161,8 +162,7 @@ def ranked_lookup(
 
 
 def _neighbours(keys: DataFrame) -> DataFrame:
-    """The keys, stored and dealt by their order to as many tasks as their number needs: neighbours share most of their parts."""
-    keys = stored(keys)
+    """Stored keys, dealt by their order to as many tasks as their number needs: neighbours share most of their parts."""
     return keys.repartitionByRange(keys.count() // TASK_KEYS + 1, "key")
 
 

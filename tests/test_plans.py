@@ -172,3 +172,16 @@ def test_extraction_renumbers_once_and_alike_in_short_and_long_lists(spark, monk
     found.append(extraction.extract_objects(asked, documents))
     short, long = [sorted((r.request_id, r.cityjson) for r in f.collect()) for f in found]
     assert short == long and "[[[[2,0,4]],[[0,-2,5]]]]" in short[0][1].replace(" ", "")
+
+
+def test_an_index_cuts_its_keys_by_as_many_tasks_as_they_need(spark, tmp_path, monkeypatch):
+    keys = spark.range(500).selectExpr("concat('bag_', lpad(cast(id * 7 % 500 as string), 16, '0')) as key", "500 - id as key_pos")
+    keys = keys.union(spark.createDataFrame([(None, 900), ("", 901), ("bag_0000000000000003", 902)], "key string, key_pos long"))
+    asked = spark.range(600).selectExpr("concat('bag_', lpad(cast(id as string), 16, '0')) as request_id")
+    expected = sorted(map(str, lookup.pair_lookup(asked, keys).collect()))
+    seen, cuts = [], lookup._cuts
+    monkeypatch.setattr(lookup, "TASK_KEYS", 60)
+    monkeypatch.setattr(lookup, "_cuts", lambda frame: seen.append(frame._jdf.queryExecution().optimizedPlan().toString()) or cuts(frame))
+    index = lookup.KeyIndex.write(keys, str(tmp_path / "index"), slots=8)
+    assert re.search(r"RepartitionByExpression \[key#\d+ ASC NULLS FIRST\], 9", seen[0])
+    assert sorted(map(str, lookup.pair_lookup(asked, index).collect())) == expected
