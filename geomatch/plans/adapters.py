@@ -136,7 +136,8 @@ def results_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pairs(spark, sf_dir).withColumn(
         "_range", F.floor(F.col("index_id").cast("bigint") / PARTS_PER_RESULTS_DOCUMENT)
     )
-    grouped = rows.groupBy("file_name", "building_id", "_range").agg(
+    # The order's key, too, as pairs already lie by it: no shuffle is needed.
+    grouped = rows.groupBy("file_name", "building_id", "bld_pos", "_range").agg(
         F.sort_array(F.collect_list(F.struct("match_pos", match.alias("m")))).alias("items")
     )
 

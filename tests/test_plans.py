@@ -7,6 +7,7 @@ import pytest
 
 from geomatch import storage
 from geomatch.operators import extraction, lookup
+from geomatch.plans import adapters
 from geomatch.plans.queries import QUERIES
 from geomatch.sources import catalog
 
@@ -185,3 +186,10 @@ def test_an_index_cuts_its_keys_by_as_many_tasks_as_they_need(spark, tmp_path, m
     index = lookup.KeyIndex.write(keys, str(tmp_path / "index"), slots=8)
     assert re.search(r"RepartitionByExpression \[key#\d+ ASC NULLS FIRST\], 9", seen[0])
     assert sorted(map(str, lookup.pair_lookup(asked, index).collect())) == expected
+
+
+def test_results_documents_gather_pairs_where_they_lie(spark):
+    text = adapters.results_texts(spark, SF_DIR)._jdf.queryExecution().sparkPlan().toString()
+    assert "collect_list" in text
+    text = adapters.results_texts(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file_name" not in text
