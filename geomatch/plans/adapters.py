@@ -390,18 +390,19 @@ def odd_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_documents(spark, sf_dir).withColumn("document", text)
 
 
-def short_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index documents; every third has three vertices only, which its objects need more of."""
+def short_documents(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
+    """Index documents (those given, or built anew); every third has three vertices only, which its objects need more of."""
     number = F.regexp_extract("file_path", "tile_([0-9]+)", 1).cast("int") % 3
     few = F.regexp_replace("document", r'"vertices":\[.*\]\}$', '"vertices":[[0,0,0],[1,1,1],[2,2,2]]}')
-    return index_documents(spark, sf_dir).withColumn("document", F.when(number == 1, few).otherwise(F.col("document")))
+    index = index_documents(spark, sf_dir) if index is None else index
+    return index.withColumn("document", F.when(number == 1, few).otherwise(F.col("document")))
 
 
-def earlier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def earlier_documents(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
     """Index documents before a change: every fifth is not there yet, others are those of :func:`short_documents`, and every fourth has an old
     file beside it."""
     number = F.regexp_extract("file_path", "tile_([0-9]+)", 1).cast("int")
-    short = short_documents(spark, sf_dir)
+    short = short_documents(spark, sf_dir, index)
     old = short.where(number % 4 == 2).withColumn("file_path", F.concat("file_path", F.lit(".old")))
     return short.where(number % 5 != 0).unionByName(old)
 

@@ -368,8 +368,8 @@ def cityjson_objects(spark, sf):
 def _refreshed(spark, sf):
     """Tables of the index documents before a change, refreshed to those of today: their folder, and what became of each file."""
     target = f"{shared_folder(spark)}/city-{uuid.uuid4().hex}"
-    for documents in (A.earlier_documents(spark, sf), A.index_documents(spark, sf)):
-        texts = stored(documents.select("source", "file_path", "document"))
+    today = stored(A.index_documents(spark, sf).select("source", "file_path", "document"))
+    for texts in (stored(A.earlier_documents(spark, sf, today)), today):
         listing = texts.select("source", "file_path", F.md5("document").alias("version_key"))
         found = snapshots.refresh(spark, listing, lambda wanted, texts=texts: texts, target)
     return target, found

@@ -7,7 +7,7 @@ import pytest
 
 from geomatch import storage
 from geomatch.operators import extraction, lookup
-from geomatch.plans import adapters
+from geomatch.plans import adapters, queries
 from geomatch.plans.queries import QUERIES
 from geomatch.sources import catalog
 
@@ -193,3 +193,11 @@ def test_results_documents_gather_pairs_where_they_lie(spark):
     assert "collect_list" in text
     text = adapters.results_texts(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(file_name" not in text
+
+
+def test_refreshed_tables_build_their_documents_once(spark, monkeypatch):
+    built = []
+    build = adapters.index_documents
+    monkeypatch.setattr(adapters, "index_documents", lambda *a: built.append(a) or build(*a))
+    queries._refreshed(spark, SF_DIR)
+    assert len(built) == 1
