@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geomatch import constants as C
@@ -12,61 +12,83 @@ from geomatch.functions.display import percent
 from geomatch.functions.ids import base_name
 from geomatch.operators.lookup import file_lookup
 from geomatch.sources.results import METRIC_FIELDS
-from geomatch.storage import stored
+from geomatch.storage import stored, tasks_of
 
 THRESHOLDS = tuple(i / 20 for i in range(20))
+#: Pairs, candidates and true pairs that one task holds.
+TASK_ROWS = 250_000
+#: Slots of pairs that one task gets, about; many, so that tasks get the same.
+SLOTS_OF_TASK = 32
 
 
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
 
 
-def _evidence(pairs: DataFrame, candidates: DataFrame, truth: DataFrame | None, deduplicate: bool) -> DataFrame:
-    """A row for each listed candidate and one for each of its pairs: ``file_name, building_id, has_truth, listed, confidence, match_pos, is_true``.
+def _evidence(pairs: DataFrame, candidates: DataFrame, truth: DataFrame | None, deduplicate: bool) -> tuple[DataFrame, DataFrame, int]:
+    """The listed candidates, ``file_name, building_id, has_truth``; their pairs, ``file_name, building_id, confidence, match_pos, is_true, _slot``;
+    and the number of tasks that hold them.
 
     ``candidates`` has ``file_name, building_id``; ``truth`` has ``building_id, index_id``. With a
     truth table a pair is true when it is in it; without one ``true_label`` decides, and pairs with
-    an unknown label count neither as true nor as false. The truth join and the removal of repeated
-    pairs share their shuffle (building and index id).
+    an unknown label count neither as true nor as false. Pairs meet by ``_slot``, a hash of building and index id, to be
+    marked, freed of repeats and combined by candidate in one shuffle; the pairs of a candidate lie in many slots.
     """
-    keep = pairs.select("file_name", "building_id", "index_id", "confidence", "match_pos", "true_label")
-    if truth is not None:
-        known = truth.select("building_id", "index_id").distinct().withColumn("_true", F.lit(1))
-        keep = keep.join(known, ["building_id", "index_id"], "left").withColumn(
-            "is_true", F.coalesce("_true", F.lit(0))
+    keep = stored(
+        pairs.select(
+            "file_name", "building_id", "index_id", F.col("confidence").cast("double").alias("confidence"),
+            F.col("match_pos").cast("bigint").alias("match_pos"), F.col("true_label").cast("int").alias("is_true"),
         )
-        with_truth = known.groupBy("building_id").agg(F.lit(1).alias("has_truth"))
+    )
+    listed = stored(candidates.select("file_name", "building_id"))
+    rows = keep.count() + listed.count()
+    if truth is None:
+        with_truth = keep.where("is_true = 1").select("building_id").distinct()
+        known = F.lit(False)
     else:
-        keep = keep.withColumn("is_true", F.col("true_label"))
-        with_truth = keep.where("is_true = 1").groupBy("building_id").agg(F.lit(1).alias("has_truth"))
+        marks = stored(truth.select("building_id", "index_id"))
+        rows += marks.count()
+        with_truth = marks.select("building_id").distinct()
+        known = F.col("known")
+        # Ids that are null are not equal to any.
+        keep = keep.withColumns({"is_true": F.lit(0), "known": F.lit(False)}).unionByName(
+            marks.dropna().withColumns({"is_true": F.lit(1), "known": F.lit(True)}), allowMissingColumns=True
+        )
+    tasks = tasks_of(pairs.sparkSession, rows, TASK_ROWS)
+    slot = F.pmod(F.xxhash64("building_id", "index_id"), F.lit(tasks * SLOTS_OF_TASK))
+    keep = keep.withColumn("_slot", slot).repartition(tasks, "_slot")
     if deduplicate:
-        keep = keep.groupBy("building_id", "index_id", "file_name").agg(
-            F.max("confidence").alias("confidence"),
-            F.min("match_pos").alias("match_pos"),
-            F.max("is_true").alias("is_true"),
+        keep = keep.groupBy("_slot", "building_id", "index_id", "file_name", known.alias("known")).agg(
+            F.max("confidence").alias("confidence"), F.min("match_pos").alias("match_pos"), F.max("is_true").alias("is_true")
         )
+    if truth is not None:
+        pair = Window.partitionBy("_slot", "building_id", "index_id")
+        keep = keep.withColumn("is_true", F.max("is_true").over(pair)).where(~known)
     listed = (
-        candidates.select("file_name", "building_id")
+        listed.repartition(tasks, "building_id")
         .distinct()
-        .join(with_truth, "building_id", "left")
-        .select(
-            "file_name",
-            "building_id",
-            F.coalesce("has_truth", F.lit(0)).alias("has_truth"),
-            F.lit(1).alias("listed"),
-            *[F.lit(None).cast(t).alias(c) for c, t in (("confidence", "double"), ("match_pos", "bigint"), ("is_true", "int"))],
-        )
+        .join(with_truth.withColumn("has_truth", F.lit(1)), "building_id", "left")
+        .select("file_name", "building_id", F.coalesce("has_truth", F.lit(0)).alias("has_truth"))
     )
-    paired = keep.select(
-        "file_name",
-        "building_id",
-        F.lit(0).alias("has_truth"),
-        F.lit(0).alias("listed"),
-        "confidence",
-        F.col("match_pos").cast("bigint").alias("match_pos"),
-        F.col("is_true").cast("int").alias("is_true"),
+    return listed, keep.select("file_name", "building_id", "confidence", "match_pos", "is_true", "_slot"), tasks
+
+
+def _by_candidate(listed: DataFrame, paired: DataFrame, tasks: int, **counts: Column) -> DataFrame:
+    """A row for each (file, candidate): ``file_name, building_id, listed, has_truth, blocked, best`` and counts over its pairs.
+
+    Pairs are combined by slot where they lie, then by candidate, so a candidate or file with very many pairs is no problem.
+    """
+    key = ["file_name", "building_id"]
+    combined = paired.groupBy("_slot", *key).agg(F.max("is_true").alias("blocked"), _best_pair(), *[c.alias(n) for n, c in counts.items()])
+    combined = combined.drop("_slot").withColumns({"listed": F.lit(0), "has_truth": F.lit(0)})
+    rows = combined.unionByName(listed.withColumn("listed", F.lit(1)), allowMissingColumns=True)
+    return rows.repartition(tasks, *key).groupBy(*key).agg(
+        F.max("listed").alias("listed"),
+        F.max("has_truth").alias("has_truth"),
+        F.coalesce(F.max("blocked"), F.lit(0)).alias("blocked"),
+        F.max("best").alias("best"),
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts],
     )
-    return listed.unionByName(paired)
 
 
 def _best_pair() -> Column:
@@ -84,17 +106,13 @@ def candidate_outcomes(
 ) -> DataFrame:
     """What each (file, candidate) contributes to the metrics of its file.
 
-    Both strategies come out of this one aggregation. Pairs are combined map-side before the shuffle by candidate, so a candidate
-    or file with very many pairs is no problem.
+    Both strategies come out of this one aggregation.
     """
     above = F.col("confidence") > threshold
-    grouped = _evidence(pairs, candidates, truth, deduplicate).groupBy("file_name", "building_id").agg(
-        F.max("listed").alias("listed"),
-        F.max("has_truth").alias("has_truth"),
-        F.coalesce(F.max("is_true"), F.lit(0)).alias("blocked"),
-        F.count_if(above & (F.col("is_true") == 1)).alias("threshold_true_positives"),
-        F.count_if(above & (F.col("is_true") == 0)).alias("threshold_false_positives"),
-        _best_pair(),
+    grouped = _by_candidate(
+        *_evidence(pairs, candidates, truth, deduplicate),
+        threshold_true_positives=F.count_if(above & (F.col("is_true") == 1)),
+        threshold_false_positives=F.count_if(above & (F.col("is_true") == 0)),
     )
     kept = F.coalesce(F.col("best.confidence") > threshold, F.lit(False))
     return grouped.select(
@@ -164,7 +182,8 @@ def threshold_curve(
     """
     steps = sorted(set(thresholds))
     level = lambda c: F.size(F.filter(F.array(*map(F.lit, steps)), lambda t: F.coalesce(c > t, F.lit(False))))
-    evidence = stored(_evidence(pairs, candidates, truth, deduplicate))
+    listed, paired, tasks = _evidence(pairs, candidates, truth, deduplicate)
+    paired = stored(paired)
     names = [f"{s}_{c}" for s in C.STRATEGIES for c in ("true_positives", "false_positives")]
 
     def counted(rows: DataFrame, strategy: str, confidence: str, is_true: str) -> DataFrame:
@@ -172,12 +191,8 @@ def threshold_curve(
         counts = [own.get(n, F.lit(0).cast("bigint")).alias(n) for n in names]
         return rows.groupBy("file_name", level(F.col(confidence)).alias("level")).agg(*counts)
 
-    by_candidate = stored(
-        evidence.groupBy("file_name", "building_id").agg(
-            F.max("listed").alias("listed"), F.max("has_truth").alias("has_truth"), F.coalesce(F.max("is_true"), F.lit(0)).alias("blocked"), _best_pair()
-        )
-    )
-    counts = counted(evidence.where("listed = 0"), "threshold", "confidence", "is_true").unionByName(counted(by_candidate, "best_match", "best.confidence", "best.is_true"))
+    by_candidate = stored(_by_candidate(listed, paired.repartition(tasks, "_slot"), tasks))
+    counts = counted(paired, "threshold", "confidence", "is_true").unionByName(counted(by_candidate, "best_match", "best.confidence", "best.is_true"))
     # A pair above n thresholds counts for the n lowest of them.
     above = counts.where("level > 0").select("file_name", F.explode(F.sequence(F.lit(0), F.col("level") - 1)).alias("step"), *names)
     above = above.groupBy("file_name", "step").agg(*[F.sum(n).alias(n) for n in names])

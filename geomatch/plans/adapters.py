@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from geomatch.constants import CITY_FOLDER, DEFAULT_MODEL
 from geomatch.functions.ids import digit_run
 from geomatch.sources import large
-from geomatch.storage import shared_folder
+from geomatch.storage import shared_folder, tasks_of
 
 OBJECTS_PER_DOCUMENT = 50
 VERTICES_PER_OBJECT = 12
 DOCUMENTS_PER_TASK = 16
 PARTS_PER_RESULTS_DOCUMENT = 1000
+LINES_PER_TASK = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,27 +41,41 @@ def building(key: str) -> Column:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All line items with ``match_pos``, the place of a line in its order; repeated parts stay."""
+    """All line items with ``match_pos``, the place of a line in its order, and ``lowest``, the lowest part of its order; repeated parts stay."""
     order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("bigint")
-    return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_discount", "l_tax", "l_returnflag", "l_linestatus", place.alias("match_pos")
-    )
+    own = Window.partitionBy("l_orderkey")
+    lines = table(spark, sf_dir, "lineitem")
+    dealt = lines.select("l_orderkey", *order).repartition(tasks_of(spark, lines.count(), LINES_PER_TASK), "l_orderkey")
+    return dealt.select(
+        "l_orderkey", "l_partkey", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+        F.row_number().over(own.orderBy(*order)).cast("bigint").alias("match_pos"), F.min("l_partkey").over(own).alias("lowest"),
+    )
+
+
+def _true_key(lowest: Column, other: Column) -> Column:
+    """The true counterpart of an order."""
+    return F.when(F.col("o_orderpriority") != "5-LOW", lowest).otherwise(other)
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``o_orderkey, o_orderpriority, other``: the part of an order whose true counterpart is not its lowest one."""
+    n_parts = table(spark, sf_dir, "part").agg(F.count("*")).scalar()
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_orderkey") % n_parts).alias("other"))
 
 
 def _truth_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``o_orderkey, true_key``: the true counterpart of each order that has one."""
-    n_parts = table(spark, sf_dir, "part").agg(F.count("*")).scalar()
+    lines = table(spark, sf_dir, "lineitem")
     lowest = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+        .repartition(tasks_of(spark, lines.count(), LINES_PER_TASK), "o_orderkey")
+        .groupBy("o_orderkey")
         .agg(F.min("l_partkey").alias("lowest"))
     )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    key = F.when(F.col("o_orderpriority") != "5-LOW", F.col("lowest")).otherwise(F.col("o_orderkey") % n_parts)
     return (
-        orders.join(lowest, "o_orderkey", "left")
-        .select("o_orderkey", key.alias("true_key"))
+        _orders(spark, sf_dir)
+        .join(lowest, "o_orderkey", "left")
+        .select("o_orderkey", _true_key(F.col("lowest"), F.col("other")).alias("true_key"))
         .where("true_key IS NOT NULL")
     )
 
@@ -78,9 +93,10 @@ def pairs(spark: SparkSession, sf_dir: str, labelled: bool = True, by: str = "ti
     """
     lines = _lines(spark, sf_dir)
     if labelled:
-        known = _truth_keys(spark, sf_dir).withColumnRenamed("o_orderkey", "l_orderkey")
-        lines = lines.join(known, "l_orderkey", "left")
-        is_true = F.coalesce(F.col("true_key") == F.col("l_partkey"), F.lit(False)).cast("int")
+        # Lines know their order's lowest part, so only the orders are joined.
+        true_key = _true_key(F.col("lowest"), F.col("other"))
+        lines = lines.join(_orders(spark, sf_dir), (F.col("l_orderkey") == F.col("o_orderkey")) & true_key.isNotNull(), "left")
+        is_true = F.coalesce(true_key == F.col("l_partkey"), F.lit(False)).cast("int")
         true_label = F.when(F.col("l_tax") != 0, is_true)
     else:
         true_label = F.lit(None).cast("int")

@@ -38,3 +38,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     write(df, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tasks_of(spark: SparkSession, rows: int, task_rows: int) -> int:
+    """How many tasks rows are dealt to. Short texts take many times their shuffled bytes when they are sorted, so their number decides."""
+    return max(rows // task_rows + 1, spark.sparkContext.defaultParallelism)

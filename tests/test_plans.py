@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 from geomatch import storage
-from geomatch.operators import extraction, lookup
+from geomatch.operators import extraction, lookup, metrics
 from geomatch.plans import adapters, queries
 from geomatch.plans.queries import QUERIES
 from geomatch.sources import catalog
@@ -201,3 +201,35 @@ def test_refreshed_tables_build_their_documents_once(spark, monkeypatch):
     monkeypatch.setattr(adapters, "index_documents", lambda *a: built.append(a) or build(*a))
     queries._refreshed(spark, SF_DIR)
     assert len(built) == 1
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_metrics_deal_pairs_to_tasks_by_their_number(spark, monkeypatch, known):
+    ids = ("concat('tile_', id % 3) as file_name", "cast(id % 400 as string) as building_id", "cast(id % 7 as string) as index_id")
+    pairs = spark.range(3000).selectExpr(*ids, "id % 11 / 11.0D as confidence", "id as match_pos", "cast(id % 2 as int) as true_label")
+    candidates = pairs.select("file_name", "building_id").unionByName(spark.range(50).selectExpr("'tile_9' as file_name", "cast(id as string) as building_id"))
+    truth = spark.createDataFrame([("1", "1"), ("1", "2"), ("1", "1"), ("2", None), (None, "3")], "building_id string, index_id string") if known else None
+    usual = sorted(metrics.metrics_from_pairs(pairs, candidates, truth).collect())
+    monkeypatch.setattr(metrics, "TASK_ROWS", 100, raising=False)
+    found = metrics.metrics_from_pairs(pairs, candidates, truth)
+    text = found._jdf.queryExecution().sparkPlan().toString()
+    tasks = (3000 + 3050 + 5 * known) // 100 + 1
+    for key in ("_slot", "file_name"):
+        assert re.search(rf"hashpartitioning\({key}[^\n]*, {tasks}\), REPARTITION_BY_NUM", text)
+    assert sorted(found.collect()) == usual
+
+
+def test_lines_are_dealt_by_their_number_and_join_the_orders_only(spark, monkeypatch, tmp_path):
+    lines = spark.createDataFrame([(1, 5, "N"), (1, 3, "N"), (1, None, "N"), (2, 4, "N"), (None, 1, "N"), (3, 2, "N"), *[(9, 7, "N")] * 20], "l_orderkey long, l_partkey long, l_returnflag string")
+    lines = lines.selectExpr("*", "1 as l_linenumber", "1 as l_suppkey", "1.0D as l_extendedprice", "1.0D as l_quantity", "null as l_shipdate", "0.5D as l_discount", "0.1D as l_tax", "'O' as l_linestatus")
+    lines.withColumn("l_shipdate", lines.l_shipdate.cast("date")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(1, "1-URGENT"), (2, "5-LOW"), (2, "1-URGENT"), (3, None), (None, "1-URGENT")]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(3).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(adapters, "LINES_PER_TASK", 1, raising=False)
+    pairs = adapters.pairs(spark, str(tmp_path))
+    text = pairs._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(l_orderkey#\d+L?, 27\), REPARTITION_BY_NUM", text) and len(re.findall("FileScan", text)) == 3
+    got = sorted(((r.bld_pos, r.index_id and int(r.index_id), r.true_label) for r in pairs.collect()), key=str)
+    wanted = [(1, 5, 0), (1, 3, 1), (1, None, 0), (2, 4, 0), (2, 4, 1), (None, 1, 0), (3, 2, 0), *[(9, 7, 0)] * 20]
+    assert got == sorted(wanted, key=str)
