@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from geomatch.constants import CITY_FOLDER, DEFAULT_MODEL
 from geomatch.functions.ids import digit_run
 from geomatch.sources import large
-from geomatch.storage import shared_folder, tasks_of
+from geomatch.storage import shared_folder, stored, tasks_of
 
 OBJECTS_PER_DOCUMENT = 50
 VERTICES_PER_OBJECT = 12
@@ -189,6 +189,8 @@ def results_document(spark: SparkSession, sf_dir: str) -> str:
     last = files.select("file_pos", F.lit((1 << 62)).cast("bigint").alias("bld_pos"), F.lit("").alias("text"))
     end = spark.range(1).select(F.lit(25).cast("bigint").alias("file_pos"), F.lit(0).cast("bigint").alias("bld_pos"), F.lit("").alias("text"))
     path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    # The order is sampled before it is sorted: stored, the texts are made once.
+    buildings = stored(buildings)
     large.write_fragments(buildings.unionByName(first).unionByName(last).unionByName(end).orderBy("file_pos", "bld_pos"), path)
     return path
 

@@ -46,19 +46,24 @@ def _count(text: Column, letters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, letters, ""))
 
 
+def _opened(text: Column) -> Column:
+    return _count(text, "{[") - _count(text, "}]")
+
+
 def _with_sums(fragments: DataFrame) -> DataFrame:
     """Adds ``quotes``, and ``depth0``, ``depth1``: brackets open after a fragment if its split starts outside and inside a string, each from the start of the split."""
-    plain = F.regexp_replace("text", r"(?s)\\.", "")
-    counted = fragments.select("*", plain.alias("plain")).withColumn("own", _count(F.col("plain"), '"'))
+    plain = fragments.select("*", F.regexp_replace("text", r"(?s)\\.", "").alias("plain"))
+    # Between its quotes a text is outside and inside strings by turns: what is not outside in one state is so in the other.
+    outside = plain.select("*", F.regexp_replace("plain", '(?s)"[^"]*("|$)', "").alias("outside"))
+    counted = outside.select("part", "block", "at", "text", _count(F.col("plain"), '"').alias("own"), _opened(F.col("plain")).alias("all"), _opened(F.col("outside")).alias("even"))
     order = Window.partitionBy("part", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counted.withColumn("quotes", F.sum("own").over(order))
     before = F.col("quotes") - F.col("own")
 
     def change(start: int) -> Column:
-        inside = (before + start) % 2 == 1
-        outside = F.regexp_replace(F.when(inside, F.concat(F.lit('"'), "plain")).otherwise(F.col("plain")), '(?s)"[^"]*("|$)', "")
+        opened = F.when((before + start) % 2 == 0, F.col("even")).otherwise(F.col("all") - F.col("even"))
         closed = F.when((F.col("quotes") + start) % 2 == 0, 1).otherwise(0)
-        return _count(outside, "{[") - _count(outside, "}]") - closed
+        return opened - closed
 
     changes = placed.select("part", "block", "at", "text", "quotes", change(0).alias("change0"), change(1).alias("change1"))
     return changes.select("part", "block", "at", "text", "quotes", *[F.sum(f"change{s}").over(order).alias(f"depth{s}") for s in (0, 1)], "change0", "change1")
@@ -109,12 +114,13 @@ def result_buildings(spark: SparkSession, path: str) -> DataFrame:
     parsed = _segments(spark, path).select("segment", "started", F.from_json("document", RESULTS).alias("files"))
     entries = parsed.select("segment", "started", dict_entries(F.col("files")).alias("entries"))
     news = F.when(F.col("started") < 2, F.size("entries")).otherwise(0)
-    own = entries.where(F.size("entries") > 0).select(
+    own = entries.select(
         "segment", "started", "entries", news.cast("bigint").alias("files"),
         F.aggregate("entries", F.lit(0).cast("bigint"), lambda a, e: a + F.greatest(F.coalesce(F.size(e["value"]), F.lit(0)), F.lit(0))).alias("buildings"),
         F.floor(F.col("segment") / SLICE_SEGMENTS).alias("slice"),
     )
-    own = stored(own)
+    # The filter comes after: before, Spark would parse every text for it and again for the rows.
+    own = stored(own).where(F.size("entries") > 0)
     totals = own.groupBy("slice").agg(F.sum("files").alias("files"), F.sum("buildings").alias("buildings")).orderBy("slice").collect()
     starts = _starts(spark, totals, ["slice"], {f"{c}_before": _before([t[c] for t in totals]) for c in ("files", "buildings")})
     order = Window.partitionBy("slice").orderBy("segment").rowsBetween(Window.unboundedPreceding, Window.currentRow)

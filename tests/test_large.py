@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from geomatch import storage
 from geomatch.sources import large, results
 
 
@@ -63,3 +64,15 @@ def test_parts_are_one_document(spark, tmp_path):
     rows = spark.createDataFrame(list(enumerate(whole[:-1].split("}"))), "n long, text string")
     large.write_fragments(rows.repartitionByRange(5, "n").sortWithinPartitions("n"), str(tmp_path / "parts"))
     assert rows_of(large.result_buildings(spark, str(tmp_path / "parts"))) == rows_of(results.result_buildings(results.read_texts(spark, str(tmp_path / "whole.json"))))
+
+
+def test_each_text_is_read_once(spark, tmp_path, monkeypatch):
+    """Neither its state is found by two searches nor is it parsed for a filter and again for the rows."""
+    found = []
+    write = storage.write
+    monkeypatch.setattr(storage, "write", lambda df, path: (found.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, path)))
+    (tmp_path / "r.json").write_text('{"f": {"a\\"}]": {"possible_matches": [{"index_id": "{[", "confidence": 1}]}}}')
+    rows = large.result_buildings(spark, str(tmp_path / "r.json")).collect()
+    assert [(r.file_name, r.building_id, r.n_matches, r.matches[0].index_id) for r in rows] == [("f", 'a"}]', 1, "{[")]
+    assert sum(text.count("from_json(") for text in found) == 1
+    assert sum(text.count("regexp_replace(plain") for text in found) == 1
