@@ -34,6 +34,7 @@ from geomatch.llm.common import LETTERS, arrow_map, fold, hashed_sample, keep_ro
 DEPTH = 3
 SAMPLE_TEXTS = 1500
 SAMPLE_CHARS = 20_000
+COUNTED_BYTES = 1 << 20
 FOLDS = 5
 UNKNOWN = "und"
 _LETTER = re.compile(LETTERS)
@@ -46,7 +47,7 @@ def _coded(text: str) -> bytes:
 def _grams(stream: np.ndarray) -> np.ndarray:
     """The DEPTH + 1 bytes that end at each place as one number."""
     n = len(stream) - DEPTH
-    out = np.zeros(max(n, 0), dtype=np.int64)
+    out = np.zeros(max(n, 0), dtype=np.uint32)
     for i in range(DEPTH + 1):
         out = (out << 8) | stream[i : n + i]
     return out
@@ -75,39 +76,44 @@ class Coder:
         self.number[alphabet] = np.arange(1, len(alphabet) + 1)
         self.a = a = len(alphabet) + 1
         letters = [self.number[(model.gram >> (8 * i)) & 255].astype(np.int64) for i in range(DEPTH, -1, -1)]
-        n, size = len(self.langs), a
-        # Order 0 and the uniform order below it, for each language.
-        costs = np.full((n, 1, a), 1.0 / 256)
-        deeper = np.zeros(1, dtype=np.int64)
+        n = len(self.langs)
+        # The rows of one order after the other: the longest known end of each context, and where the rows of the order below are.
+        orders, rows_of, deeper = [], 1, np.zeros(1, dtype=np.int64)
         for depth in range(DEPTH + 1):
             context = np.zeros(len(model.gram), dtype=np.int64)
             for x in letters[DEPTH - depth : DEPTH]:
                 context = context * a + x
             seen = np.unique(context)
             parent = deeper[seen % a ** (depth - 1)] if depth > 1 else np.zeros(len(seen), dtype=np.int64)
-            at = np.searchsorted(seen, context)
-            counts = np.zeros((n, len(seen), a))
-            np.add.at(counts, (model.lang, at, letters[DEPTH]), model.count)
-            table = self._mixed(counts, costs[:, parent])
+            orders.append((np.searchsorted(seen, context), parent))
             # A context that no tree knows keeps the row of its longest known end.
-            rows = deeper[np.arange(a**depth) % a ** max(depth - 1, 0)] if depth else np.zeros(1, dtype=np.int64)
             if depth:
-                rows = rows.copy()
-                rows[seen] = costs.shape[1] + np.arange(len(seen))
-                costs = np.concatenate([costs, table], axis=1)
-            else:
-                costs = table
-            deeper = rows
+                deeper = deeper[np.arange(a**depth) % a ** (depth - 1)]
+                deeper[seen] = rows_of + np.arange(len(seen))
+                rows_of += len(seen)
         self.row_of = deeper.astype(np.int32)
-        self.bits = np.ascontiguousarray(-np.log2(costs).transpose(1, 2, 0).reshape(-1, n), dtype=np.float32)
+        # One language at a time: a worker stands beside others, and the tables in double precision take many times the result.
+        self.bits = np.empty((rows_of * a, n), dtype=np.float32)
+        for i in range(n):
+            own = model.lang == i
+            costs = np.empty((rows_of, a))
+            # The uniform order stands below order 0.
+            filled, low = 0, np.full((1, a), 1.0 / 256)
+            for at, parent in orders:
+                counts = np.zeros((len(parent), a))
+                np.add.at(counts, (at[own], letters[DEPTH][own]), model.count[own])
+                table = self._mixed(counts, (costs if filled else low)[parent])
+                costs[filled : filled + len(parent)] = table
+                filled += len(parent)
+            self.bits[:, i] = -np.log2(costs).reshape(-1)
 
     @staticmethod
     def _mixed(counts: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """PPM with method C and full exclusion: counts and lower probabilities are [language, context, byte]."""
-        total = counts.sum(axis=2, keepdims=True)
-        kinds = (counts > 0).sum(axis=2, keepdims=True)
+        """PPM with method C and full exclusion: counts and lower probabilities are [context, byte]."""
+        total = counts.sum(axis=1, keepdims=True)
+        kinds = (counts > 0).sum(axis=1, keepdims=True)
         left = np.where(counts > 0, 0.0, low)
-        left /= np.maximum(left.sum(axis=2, keepdims=True), 1e-12)
+        left /= np.maximum(left.sum(axis=1, keepdims=True), 1e-12)
         known = total > 0
         scale = np.where(known, total + kinds, 1)
         mixed = np.where(counts > 0, counts / scale, kinds / scale * left)
@@ -127,10 +133,12 @@ class Coder:
             context = s[:-DEPTH]
             for i in range(1, DEPTH):
                 context = context * self.a + s[i : len(s) - DEPTH + i]
-            bits = self.bits[self.row_of[context] * self.a + s[DEPTH:]]
+            # One row more than bytes, as the last sum ends there.
+            bits = np.zeros((len(context) + 1, len(self.langs)), dtype=np.float32)
+            np.take(self.bits, self.row_of[context] * self.a + s[DEPTH:], axis=0, out=bits[:-1], mode="clip")
             sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
             starts = np.cumsum(sizes + DEPTH) - (sizes + DEPTH)
-            sums = np.add.reduceat(np.concatenate([bits, np.zeros((1, bits.shape[1]), np.float32)]), np.c_[starts, starts + sizes].ravel(), axis=0, dtype=np.float64)[::2]
+            sums = np.add.reduceat(bits, np.c_[starts, starts + sizes].ravel(), axis=0, dtype=np.float64)[::2]
             np.add.at(out, rows, sums)
         return out
 
@@ -155,16 +163,26 @@ def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model | None:
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             streams: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                if text:
-                    streams.setdefault(lang, []).append(b"\0" * DEPTH + _coded(text))
+            held: dict[str, int] = {}
             langs, grams, counts = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for lang, parts in streams.items():
-                gram, n = np.unique(_grams(np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.int64)), return_counts=True)
-                gram, n = gram[gram & 255 != 0], n[gram & 255 != 0]
-                langs += [lang] * len(gram)
+
+            def count(lang: str) -> None:
+                gram, n = np.unique(_grams(np.frombuffer(b"".join(streams.pop(lang)), dtype=np.uint8).astype(np.uint32)), return_counts=True)
+                gram, n = gram[gram & 255 != 0].astype(np.int64), n[gram & 255 != 0]
+                langs.extend([lang] * len(gram))
                 grams.append(gram)
                 counts.append(n)
+
+            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
+                if text:
+                    streams.setdefault(lang, []).append(b"\0" * DEPTH + _coded(text))
+                    held[lang] = held.get(lang, 0) + len(streams[lang][-1])
+                    # Long texts are counted as they come, so that a slice of them takes no more than some short ones.
+                    if held[lang] >= COUNTED_BYTES:
+                        count(lang)
+                        held[lang] = 0
+            for lang in list(streams):
+                count(lang)
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(grams)), pa.array(np.concatenate(counts))], ["lang", "gram", "n"])
 
         return work

@@ -1,11 +1,14 @@
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from geomatch.llm import langid
+from geomatch.llm.common import GROUP_CHARS, SLICE_ROWS, arrow_map, text_pieces
 
 PARTS = {"xx": ["the", "ing", "and", "wh", "sh"], "yy": ["der", "ung", "sch", "für", "ß"], "zz": ["que", "ción", "ñ", "los"]}
 
@@ -105,3 +108,23 @@ def test_edge_cases(make_docs):
     assert kept.columns == docs.columns and {80, 81} & {r.doc_id for r in kept.collect()} == set()
     assert langid.identify(docs.filter("false")).count() == 0
     assert {r.lang_pred for r in langid.identify(docs.drop("lang").selectExpr("*", "cast(null as string) lang")).collect()} == {"und"}
+
+
+def test_coder_takes_little_more_than_its_table():
+    rng = np.random.default_rng(7)
+    langs = np.repeat(np.arange(4), 30_000)
+    letters = rng.choice(np.arange(97, 123), (len(langs), langid.DEPTH + 1))
+    model = langid.Model(list("abcd"), langs, (letters * 256 ** np.arange(langid.DEPTH, -1, -1)).sum(axis=1), np.ones(len(langs), np.int64))
+    tracemalloc.start()
+    coder = langid.Coder(model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * coder.bits.nbytes
+
+
+def test_batches_and_groups_are_bounded(make_docs):
+    docs = make_docs(["ein Satz"] * 2500)
+    rows = arrow_map(docs.select("text").coalesce(1), lambda: lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]), "n long", rows=10_000)
+    assert max(r.n for r in rows.collect()) <= SLICE_ROWS
+    groups = [sum(map(len, pieces)) for _, pieces in text_pieces(["x " * 50_000] * 30)]
+    assert max(groups) < 2 * GROUP_CHARS and sum(groups) == 3_000_000
