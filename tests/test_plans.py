@@ -233,3 +233,11 @@ def test_lines_are_dealt_by_their_number_and_join_the_orders_only(spark, monkeyp
     got = sorted(((r.bld_pos, r.index_id and int(r.index_id), r.true_label) for r in pairs.collect()), key=str)
     wanted = [(1, 5, 0), (1, 3, 1), (1, None, 0), (2, 4, 0), (2, 4, 1), (None, 1, 0), (3, 2, 0), *[(9, 7, 0)] * 20]
     assert got == sorted(wanted, key=str)
+
+
+def test_comparison_set_builds_and_parses_its_documents_in_one_pass(spark, stored_plans):
+    plan(spark, "comparison_set")
+    (parsed,) = [p for p in stored_plans if "CityObjects" in p]
+    assert "Generate" in parsed and "parse_json" not in parsed
+    # Ids are searched for, and joined again: gathered from the pairs once.
+    assert sum("index_id" in p and "Union" in p for p in stored_plans) == 1
