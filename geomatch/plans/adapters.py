@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from geomatch.constants import CITY_FOLDER, DEFAULT_MODEL
 from geomatch.functions.ids import digit_run
 from geomatch.sources import large
-from geomatch.storage import shared_folder, stored, tasks_of
+from geomatch.storage import remove, scratch, shared_folder, stored, tasks_of
 
 OBJECTS_PER_DOCUMENT = 50
 VERTICES_PER_OBJECT = 12
@@ -24,6 +24,7 @@ DOCUMENTS_PER_TASK = 16
 DOCUMENTS_PER_LARGE_TASK = 64
 PARTS_PER_RESULTS_DOCUMENT = 1000
 LINES_PER_TASK = 250_000
+BUILDINGS_PER_PART = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -191,8 +192,11 @@ def results_document(spark: SparkSession, sf_dir: str) -> str:
     end = spark.range(1).select(F.lit(25).cast("bigint").alias("file_pos"), F.lit(0).cast("bigint").alias("bld_pos"), F.lit("").alias("text"))
     path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
     # The order is sampled before it is sorted: stored, the texts are made once.
-    buildings = stored(buildings)
-    large.write_fragments(buildings.unionByName(first).unionByName(last).unionByName(end).orderBy("file_pos", "bld_pos"), path)
+    buildings = stored(buildings, path=(kept := scratch(spark)), dense=True)
+    order, parts = ("file_pos", "bld_pos"), tasks_of(spark, buildings.count(), BUILDINGS_PER_PART)
+    texts = buildings.unionByName(first).unionByName(last).unionByName(end).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    large.write_fragments(texts, path)
+    remove(spark, kept)
     return path
 
 

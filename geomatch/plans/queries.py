@@ -16,7 +16,7 @@ from geomatch.operators import features as feature_ops
 from geomatch.plans import adapters as A
 from geomatch.sources import catalog, cityjson, large, results, snapshots
 from geomatch.sources import features as feature_sources
-from geomatch.storage import shared_folder, stored
+from geomatch.storage import remove, shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,7 +66,8 @@ def results_scan(spark, sf):
 
 def results_large(spark, sf):
     """One document of all pairs, read in fragments."""
-    rows = large.result_buildings(spark, A.results_document(spark, sf))
+    rows = large.result_buildings(spark, path := A.results_document(spark, sf))
+    remove(spark, path)
     return results.result_pairs(rows).select("file_name", "file_pos", "building_id", "match_pos", "index_id", "confidence", "true_label", "predicted_label")
 
 

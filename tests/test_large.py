@@ -2,10 +2,12 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 
 from geomatch import storage
+from geomatch.plans import adapters
 from geomatch.sources import large, results
 
 
@@ -76,3 +78,31 @@ def test_each_text_is_read_once(spark, tmp_path, monkeypatch):
     assert [(r.file_name, r.building_id, r.n_matches, r.matches[0].index_id) for r in rows] == [("f", 'a"}]', 1, "{[")]
     assert sum(text.count("from_json(") for text in found) == 1
     assert sum(text.count("regexp_replace(plain") for text in found) == 1
+
+
+def test_what_follows_the_last_end_of_a_split_is_read_where_it_goes_on():
+    assert large._homes([False, True, False, False, True, False]) == [1, 4, 4, 4, 6, 6]
+    assert large._homes([]) == []
+
+
+def test_texts_are_shuffled_once_for_segments_and_numbers_and_not_kept(spark, tmp_path, monkeypatch):
+    (tmp_path / "whole.json").write_text(json.dumps(document(random.Random(3), 5, 6)))
+    folder = Path(storage.shared_folder(spark).removeprefix("file:"))
+    before, found, write = set(folder.iterdir()), [], storage.write
+    monkeypatch.setattr(storage, "write", lambda df, path: (found.append(df._jdf.queryExecution().executedPlan().toString()), write(df, path)))
+    rows = large.result_buildings(spark, str(tmp_path / "whole.json"))
+    (parsed,) = [p for p in found if "from_json" in p]
+    assert parsed.count("Exchange hashpartitioning") == 1 and "hashpartitioning(home" in parsed
+    # Entries and the places of files stay, fragments do not.
+    assert len(set(folder.iterdir()) - before) == 2
+    assert rows.count() == len(rows_of(results.result_buildings(results.read_texts(spark, str(tmp_path / "whole.json")))))
+
+
+def test_parts_of_a_built_document_are_small_and_compressed(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "BUILDINGS_PER_PART", 100)
+    folder = Path(storage.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    path = Path(adapters.results_document(spark, "/root/testdata/sf0.001").removeprefix("file:"))
+    parts = list(path.glob("part-*"))
+    assert len(parts) > 10 and all(p.name.endswith(".gz") for p in parts)
+    assert set(folder.iterdir()) - before == {path}
