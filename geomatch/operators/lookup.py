@@ -17,12 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomatch.functions.ids import base_name, digit_run, numeric_id, own_aliases, padding_variants
-from geomatch.storage import stored
+from geomatch.operators.ranking import top_in_group
+from geomatch.storage import freed, remove, scratch, stored
 
 # Texts asked for are sent to the keys up to this number; more are joined by a shuffle.
 BROADCAST_TEXTS = 1_000_000
 # Keys that one task cuts, where their parts are combined before the shuffle.
 TASK_KEYS = 100_000
+# Neighbouring keys whose parts are combined when an index is written, as a power of two.
+DEAL_BITS = 14
 # Texts found that one task sorts by request.
 TASK_TEXTS = 500_000
 
@@ -82,20 +85,30 @@ class KeyIndex:
     def write(keys: DataFrame, path: str, slots: int = 256, mode: str = "errorifexists") -> KeyIndex:
         """Store an index of ``key, key_pos`` (as :func:`ranked_lookup` takes them) below ``path``."""
         index = KeyIndex(keys.sparkSession, path.rstrip("/"))
-        keys = stored(keys.select("key", "key_pos").where("key IS NOT NULL"))
+        keys = stored(keys.select("key", "key_pos").where("key IS NOT NULL"), path=(kept := scratch(index.spark)))
         # Every part of every key is wanted here, so neighbours are cut together: they combine what they share before the shuffle.
-        sized = _neighbours(keys).withColumn("_lengths", F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))))
-        texts = _cuts(sized).groupBy("text", "whole").agg(F.min("key_pos").alias("key_pos"))
-        index._write("texts", texts, "text", slots, mode)
-        index._write("keys", keys, "key_pos", slots, mode)
+        # A deal is known to lie in one task, so its parts are combined there. In the order of the keys, like texts stand together and pack well.
+        dealt = _neighbours(keys).sortWithinPartitions("key", "key_pos").withColumn("_deal", F.shiftright(F.monotonically_increasing_id(), DEAL_BITS))
+        dealt = dealt.repartitionByRange((keys.count() >> DEAL_BITS) + 1, "_deal").sortWithinPartitions("key", "key_pos")
+        sized = dealt.withColumn("_lengths", F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))))
+        parts = _cuts(sized).groupBy("_deal", "text", "whole").agg(F.min("key_pos").alias("key_pos")).drop("_deal")
+        # They are shuffled once, by the slot that they are written to, and sorted there anyway: the first row of a text is its first key.
+        placed = parts.repartition(_slot("text", slots)).withColumn("slot", _slot("text", slots))
+        index._write("texts", top_in_group(placed, ["slot", "text", "whole"], [F.asc_nulls_last("key_pos")], 1, "_rank").drop("_rank"), "text", mode)
+        index._write("keys", keys.withColumn("slot", _slot("key_pos", slots)).repartition("slot"), "key_pos", mode)
         pos_type = F.lit(keys.schema["key_pos"].dataType.simpleString())
         shape = keys.agg(F.lit(slots).alias("slots"), pos_type.alias("pos_type"), F.array_sort(F.collect_set(F.length("key"))).alias("lengths"))
         shape.write.mode(mode).parquet(f"{index.path}/shape")
+        remove(index.spark, kept)
         return index
 
-    def _write(self, name: str, table: DataFrame, by: str, slots: int, mode: str) -> None:
-        placed = table.withColumn("slot", _slot(by, slots)).repartition("slot").sortWithinPartitions("slot", by)
-        placed.write.mode(mode).partitionBy("slot").parquet(f"{self.path}/{name}")
+    def _write(self, name: str, placed: DataFrame, by: str, mode: str) -> None:
+        """Write rows that lie by their slots."""
+        # Neighbours in a slot differ in their last letters: delta encoding stores only those.
+        sorted_rows = placed.sortWithinPartitions("slot", by).write.mode(mode).partitionBy("slot").option("compression", "zstd")
+        sorted_rows = sorted_rows.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false")
+        with freed(self.spark):
+            sorted_rows.parquet(f"{self.path}/{name}")
 
     def _read(self, name: str, pos_type: str) -> DataFrame:
         columns = {"texts": f"text string, whole boolean, key_pos {pos_type}", "keys": f"key string, key_pos {pos_type}"}[name]
@@ -167,13 +180,14 @@ def _neighbours(keys: DataFrame) -> DataFrame:
 
 
 def _cuts(keys: DataFrame) -> DataFrame:
-    """``key, key_pos, text, whole``: each key as it is (length 0 stands for that) and its substrings of the lengths in ``_lengths``."""
+    """``key, key_pos, text, whole`` and further columns: each key as it is (length 0 stands for that) and its substrings of the lengths in ``_lengths``."""
     size, n = F.length("key"), F.col("_n")
+    keep = [c for c in keys.columns if c not in ("key", "key_pos", "_lengths")]
     fitting = F.array_append(F.filter("_lengths", lambda x: (x > 0) & (x <= size)), F.lit(0))
     places = F.sequence(F.lit(1), F.when(n == 0, 1).otherwise(size - n + 1))
-    cut = keys.select("key", "key_pos", F.explode(fitting).alias("_n")).select("key", "key_pos", "_n", F.explode(places).alias("_i"))
+    cut = keys.select(*keep, "key", "key_pos", F.explode(fitting).alias("_n")).select(*keep, "key", "key_pos", "_n", F.explode(places).alias("_i"))
     text = F.when(n == 0, F.col("key")).otherwise(F.substr("key", F.col("_i"), n))
-    return cut.select("key", "key_pos", text.alias("text"), (n == 0).alias("whole"))
+    return cut.select(*keep, "key", "key_pos", text.alias("text"), (n == 0).alias("whole"))
 
 
 def feature_lookup(requests: DataFrame, keys: DataFrame | KeyIndex) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Mapping
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +42,13 @@ def _settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def freed(spark: SparkSession) -> AbstractContextManager[None]:
+    """For jobs whose shuffles nothing reads once they are done: those go with the job, not when the driver collects garbage."""
+    return _settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
 def write(df: DataFrame, path: str) -> None:
-    """Once a table is written, nothing reads the shuffles that made it: they go with the job, not when the driver collects garbage."""
-    with _settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+    with freed(df.sparkSession):
         df.write.parquet(path)
 
 

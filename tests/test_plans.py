@@ -241,3 +241,28 @@ def test_comparison_set_builds_and_parses_its_documents_in_one_pass(spark, store
     assert "Generate" in parsed and "parse_json" not in parsed
     # Ids are searched for, and joined again: gathered from the pairs once.
     assert sum("index_id" in p and "Union" in p for p in stored_plans) == 1
+
+
+def test_parts_of_an_index_are_shuffled_once_by_their_slot(spark, tmp_path, monkeypatch):
+    rows = "concat('bag_', lpad(cast(id * 7 % 500 as string), 16, '0'))"
+    keys = spark.range(500).selectExpr(f"{rows} as key", "cast(500 - id as decimal(31,0)) as key_pos")
+    odd = [("bag_0000000000000003", 902), ("bag_0000000000000003", -5), ("", 903), ("7", None), (None, 1)]
+    keys = keys.union(spark.createDataFrame(odd, "key string, key_pos int").selectExpr("key", "cast(key_pos as decimal(31,0))"))
+    plans, write = {}, lookup.KeyIndex._write
+    monkeypatch.setattr(lookup.KeyIndex, "_write", lambda index, name, table, *more: (plans.update({name: table._jdf.queryExecution().executedPlan().toString()}), write(index, name, table, *more)))
+    monkeypatch.setattr(lookup, "TASK_KEYS", 60)
+    monkeypatch.setattr(lookup, "DEAL_BITS", 4, raising=False)
+    folder = Path(storage.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    index = lookup.KeyIndex.write(keys, str(tmp_path / "index"), slots=8)
+    # Dealt twice by range as keys, shuffled once as texts.
+    assert plans["texts"].count("Exchange hashpartitioning") == 1 and "hashpartitioning(cast(pmod(xxhash64(text" in plans["texts"]
+    # The keys are not kept beside the index.
+    assert set(folder.iterdir()) == before
+    texts = spark.read.parquet(f"{index.path}/texts")
+    assert texts.count() == texts.select("text", "whole").distinct().count()
+    expected = {}
+    for key, pos in keys.where("key IS NOT NULL").collect():
+        for text, whole in [(key, True), *((key[i:j], False) for i in range(len(key)) for j in range(i + 1, len(key) + 1))]:
+            expected.setdefault((text, whole), []).append(pos)
+    assert {(r.text, r.whole): r.key_pos for r in texts.collect()} == {t: min((p for p in ps if p is not None), default=None) for t, ps in expected.items()}
