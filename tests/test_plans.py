@@ -266,3 +266,40 @@ def test_parts_of_an_index_are_shuffled_once_by_their_slot(spark, tmp_path, monk
         for text, whole in [(key, True), *((key[i:j], False) for i in range(len(key)) for j in range(i + 1, len(key) + 1))]:
             expected.setdefault((text, whole), []).append(pos)
     assert {(r.text, r.whole): r.key_pos for r in texts.collect()} == {t: min((p for p in ps if p is not None), default=None) for t, ps in expected.items()}
+
+
+def test_objects_meet_their_requests_where_their_documents_lie(spark):
+    text = '{"type":"CityJSON","CityObjects":{%s},"vertices":[]}'
+    rows = [
+        ("A", "a.json", text % '"bag_0000000000000007":{"type":"Building"},"0000000000000008":{"type":"Road"},"x":{}'),
+        ("B", "a.json", text % '"bag_0000000000000007":{"type":"Bridge"},"0000000000000009":{"type":"Bridge"}'),
+        ("B", "b.json", text % '"bag_0000000000000007":{"type":"Tunnel"},"0000000000000007":{"type":"Other"},"c_0000000000000007":{"type":"Last"}'),
+        ("B", "b.json", text % '"bag_0000000000000008":{"type":"Eight"}'),
+        (None, "n.json", text % '"0000000000000007":{"type":"None"}'),
+        ("A", None, text % '"0000000000000007":{"type":"None"}'),
+    ]
+    documents = spark.createDataFrame(rows, "source string, file_path string, document string")
+    asked = [(i, p) for i in ("bag_0000000000000007", "0000000000000007", "z_0000000000000007", "0000000000000008", "0000000000000009", "x", "", None) for p in ("a.json", "b.json", "n.json", "o.json", None)]
+    asked = spark.createDataFrame(asked * 2, "request_id string, file_path string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = extraction.extract_objects(asked, documents)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.request_id, r.file_path, r.object_id, re.search('"type":"(?!CityJSON)([A-Z][a-z]+)"', r.cityjson)[1]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above = plan[plan.index("Window") : plan.index("from_json(ArrayType(StructType(StructField(version")]
+    assert "Exchange" not in above and "Join" not in above
+    first = [("a.json", "bag_0000000000000007", "Building"), ("b.json", "bag_0000000000000007", "Tunnel")]
+    eight = [("a.json", "0000000000000008", "Road"), ("b.json", "bag_0000000000000008", "Eight")]
+    assert got == sorted((i, *f) for ids, fs in ((("bag_0000000000000007", "0000000000000007", "z_0000000000000007"), first), (("0000000000000008",), eight)) for i in ids for f in fs)
+
+
+def test_comparison_objects_keeps_no_documents(spark, stored_plans):
+    folder = Path(storage.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    found = QUERIES["comparison_objects"](spark, SF_DIR)
+    # Ids, their places and the texts of their objects.
+    assert len(stored_plans) - 1 == len(set(folder.iterdir()) - before) == 3
+    assert found.where("cityjson IS NOT NULL").count() > 1000
